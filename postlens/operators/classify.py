@@ -13,6 +13,7 @@ from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from postlens import columns as C
 from postlens.functions.arrays import argmax
@@ -30,7 +31,7 @@ def predicted_class(
     function from a batch of texts to a (batch, classes) array of logits or probabilities.
     The softmax between the two does not change which class is largest.
     """
-    scores = predict_batch_udf(predictor, return_type="array<double>", batch_size=batch_size)
+    scores = predict_batch_udf(predictor, return_type=ArrayType(DoubleType()), batch_size=batch_size)
     return F.when(text.isNotNull(), argmax(scores(F.coalesce(text, F.lit("")))))
 
 

@@ -30,6 +30,7 @@ class TopicModel:
 
     vectorizer: CountVectorizerModel
     lda: LDAModel
+    vocabulary: list[str]
 
     def save(self, path: str) -> None:
         self.vectorizer.write().overwrite().save(f"{path}/vectorizer")
@@ -37,9 +38,8 @@ class TopicModel:
 
     @classmethod
     def load(cls, path: str) -> TopicModel:
-        return cls(
-            CountVectorizerModel.load(f"{path}/vectorizer"), LocalLDAModel.load(f"{path}/lda")
-        )
+        vectorizer = CountVectorizerModel.load(f"{path}/vectorizer")
+        return cls(vectorizer, LocalLDAModel.load(f"{path}/lda"), vectorizer.vocabulary)
 
 
 def topic_eligible(text_col: str = C.LEMMATIZED_TEXT, more_than: int = 3) -> Column:
@@ -122,7 +122,7 @@ def fit_topics(
         optimizeDocConcentration=learn_prior,
     )
     try:
-        return TopicModel(vectorizer, lda.fit(vectors))
+        return TopicModel(vectorizer, lda.fit(vectors), vocabulary)
     finally:
         vectors.unpersist()
 
@@ -130,7 +130,7 @@ def fit_topics(
 def topic_words(model: TopicModel, n: int = TOP_WORDS) -> list[list[str]]:
     """The ``n`` heaviest words of each topic, in topic order."""
     rows = model.lda.describeTopics(n).orderBy("topic").collect()
-    return [[model.vectorizer.vocabulary[i] for i in r["termIndices"]] for r in rows]
+    return [[model.vocabulary[i] for i in r["termIndices"]] for r in rows]
 
 
 def topic_table(model: TopicModel, n: int = TOP_WORDS) -> DataFrame:
@@ -217,7 +217,7 @@ def finalize_words(
 
 def term_relevance(model: TopicModel) -> DataFrame:
     """``token, relevance``: the mean weight of every vocabulary word over the topics."""
-    vocabulary = model.vectorizer.vocabulary
+    vocabulary = model.vocabulary
     described = model.lda.describeTopics(len(vocabulary))
     spark = described.sparkSession
     names = spark.createDataFrame(list(enumerate(vocabulary)), "i int, token string")
