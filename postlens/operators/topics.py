@@ -15,6 +15,7 @@ from postlens import columns as C
 from postlens.functions import text as T
 from postlens.functions.arrays import argmax, let, token_counts
 from postlens.functions.token_table import TokenTable, annotate_tokens
+from postlens.sources.staging import staging_path
 
 # Topic count, priors, and the largest vocabulary a model may have.
 TOPICS = 4
@@ -67,6 +68,21 @@ def vocabulary_counts(df: DataFrame, text_col: str) -> DataFrame:
     return bag.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
 
+def _vectorizer(terms: DataFrame) -> CountVectorizerModel:
+    """A vectorizer whose vocabulary is ``terms`` (``token, tf``), most frequent first.
+
+    Fitting a CountVectorizer leaves the order of equally frequent words open, and handing
+    it a Python list costs one call into the JVM per word. So Spark writes the vocabulary
+    as the data of a saved model. It is one array, as it is in the model.
+    """
+    path = staging_path(terms.sparkSession, "vectorizer")
+    CountVectorizerModel.from_vocabulary(["-"], "words", "features").save(path)
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("tf")).alias("order"), "token")))
+    vocabulary = terms.agg(F.transform(ranked, lambda r: r["token"]).alias("vocabulary"))
+    vocabulary.write.mode("overwrite").parquet(f"{path}/data")
+    return CountVectorizerModel.load(path)
+
+
 def fit_topics(
     df: DataFrame,
     id_col: str,
@@ -100,10 +116,9 @@ def fit_topics(
         .orderBy(F.desc("tf"), "token")
         .limit(vocab_size)
     )
-    vocabulary = [r["token"] for r in terms.select("token").collect()]
-    if not vocabulary:
+    vectorizer = _vectorizer(terms)
+    if not vectorizer.vocabulary:
         return None
-    vectorizer = CountVectorizerModel.from_vocabulary(vocabulary, "words", "features")
     partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vectors = (
         vectorizer.transform(corpus.repartition(partitions, "_id").sortWithinPartitions("_id"))
@@ -122,7 +137,7 @@ def fit_topics(
         optimizeDocConcentration=learn_prior,
     )
     try:
-        return TopicModel(vectorizer, lda.fit(vectors), vocabulary)
+        return TopicModel(vectorizer, lda.fit(vectors), vectorizer.vocabulary)
     finally:
         vectors.unpersist()
 
