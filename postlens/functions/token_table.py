@@ -4,7 +4,8 @@ Two ways, the same result:
 
 * a table within the size bound becomes one constant, an array of small hash buckets.
   Every token is looked up inside its own row, so no row is exploded or shuffled;
-* a larger table is joined: explode, salted equi-join on the token, regroup by row id.
+* a larger table is joined: explode, salted equi-join on the token, regroup by row id. The
+  posts are read twice then, so pass a table that is cheap to read.
 """
 
 from __future__ import annotations
@@ -14,13 +15,29 @@ import zlib
 from collections.abc import Callable, Iterable, Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
 
-MAX_CONSTANT_ROWS = 200_000
-MAX_CONSTANT_BYTES = 8 << 20
-SALTS = 32
+MAX_CONSTANT_ROWS = 500_000
+MAX_CONSTANT_BYTES = 16 << 20
+MAX_SALTS = 256
+
+
+def word_frame(spark: SparkSession, **columns: Iterable[str]) -> DataFrame:
+    """A DataFrame of a few driver-side string lists.
+
+    Going through Arrow makes it a local relation, whose size the optimizer knows.
+    """
+    return spark.createDataFrame(
+        pa.table({name: pa.array(list(values), pa.string()) for name, values in columns.items()})
+    )
+
+
+def join_salts(spark: SparkSession) -> int:
+    """Over how many join keys one frequent word is spread."""
+    return max(1, min(MAX_SALTS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 class TokenTable:
@@ -54,22 +71,27 @@ class TokenTable:
             pairs = {k: v for k, v in source.items() if k is not None and v is not None}
             return cls(value_type or "string", pairs, None)
         frame = cls._as_pairs(source)
-        value_type = value_type or _simple_type(frame.schema["value"].dataType)
+        value_type = value_type or frame.schema["value"].dataType.simpleString()
         frame = frame.withColumn("value", F.col("value").cast(value_type))
-        size = frame.agg(
-            F.count("*").alias("n"),
-            F.sum(F.octet_length("key") + F.octet_length(F.to_json(F.struct("value")))).alias("b"),
-        ).first()
-        if size["n"] > max_rows or (size["b"] or 0) > max_bytes:
-            return cls(value_type, None, frame)
-        rows = frame.select("key", F.to_json(F.struct("value")).alias("json")).limit(max_rows)
-        return cls(value_type, {r["key"]: json.loads(r["json"])["value"] for r in rows.collect()}, None)
+        entries = frame.select("key", F.to_json(F.struct("value")).alias("json"))
+        entries = entries.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            size = entries.agg(
+                F.count("*").alias("n"),
+                F.sum(F.octet_length("key") + F.octet_length("json")).alias("b"),
+            ).first()
+            if size["n"] > max_rows or (size["b"] or 0) > max_bytes:
+                return cls(value_type, None, frame)
+            pairs = {r["key"]: json.loads(r["json"])["value"] for r in entries.collect()}
+        finally:
+            entries.unpersist()
+        return cls(value_type, pairs, None)
 
     @classmethod
     def joined(cls, source: DataFrame) -> TokenTable:
         """Use the join without measuring, for tables that are themselves a long job."""
         frame = cls._as_pairs(source)
-        return cls(_simple_type(frame.schema["value"].dataType), None, frame)
+        return cls(frame.schema["value"].dataType.simpleString(), None, frame)
 
     @staticmethod
     def _as_pairs(source: DataFrame) -> DataFrame:
@@ -135,13 +157,16 @@ def annotate_tokens(
 
     if id_col is None:
         raise ValueError("a lookup table over the constant bound needs id_col")
-    # A frequent word may be a third of all tokens: spread it over SALTS join keys.
+    # A frequent word may be a third of all tokens: spread it over several join keys. The
+    # coalesce keeps the optimizer from computing the tokens a second time in a filter.
+    salts = join_salts(df.sparkSession)
+    tokens = F.coalesce(tokens, F.array().cast("array<string>"))
     exploded = df.select(F.col(id_col).alias("_id"), F.posexplode(tokens).alias("pos", "token"))
-    exploded = exploded.withColumn("_salt", F.pmod(F.hash("_id", "pos"), F.lit(SALTS)))
+    exploded = exploded.withColumn("_salt", F.pmod(F.hash("_id", "pos"), F.lit(salts)))
     entries = table.frame.select(
         F.col("key").alias("token"),
         "value",
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
     )
     found = (
         exploded.join(entries, ["token", "_salt"], "left" if keep_misses else "inner")
@@ -154,6 +179,3 @@ def annotate_tokens(
         .drop("_id", "_found")
     )
 
-
-def _simple_type(data_type: DataType) -> str:
-    return data_type.simpleString()

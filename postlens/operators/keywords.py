@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from postlens import columns as C
 from postlens.functions import text as T
+from postlens.functions.token_table import join_salts
 
 MAPPING_REGIONS = ("EU", "USA")
 MAX_CONSTANT_KEYS = 1_000
-SALTS = 32
 
 
 def unpivot_mapping(mapping: DataFrame, regions: tuple[str, ...] = MAPPING_REGIONS) -> DataFrame:
@@ -117,6 +117,7 @@ def _map_conditions_joined(
     joined with the keys, then posts meet the matching words."""
     if id_col is None:
         raise ValueError("a key table over max_keys needs id_col")
+    salts = join_salts(df.sparkSession)
     lengths = keys.agg(F.sort_array(F.collect_set(F.length("word"))).alias("n")).first()["n"]
     in_post = df.select(
         F.col(id_col).alias("_id"),
@@ -147,12 +148,12 @@ def _map_conditions_joined(
             F.collect_set("word").alias("keys"),
             F.collect_set("mapping").alias("conditions"),
             # salted: a frequent word may sit in a third of all posts
-            F.sequence(F.lit(0), F.lit(SALTS - 1)).alias("salts"),
+            F.sequence(F.lit(0), F.lit(salts - 1)).alias("salts"),
         )
         .withColumn("_salt", F.explode("salts"))
         .drop("salts")
     )
-    in_post = in_post.withColumn("_salt", F.pmod(F.hash("_id"), F.lit(SALTS)))
+    in_post = in_post.withColumn("_salt", F.pmod(F.hash("_id"), F.lit(salts)))
 
     def merged(name: str) -> Column:
         return F.array_sort(F.array_distinct(F.flatten(F.collect_list(name))))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from postlens import columns as C
 from postlens.functions import text as T
 from postlens.functions.labels import UNKNOWN_LOCATION, region_of
-from postlens.functions.token_table import TokenTable, annotate_tokens
+from postlens.functions.token_table import TokenTable, annotate_tokens, word_frame
 
 # Which gazetteer column answers first when several know the same word.
 COUNTRY_FIRST = ("country", "iso2", "iso3", "city")
@@ -75,10 +75,9 @@ def map_country(
 def _place_heads(df: DataFrame, places: DataFrame | Iterable[str]) -> DataFrame:
     """First word of a place name -> the names that start with it, longest first."""
     if not isinstance(places, DataFrame):
-        places = df.sparkSession.createDataFrame([(p,) for p in places], "name string")
-    always = F.explode(F.array(*[F.lit(p) for p in ALWAYS_PLACES])).alias("name")
+        places = word_frame(df.sparkSession, name=places)
     names = places.select(F.lower(F.col(places.columns[0])).alias("name")).unionByName(
-        df.sparkSession.range(1).select(always)
+        word_frame(df.sparkSession, name=ALWAYS_PLACES)
     )
     words = names.select(T.words(F.col("name")).alias("w")).where(F.size("w") > 0).distinct()
     ranked = F.struct(

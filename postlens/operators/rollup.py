@@ -44,10 +44,11 @@ def with_temp_category(
 
 
 def value_counts_map(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
-    """Counts of each value of ``col`` per group as a map, largest first, any value domain.
+    """Counts of each value of ``col`` per group as a map, largest first.
 
     Counted per (group, value) first, so a hot group is spread over its values and only
-    the finished counts of a group meet.
+    the finished counts of a group meet. A map is one cell: for a column with very many
+    values keep the counts as rows instead.
     """
     counts = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("_n"))
     entry = F.struct((-F.col("_n")).alias("order"), F.col(col).alias("value"))
@@ -62,27 +63,37 @@ def count_percentages(counts: Column) -> Column:
     return F.transform_values(counts, lambda _, n: share_text(n, total))
 
 
-def _prepared(df: DataFrame) -> DataFrame:
-    """The rows that count, with only the columns the rollup needs."""
+def _grouped(df: DataFrame, approx_accounts: bool) -> DataFrame:
+    """One row per (topic, location).
+
+    Rows that do not count (short text, no topic, no location) are left out of the counts
+    and their groups dropped afterwards: a filter before the grouping would be pushed below
+    the steps that made these columns and run them twice. Partial counts meet per
+    (group, account) before they meet per group, so neither a hot group nor a hot account
+    lands in one task as rows.
+    """
     C.require_columns(
         df, C.LEMMATIZED_TEXT, C.WEATHER_TOPICS, C.TOP_3_WORDS, C.TEMP_SENTIMENT,
         C.FINAL_LOCATION, C.ACCOUNT,
     )
-    kept = with_temp_category(with_group_topic(filter_min_words(df)))
-    kept = kept.select(C.GROUP_TOPIC, C.FINAL_LOCATION, C.ACCOUNT, C.TEMP_CATEGORY)
-    return kept.where(F.col(C.GROUP_TOPIC).isNotNull() & F.col(C.FINAL_LOCATION).isNotNull())
-
-
-def _grouped(df: DataFrame, approx_accounts: bool) -> DataFrame:
-    """One row per (topic, location). Partial counts meet per (group, account) before they
-    meet per group, so neither a hot group nor a hot account lands in one task as rows."""
+    counts = T.word_count(F.col(C.LEMMATIZED_TEXT)) > 3
+    rows = with_temp_category(with_group_topic(df)).select(
+        C.GROUP_TOPIC,
+        C.FINAL_LOCATION,
+        F.when(counts, F.col(C.TEMP_CATEGORY)).alias(C.TEMP_CATEGORY),
+        F.when(counts, F.col(C.ACCOUNT)).alias(C.ACCOUNT),
+        (counts & F.col(C.GROUP_TOPIC).isNotNull() & F.col(C.FINAL_LOCATION).isNotNull()).alias(
+            "_counts"
+        ),
+    )
     distinct = F.approx_count_distinct if approx_accounts else F.countDistinct
-    return _prepared(df).groupBy(C.GROUP_TOPIC, C.FINAL_LOCATION).agg(
+    grouped = rows.groupBy(C.GROUP_TOPIC, C.FINAL_LOCATION).agg(
         F.count(C.ACCOUNT).alias(C.TWEET_COUNT),
         distinct(C.ACCOUNT).alias(C.ACCOUNT_COUNT),
-        F.count("*").alias("row_count"),
+        F.count_if("_counts").alias("row_count"),
         *[F.count_if(F.col(C.TEMP_CATEGORY) == name).alias(name) for name in ALL_LABELS],
     )
+    return grouped.where("row_count > 0")
 
 
 def rollup_posts(df: DataFrame, approx_accounts: bool = False) -> DataFrame:

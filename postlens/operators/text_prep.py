@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from postlens import columns as C
 from postlens.functions import text as T
 from postlens.functions.lemma import best_candidate, has_noun_suffix, lemma_candidates
-from postlens.functions.token_table import TokenTable, annotate_tokens
+from postlens.functions.token_table import TokenTable, annotate_tokens, word_frame
 
 Exceptions = DataFrame | Mapping[str, str] | None
 Lexicon = DataFrame | Iterable[str] | None
@@ -18,16 +18,15 @@ Lexicon = DataFrame | Iterable[str] | None
 
 def _exceptions_frame(df: DataFrame, exceptions: Exceptions) -> DataFrame:
     if not isinstance(exceptions, DataFrame):
-        rows = list((exceptions or {}).items())
-        return df.sparkSession.createDataFrame(rows, "word string, lemma string")
+        pairs = exceptions or {}
+        return word_frame(df.sparkSession, word=pairs.keys(), lemma=pairs.values())
     word, lemma = exceptions.columns[:2]
     return exceptions.select(F.col(word).alias("word"), F.col(lemma).alias("lemma"))
 
 
 def _lexicon_frame(df: DataFrame, lexicon: Lexicon) -> DataFrame:
     if not isinstance(lexicon, DataFrame):
-        rows = [(w,) for w in (lexicon or ())]
-        return df.sparkSession.createDataFrame(rows, "word string").distinct()
+        return word_frame(df.sparkSession, word=dict.fromkeys(lexicon or ()))
     return lexicon.select(F.col(lexicon.columns[0]).alias("word")).distinct()
 
 
@@ -64,9 +63,11 @@ def lemmatize(
     """
     C.require_columns(df, tokens_col)
     lexicon = _lexicon_frame(df, lexicon)
-    resolved = resolve_exceptions(_exceptions_frame(df, exceptions), lexicon)
     bounds = {} if max_rows is None else {"max_rows": max_rows}
     lexicon_table = TokenTable.of(lexicon, **bounds)
+    if lexicon_table.is_constant:
+        lexicon = word_frame(df.sparkSession, word=lexicon_table.pairs)
+    resolved = resolve_exceptions(_exceptions_frame(df, exceptions), lexicon)
     exception_table = TokenTable.of(resolved, **bounds)
 
     if lexicon_table.is_constant and exception_table.is_constant:

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from postlens import columns as C
 from postlens.functions import text as T
 from postlens.functions.labels import CLIMATE_SENTIMENT_LABELS, share_text
+from postlens.functions.token_table import TokenTable, word_frame
 from postlens.operators import (
     classify,
     glossary,
@@ -99,7 +100,8 @@ def mapping_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_mapping(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(KEYWORDS, "word string, EU string, USA string, need_location int")
+    words, eu, usa, need = zip(*KEYWORDS, strict=True)
+    rows = word_frame(spark, word=words, EU=eu, USA=usa, need_location=map(str, need))
     return keywords.dedupe_mapping(keywords.unpivot_mapping(rows))
 
 
@@ -264,8 +266,14 @@ def remove_stopwords(spark, sf_dir):
     return cleaned(spark, sf_dir).select("doc_id", F.array_join(tokens, " ").alias("kept"))
 
 
+def _text_table(spark, sf_dir, joined):
+    """Cleaned documents; a join reads them twice, so then they are written down first."""
+    df = cleaned(spark, sf_dir)
+    return stage(df, "cleaned") if joined else df
+
+
 def _lemmatize(spark, sf_dir, **options):
-    df = cleaned(spark, sf_dir).select("doc_id", T.words(F.col(C.CLEANED_TEXT)).alias("tokens"))
+    df = _text_table(spark, sf_dir, "id_col" in options).select("doc_id", T.words(F.col(C.CLEANED_TEXT)).alias("tokens"))
     df = text_prep.lemmatize(
         df, "tokens", noun_exceptions(spark, sf_dir), conversation_words(spark, sf_dir), **options
     )
@@ -308,14 +316,14 @@ def map_conditions(spark, sf_dir):
 
 def map_conditions_joined(spark, sf_dir):
     df = keywords.map_conditions(
-        cleaned(spark, sf_dir), C.CLEANED_TEXT, key_words(spark, sf_dir), "doc_id", max_keys=0
+        _text_table(spark, sf_dir, True), C.CLEANED_TEXT, key_words(spark, sf_dir), "doc_id", max_keys=0
     )
     return df.select("doc_id", C.WEATHER_TOPICS, C.WEATHER_TEMP)
 
 
 def _map_glossary(spark, sf_dir, **options):
     df = glossary.map_glossary(
-        cleaned(spark, sf_dir), C.CLEANED_TEXT, glossary_rows(spark, sf_dir),
+        _text_table(spark, sf_dir, "id_col" in options), C.CLEANED_TEXT, glossary_rows(spark, sf_dir),
         conversation_words(spark, sf_dir), **options,
     )
     return df.select("doc_id", C.GLOSSARY_MAP)
@@ -331,8 +339,9 @@ def map_glossary_joined(spark, sf_dir):
 
 def _map_country(spark, sf_dir, **options):
     df = places.map_country(
-        cleaned(spark, sf_dir), C.CLEANED_TEXT, gazetteer(spark, sf_dir), **options
-    )
+        _text_table(spark, sf_dir, "id_col" in options), C.CLEANED_TEXT,
+        gazetteer(spark, sf_dir), **options,
+    )
     return df.select("doc_id", "country")
 
 
@@ -350,8 +359,9 @@ def map_country_city_first(spark, sf_dir):
 
 def _extract_places(spark, sf_dir, **options):
     df = places.extract_places(
-        cleaned(spark, sf_dir), C.CLEANED_TEXT, place_names(spark, sf_dir), **options
-    )
+        _text_table(spark, sf_dir, "id_col" in options), C.CLEANED_TEXT,
+        place_names(spark, sf_dir), **options,
+    )
     return df.select("doc_id", "places")
 
 
@@ -419,7 +429,7 @@ def relevance_words_model(spark, sf_dir):
 
 def relevance_words(spark, sf_dir):
     """The same ranking with a relevance that SQL can follow: in how many documents a word is."""
-    df = cleaned(spark, sf_dir)
+    df = _text_table(spark, sf_dir, True)
     counts = topics.vocabulary_counts(df, C.CLEANED_TEXT)
     relevance = counts.select("token", F.col("df").cast("double").alias("relevance"))
     out = topics.relevance_words(df, relevance, text_col=C.CLEANED_TEXT, id_col="doc_id")
@@ -449,7 +459,7 @@ def polarity_sentiment(spark, sf_dir):
 
 
 def compare_sentiment(spark, sf_dir):
-    scores = sentiment.TokenTable.of(word_scores(spark, sf_dir), "double")
+    scores = TokenTable.of(word_scores(spark, sf_dir), "double")
     df = sentiment.compare_sentiment(
         _table(spark, sf_dir, "conversations"),
         "text",
@@ -462,18 +472,23 @@ def compare_sentiment(spark, sf_dir):
 
 
 def keyword_scores() -> Callable:
-    """A stand-in for a pretrained model: one score per class, here 1 for a keyword found."""
+    """A stand-in for a pretrained model: one score per class, here 1 for a keyword found.
+
+    The factory is nested so that it travels to the workers by value.
+    """
     classes = (("tion",), ("e",), ("heed", "sch"))
 
-    def predict(texts):
-        return np.array([[float(any(w in t for w in c)) for c in classes] for t in texts])
+    def load():
+        return lambda texts: np.array(
+            [[float(any(w in t for w in c)) for c in classes] for t in texts]
+        )
 
-    return predict
+    return load
 
 
 def classify_hook(spark, sf_dir):
     df = documents(spark, sf_dir)
-    df = classify.classify(df, "text", keyword_scores, CLIMATE_SENTIMENT_LABELS, "label")
+    df = classify.classify(df, "text", keyword_scores(), CLIMATE_SENTIMENT_LABELS, "label")
     return df.select("doc_id", "label")
 
 
@@ -598,9 +613,9 @@ def tfidf_by_group(spark, sf_dir):
 
 
 def top_tfidf_words(spark, sf_dir):
-    df = topic_labelled(spark, sf_dir)
+    df = stage(topic_labelled(spark, sf_dir), "labelled")
     weights = tfidf.tfidf_by_group(df, "labels", C.CLEANED_TEXT)
-    weights = weights.withColumn("tfidf", F.round("tfidf", 8))
+    weights = stage(weights.withColumn("tfidf", F.round("tfidf", 8)), "tfidf")
     return tfidf.fill_words_by_tfidf(df, weights, "doc_id").select("doc_id", C.WEATHER_TOPICS)
 
 
