@@ -82,7 +82,9 @@ class TokenTable:
             ).first()
             if size["n"] > max_rows or (size["b"] or 0) > max_bytes:
                 return cls(value_type, None, frame)
-            pairs = {r["key"]: json.loads(r["json"])["value"] for r in entries.collect()}
+            table = entries.toArrow()
+            values = json.loads(f"[{','.join(table['json'].to_pylist())}]")
+            pairs = dict(zip(table["key"].to_pylist(), (v["value"] for v in values), strict=True))
         finally:
             entries.unpersist()
         return cls(value_type, pairs, None)

@@ -68,7 +68,8 @@ def map_conditions(
     Both are sorted, distinct and joined by ``", "``; null without a match. A key made of
     word characters lies inside one word exactly when it lies inside the lower-cased
     text, so a small key table is a chain of ``contains`` tests within generated code.
-    A larger one goes through an equi-join on word fragments and needs ``id_col``.
+    A larger one goes through an equi-join on word fragments, needs ``id_col`` and reads
+    the posts more than once, so pass a table that is cheap to read.
     ``conditions_col`` names an extra array column with the single conditions.
     """
     C.require_columns(df, text_col)

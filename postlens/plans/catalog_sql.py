@@ -75,7 +75,7 @@ def _gazetteer(min_length: int, codes: bool, priority: str = "country iso2 iso3
         f"SELECT {rank[name]} AS rank, row_no, {expr} AS token, country FROM cities"
         for name, expr in sides
     )
-    return f"""numbered AS MATERIALIZED (SELECT word, row_number() OVER (ORDER BY word) AS row_no
+    return f"""numbered AS MATERIALIZED (SELECT word, ('0x' || left(md5(word), 8))::BIGINT AS row_no
   FROM bw WHERE length(word) >= {min_length}),
 cities AS MATERIALIZED (SELECT n.word, n.row_no, c.country FROM numbered n JOIN
   (SELECT row_no % 25 AS b, min(word) AS country FROM numbered GROUP BY 1) c ON n.row_no % 25 = c.b),
