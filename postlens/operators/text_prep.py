@@ -27,7 +27,7 @@ def _exceptions_frame(df: DataFrame, exceptions: Exceptions) -> DataFrame:
 def _lexicon_frame(df: DataFrame, lexicon: Lexicon) -> DataFrame:
     if not isinstance(lexicon, DataFrame):
         return word_frame(df.sparkSession, word=dict.fromkeys(lexicon or ()))
-    return lexicon.select(F.col(lexicon.columns[0]).alias("word")).distinct()
+    return lexicon.select(F.col(lexicon.columns[0]).alias("word"))
 
 
 def resolve_exceptions(exceptions: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -36,14 +36,13 @@ def resolve_exceptions(exceptions: DataFrame, lexicon: DataFrame) -> DataFrame:
     A word none of whose forms is in the lexicon stays as it is.
     """
     forms = exceptions.select("word", F.explode(F.array("word", "lemma")).alias("form"))
-    known = forms.join(lexicon.select(F.col("word").alias("form")), "form", "left_semi")
-    rank = F.struct(F.length("form"), F.col("form") != F.col("word"), F.col("form"))
-    best = known.groupBy("word").agg(F.min_by("form", rank).alias("lemma"))
+    known = lexicon.select(F.col("word").alias("form"), F.lit(True).alias("known"))
+    rank = F.struct(F.length("form"), F.col("form") != F.col("word"), F.col("form").alias("form"))
+    best = F.min(F.when(F.col("known"), rank))["form"]
     return (
-        exceptions.select("word")
-        .distinct()
-        .join(best, "word", "left")
-        .select("word", F.coalesce("lemma", "word").alias("lemma"))
+        forms.join(known, "form", "left")
+        .groupBy("word")
+        .agg(F.coalesce(best, F.col("word")).alias("lemma"))
     )
 
 

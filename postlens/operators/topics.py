@@ -91,8 +91,8 @@ def fit_topics(
     k: int = TOPICS,
     alpha: float = ALPHA,
     beta: float = BETA,
-    max_iter: int = 20,
-    mini_batch: float = 0.05,
+    max_iter: int = 10,
+    mini_batch: float = 0.1,
     learn_prior: bool = False,
     seed: int = 42,
     vocab_size: int = MAX_VOCABULARY,
