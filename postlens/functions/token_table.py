@@ -5,7 +5,8 @@ Two ways, the same result:
 * a table within the size bound becomes one constant, an array of small hash buckets.
   Every token is looked up inside its own row, so no row is exploded or shuffled;
 * a larger table is joined: explode, salted equi-join on the token, regroup by row id. The
-  posts are read twice then, so pass a table that is cheap to read.
+  posts are read twice and the result is written to the staging folder, so that a chain of
+  such steps costs the sum of its joins and not their product.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlens.sources.staging import stage
+
 MAX_CONSTANT_ROWS = 500_000
 MAX_CONSTANT_BYTES = 16 << 20
 MAX_SALTS = 256
@@ -159,6 +162,19 @@ def annotate_tokens(
 
     if id_col is None:
         raise ValueError("a lookup table over the constant bound needs id_col")
+    found = _joined_tokens(df, tokens, table, id_col, keep_misses)
+    annotated = (
+        df.join(found, df[id_col] == found["_id"], "left")
+        .withColumn(out, F.coalesce(F.col("_found").cast(kind), empty))
+        .drop("_id", "_found")
+    )
+    return stage(annotated, "annotated")
+
+
+def _joined_tokens(
+    df: DataFrame, tokens: Column, table: TokenTable, id_col: str, keep_misses: bool
+) -> DataFrame:
+    """``_id, _found``: the annotated tokens of every post that has any."""
     # A frequent word may be a third of all tokens: spread it over several join keys. The
     # coalesce keeps the optimizer from computing the tokens a second time in a filter.
     salts = join_salts(df.sparkSession)
@@ -170,14 +186,8 @@ def annotate_tokens(
         "value",
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
     )
-    found = (
+    return (
         exploded.join(entries, ["token", "_salt"], "left" if keep_misses else "inner")
         .groupBy("_id")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "token", "value"))).alias("_found"))
     )
-    return (
-        df.join(found, df[id_col] == found["_id"], "left")
-        .withColumn(out, F.coalesce(F.col("_found").cast(kind), empty))
-        .drop("_id", "_found")
-    )
-

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postlens import columns as C
 from postlens.functions import text as T
 from postlens.functions.token_table import join_salts
+from postlens.sources.staging import stage
 
 MAPPING_REGIONS = ("EU", "USA")
 MAX_CONSTANT_KEYS = 1_000
@@ -114,10 +115,26 @@ def match_keywords(
 def _map_conditions_joined(
     df: DataFrame, text_col: str, keys: DataFrame, id_col: str | None, conditions_col: str | None
 ) -> DataFrame:
-    """Large key tables: every fragment of a distinct word that is as long as some key is
-    joined with the keys, then posts meet the matching words."""
     if id_col is None:
         raise ValueError("a key table over max_keys needs id_col")
+    found = _joined_keys(df, text_col, keys, id_col)
+    out = df.join(found, df[id_col] == found["_id"], "left").withColumns(
+        {
+            C.WEATHER_TOPICS: F.nullif(F.array_join("_keys", ", "), F.lit("")),
+            C.WEATHER_TEMP: F.nullif(F.array_join("_conditions", ", "), F.lit("")),
+        }
+    )
+    if conditions_col:
+        out = out.withColumn(conditions_col, F.col("_conditions"))
+    return stage(out.drop("_id", "_keys", "_conditions"), "tagged")
+
+
+def _joined_keys(df: DataFrame, text_col: str, keys: DataFrame, id_col: str) -> DataFrame:
+    """``_id, _keys, _conditions`` of the posts with a match, for large key tables.
+
+    Every fragment of a distinct word that is as long as some key is joined with the keys,
+    then posts meet the matching words.
+    """
     salts = join_salts(df.sparkSession)
     lengths = keys.agg(F.sort_array(F.collect_set(F.length("word"))).alias("n")).first()["n"]
     in_post = df.select(
@@ -159,17 +176,8 @@ def _map_conditions_joined(
     def merged(name: str) -> Column:
         return F.array_sort(F.array_distinct(F.flatten(F.collect_list(name))))
 
-    found = (
+    return (
         in_post.join(word_keys, ["token", "_salt"])
         .groupBy("_id")
         .agg(merged("keys").alias("_keys"), merged("conditions").alias("_conditions"))
     )
-    out = df.join(found, df[id_col] == found["_id"], "left").withColumns(
-        {
-            C.WEATHER_TOPICS: F.nullif(F.array_join("_keys", ", "), F.lit("")),
-            C.WEATHER_TEMP: F.nullif(F.array_join("_conditions", ", "), F.lit("")),
-        }
-    )
-    if conditions_col:
-        out = out.withColumn(conditions_col, F.col("_conditions"))
-    return out.drop("_id", "_keys", "_conditions")

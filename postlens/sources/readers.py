@@ -83,12 +83,12 @@ def read_labelled(
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a table that lies in fewer files than there are cores to all of them.
+    """Give a table whose scan has fewer splits than there are cores to all of them.
 
-    A table of many files is returned as it is: its scan already fills the cluster.
+    A larger table is returned as it is: its scan already fills the cluster.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def _row_no() -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from postlens import columns as C
 from postlens.functions import text as T
+from postlens.functions.token_table import TokenTable, _joined_tokens
 from postlens.operators import glossary, keywords, places, rollup, sentiment, text_prep, tfidf, topics
 
 
@@ -96,13 +97,20 @@ def test_tfidf_reads_counts_not_posts(spark, posts):
 
 
 def test_joined_lookup_is_salted(spark, posts):
-    table = spark.createDataFrame([("storm", -1.0)], "w string, s double")
-    text = plan(sentiment.lexicon_sentiment(posts, "text", table, id_col="id", max_rows=0))
+    table = TokenTable.joined(spark.createDataFrame([("storm", -1.0)], "w string, s double"))
+    text = plan(_joined_tokens(posts, T.words(F.col("text")), table, "id", False))
     assert "_salt" in text
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-def test_large_key_table_is_an_equi_join(spark, posts):
+def test_a_joined_lookup_leaves_a_written_table(spark, posts):
+    table = spark.createDataFrame([("storm", -1.0)], "w string, s double")
+    text = plan(sentiment.lexicon_sentiment(posts, "text", table, id_col="id", max_rows=0))
+    assert "Exchange" not in text and "Join" not in text
+
+
+def test_large_key_table_is_a_salted_equi_join(spark, posts):
     mapping = spark.createDataFrame([("storm", "cold"), ("pa", "warm")], "word string, mapping string")
-    text = plan(keywords.map_conditions(posts, "text", mapping, "id", max_keys=1))
+    text = plan(keywords._joined_keys(posts, "text", mapping, "id"))
+    assert "_salt" in text
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
