@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.llm.common import byte_texts, slices
+from postlens.llm.common import byte_texts, slices, summed_counts
 from postlens.llm.components import components
 from postlens.llm.signature_tree import Union, bitmap, candidate_pairs
 from postlens.sources.staging import stage
@@ -109,24 +109,11 @@ def _sets(batches) -> Iterator[pa.RecordBatch]:
         yield batch([none, none, none, none, list(range(k)), [task] * k, cut])
 
 
-def _sum_slices(pdf):
-    total = sum(np.frombuffer(c, np.int64) for c in pdf["counts"])
-    return pdf.head(1).assign(counts=[total.tobytes()])
-
-
 def _sketch(staged: DataFrame) -> np.ndarray:
-    """Sum of the tasks' sketches by a tree of 64 at a time; of fixed size on the driver."""
-    parts = staged.where("part is not null").select("part", "task", "counts")
-    for _ in range(3):
-        parts = parts.withColumn("task", F.floor(F.col("task") / 64).cast("int"))
-        parts = parts.groupBy("part", "task").applyInPandas(
-            _sum_slices, "part int, task int, counts binary"
-        )
-    counts = np.zeros(SKETCH_WIDTH, np.int64)
-    size = SKETCH_WIDTH // SKETCH_SLICES
-    for row in parts.collect():
-        counts[row["part"] * size :][:size] += np.frombuffer(row["counts"], np.int64)
-    return counts
+    """Sum of the tasks' sketches; of fixed size on the driver."""
+    sums = summed_counts(staged.where("part is not null").select("part", "task", "counts"))
+    none = np.zeros(SKETCH_WIDTH // SKETCH_SLICES, np.int64)
+    return np.concatenate([sums.get(part, none) for part in range(SKETCH_SLICES)])
 
 
 def frequency_level(counts: np.ndarray) -> np.ndarray:
