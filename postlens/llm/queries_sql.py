@@ -13,12 +13,12 @@ def _spans(kind: int, name: str, test: str) -> str:
     return f"""
     SELECT n, {kind} AS kind, gap + before AS start, gap + before + size AS stop, value FROM (
       SELECT n, value, length(value) AS size,
-             sum(length(piece)) OVER (PARTITION BY n ORDER BY at) AS gap,
+             sum(length(piece)) OVER (PARTITION BY n ORDER BY nth) AS gap,
              coalesce(sum(length(value)) OVER (
-               PARTITION BY n ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+               PARTITION BY n ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM (SELECT n, unnest(regexp_extract_all(text, '{pattern}')) AS value,
                    unnest(regexp_split_to_array(text, '{pattern}')) AS piece,
-                   generate_subscripts(regexp_split_to_array(text, '{pattern}'), 1) AS at FROM docs))
+                   generate_subscripts(regexp_split_to_array(text, '{pattern}'), 1) AS nth FROM docs))
     WHERE value IS NOT NULL AND {test}"""
 
 
