@@ -37,6 +37,8 @@ SKETCH_SLICES = 8
 ROOT_SETS = 64
 BLOCK_SETS = 512
 KNOWN_WORDS = 500_000
+#: Hash values of wanted ids that a broadcast holds at most.
+FILTER_BUCKETS = 1 << 18
 
 
 class WordHashes(dict):
@@ -318,27 +320,37 @@ def ngram_jaccard_join(
     )
 
 
+def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of ``wanted(rep, ...)``.
+
+    A broadcast of at most ``FILTER_BUCKETS`` hash values of the ids that are wanted keeps most
+    other texts out of the shuffle; the join then decides.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BUCKETS)).alias("b")
+    some = wanted.select(bucket("rep")).distinct()
+    near = docs.join(F.broadcast(some), bucket("doc_id") == F.col("b"), "left_semi")
+    return near.join(wanted, F.col("doc_id") == F.col("rep"))
+
+
 def _links(docs: DataFrame, candidates: DataFrame, one: DataFrame, similarity, block_sets: int):
     """Verified edges between keys: enough for all components, each checked on whole sets."""
     group = candidates.select(F.col("node").alias("key"), F.col("root").alias("group"))
     sized = group.groupBy("group").agg(F.ceil(F.count("*") / block_sets).alias("parts"))
-    group = group.join(sized, "group").join(one.select("key", "rep"), "key")
-    members = docs.join(group, docs["doc_id"] == group["rep"])
-    members = stage(members.select("key", "group", "parts", "text"), "members")
+    group = stage(group.join(sized, "group").join(one.select("key", "rep"), "key"), "groups")
     deal = [
         F.xxhash64("group", F.lit(n), F.pmod(F.xxhash64("key", F.lit(n)), F.col("parts")))
         for n in (1, 2)
     ]
     blocks = F.when(F.col("parts") == 1, F.array(F.xxhash64("group"))).otherwise(F.array(*deal))
     none = F.lit(None).cast("long").alias("component")
-    links = _linked(members.select(F.explode(blocks).alias("block"), "key", none, "text"), similarity)
-    links = stage(links, "links")
-    large = members.where("parts > 1").select("key", "group").distinct()
+    wanted = group.select(F.explode(blocks).alias("block"), "key", "rep", none)
+    links = stage(_linked(_with_texts(docs, wanted), similarity), "links")
+    large = group.where("parts > 1")
     if large.isEmpty():
         return links
     component = F.coalesce("root", "key").alias("component")
     large = large.join(components(links).withColumnRenamed("node", "key"), "key", "left")
-    large = stage(large.select("key", "group", component), "large")
+    large = stage(large.select("key", "rep", "group", "parts", component), "large")
     counted = large.groupBy("group", "component").agg(F.count("*").alias("n"))
     rest = counted.groupBy("group").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"),
@@ -347,7 +359,6 @@ def _links(docs: DataFrame, candidates: DataFrame, one: DataFrame, similarity, b
     rest = stage(rest.where("rests > 0"), "rest")
     if rest.isEmpty():
         return links
-    again = members.join(large.drop("group"), "key").join(rest, "group")
     part = F.pmod(F.xxhash64("key", F.lit(3)), F.col("parts"))
     own = F.pmod(F.xxhash64("key", F.lit(4)), F.col("rests"))
     meets = F.transform(
@@ -358,5 +369,5 @@ def _links(docs: DataFrame, candidates: DataFrame, one: DataFrame, similarity, b
         lambda p: F.xxhash64("group", own.cast("long"), p.cast("long")),
     )
     both = F.when(F.col("component") == F.col("main"), meets).otherwise(F.array_union(meets, asks))
-    more = _linked(again.select(F.explode(both).alias("block"), "key", "component", "text"), similarity)
-    return links.union(stage(more, "links"))
+    wanted = large.join(rest, "group").select(F.explode(both).alias("block"), "key", "rep", "component")
+    return links.union(stage(_linked(_with_texts(docs, wanted), similarity), "links"))
