@@ -8,10 +8,11 @@
 3. The sets below one root form a tree of OR-combined bitmaps and size ranges; its dual traversal
    leaves the pairs that may link. They tie sets into candidate groups. Roots with very many sets
    tie neighbours by size instead, which can only make a group larger.
-4. Each group is joined once more with its whole shingle sets: its tree proposes, an exact
-   intersection decides, and pairs already in one component are skipped. A large group is dealt
-   into blocks twice at random; what its main component did not reach is compared with all
-   of the group, block by block. So no link between components is lost and none is repeated.
+4. Each group is joined again by its bitmaps, so that only sets that can link stay together, and
+   then by its whole shingle sets: its tree proposes, an exact intersection decides, and pairs
+   already in one component are skipped. A large group is dealt into blocks twice at random; what
+   its main component did not reach is compared with all of the group, block by block. So no
+   link between components is lost and none is repeated.
 """
 
 from __future__ import annotations
@@ -175,17 +176,26 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["a", "b"])
 
 
+def _start(components: list[int | None]) -> Union:
+    """Positions of a block, joined where their components are already one."""
+    groups, first = Union(len(components)), {}
+    for at, c in enumerate(components):
+        if c is not None:
+            groups.join(at, first.setdefault(c, at))
+    return groups
+
+
 def _tie_candidates(similarity: tuple[int, int]):
-    """Ties the sets of each root that its tree cannot keep apart."""
+    """Ties the sets of each block that their tree cannot keep apart."""
 
     def run(batches):
-        for block in _blocks(batches, ["key", "n", "signature"]):
-            keys, groups = block["key"], Union(len(block["key"]))
+        for block in _blocks(batches, ["key", "component", "n", "signature"]):
+            keys, groups, found = block["key"], _start(block["component"]), []
             for i, j in candidate_pairs(block["n"], block["signature"], *similarity):
                 for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                    groups.join(x, y)
-            roots = [groups.find(x) for x in range(len(keys))]
-            found = [(keys[x], keys[r]) for x, r in enumerate(roots) if x != r]
+                    if groups.find(x) != groups.find(y):
+                        groups.join(x, y)
+                        found.append((keys[x], keys[y]))
             if found:
                 yield _edges(found)
 
@@ -202,10 +212,7 @@ def _link(similarity: tuple[int, int]):
         for block in _blocks(_with_sets(batches, hashes), names):
             keys = block["key"]
             sets = [np.frombuffer(t, np.uint64) for t in block["tokens"]]
-            groups, first = Union(len(keys)), {}
-            for at, c in enumerate(block["component"]):
-                if c is not None:
-                    groups.join(at, first.setdefault(c, at))
+            groups = _start(block["component"])
             sizes = [len(s) for s in sets]
             found = []
             for i, j in candidate_pairs(sizes, [bitmap(s) for s in sets], num, den):
@@ -227,7 +234,7 @@ def _with_sets(batches, hashes) -> Iterator[pa.RecordBatch]:
     last = None
     for rows in slices(batches, 64):
         data = {n: rows.column(n).to_pylist() for n in ("block", "key", "component")}
-        texts = byte_texts(rows.column(3))
+        texts = byte_texts(rows.column(rows.schema.get_field_index("text")))
         out = {n: [] for n in ("block", "key", "component", "tokens")}
         for block, key, component, text in zip(*data.values(), texts, strict=True):
             if (block, key) == last:
@@ -242,10 +249,9 @@ def _with_sets(batches, hashes) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, list(out))
 
 
-def _linked(members: DataFrame, similarity) -> DataFrame:
-    """Edges within the blocks of ``members(block, key, component, text)``."""
-    dealt = members.select("block", "key", "component", "text").repartition("block")
-    return dealt.sortWithinPartitions("block", "key").mapInArrow(_link(similarity), "a long, b long")
+def _by_block(rows: DataFrame, run) -> DataFrame:
+    dealt = rows.drop("rep", "doc_id", "b").repartition("block").sortWithinPartitions("block", "key")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _candidate_edges(docs: DataFrame, one: DataFrame, level, similarity) -> DataFrame:
@@ -277,9 +283,9 @@ def _candidate_edges(docs: DataFrame, one: DataFrame, level, similarity) -> Data
         .distinct()
         .select(F.xxhash64("sets").alias("block"), F.explode("sets.key").alias("key"))
     )
-    dealt = trees.join(one.select("key", "n", "signature"), "key").repartition("block")
-    dealt = dealt.sortWithinPartitions("block", "n", "key")
-    return dealt.mapInArrow(_tie_candidates(similarity), "a long, b long").union(chain)
+    none = F.lit(None).cast("long").alias("component")
+    trees = trees.join(one.select("key", "n", "signature", none), "key")
+    return _by_block(trees, _tie_candidates(similarity)).union(chain)
 
 
 def ngram_jaccard_join(
@@ -307,8 +313,11 @@ def ngram_jaccard_join(
         "one",
     )
     level = frequency_level(_sketch(staged))
-    candidates = components(_candidate_edges(named, one, level, similarity))
-    links = _links(named, candidates, one, similarity, block_sets)
+    groups = components(_candidate_edges(named, one, level, similarity))
+    signed = lambda wanted: wanted.join(one.select("key", "n", "signature"), "key")
+    ties = _edges_within(groups, one, signed, _tie_candidates(similarity), block_sets)
+    read = lambda wanted: _with_texts(named, wanted)
+    links = _edges_within(components(ties), one, read, _link(similarity), block_sets)
     root = F.coalesce("root", "key").alias("root")
     member = one.select("key", "rep").join(components(links).withColumnRenamed("node", "key"), "key", "left")
     member = member.select("key", "rep", root)
@@ -332,9 +341,15 @@ def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return near.join(wanted, F.col("doc_id") == F.col("rep"))
 
 
-def _links(docs: DataFrame, candidates: DataFrame, one: DataFrame, similarity, block_sets: int):
-    """Verified edges between keys: enough for all components, each checked on whole sets."""
-    group = candidates.select(F.col("node").alias("key"), F.col("root").alias("group"))
+def _edges_within(groups: DataFrame, one: DataFrame, attach, run, block_sets: int) -> DataFrame:
+    """Edges between the members of each group, found in blocks of bounded size.
+
+    ``attach`` adds what ``run`` compares to rows of ``block, key, rep, component``. A group of more
+    than ``block_sets`` is dealt into blocks twice at random, which leaves most of what belongs
+    together in one component. All that is outside the largest one then meets all of the
+    group, block by block, so the components that come out are those of all pairs.
+    """
+    group = groups.select(F.col("node").alias("key"), F.col("root").alias("group"))
     sized = group.groupBy("group").agg(F.ceil(F.count("*") / block_sets).alias("parts"))
     group = stage(group.join(sized, "group").join(one.select("key", "rep"), "key"), "groups")
     deal = [
@@ -344,12 +359,12 @@ def _links(docs: DataFrame, candidates: DataFrame, one: DataFrame, similarity, b
     blocks = F.when(F.col("parts") == 1, F.array(F.xxhash64("group"))).otherwise(F.array(*deal))
     none = F.lit(None).cast("long").alias("component")
     wanted = group.select(F.explode(blocks).alias("block"), "key", "rep", none)
-    links = stage(_linked(_with_texts(docs, wanted), similarity), "links")
+    edges = stage(_by_block(attach(wanted), run), "links")
     large = group.where("parts > 1")
     if large.isEmpty():
-        return links
+        return edges
     component = F.coalesce("root", "key").alias("component")
-    large = large.join(components(links).withColumnRenamed("node", "key"), "key", "left")
+    large = large.join(components(edges).withColumnRenamed("node", "key"), "key", "left")
     large = stage(large.select("key", "rep", "group", "parts", component), "large")
     counted = large.groupBy("group", "component").agg(F.count("*").alias("n"))
     rest = counted.groupBy("group").agg(
@@ -358,7 +373,7 @@ def _links(docs: DataFrame, candidates: DataFrame, one: DataFrame, similarity, b
     )
     rest = stage(rest.where("rests > 0"), "rest")
     if rest.isEmpty():
-        return links
+        return edges
     part = F.pmod(F.xxhash64("key", F.lit(3)), F.col("parts"))
     own = F.pmod(F.xxhash64("key", F.lit(4)), F.col("rests"))
     meets = F.transform(
@@ -370,4 +385,4 @@ def _links(docs: DataFrame, candidates: DataFrame, one: DataFrame, similarity, b
     )
     both = F.when(F.col("component") == F.col("main"), meets).otherwise(F.array_union(meets, asks))
     wanted = large.join(rest, "group").select(F.explode(both).alias("block"), "key", "rep", "component")
-    return links.union(stage(_linked(_with_texts(docs, wanted), similarity), "links"))
+    return edges.union(stage(_by_block(attach(wanted), run), "links"))
