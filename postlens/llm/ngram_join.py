@@ -6,8 +6,9 @@
    one of the first ``n - ceil(s n) + 1`` shingles of each, in any common order. The order
    puts shingles last that a count sketch of the whole corpus shows as frequent.
 3. The sets below one root form a tree of OR-combined bitmaps and size ranges; its dual traversal
-   leaves the pairs that may link. They tie sets into candidate groups. Roots with very many sets
-   tie neighbours by size instead, which can only make a group larger.
+   leaves the pairs that may link. They tie sets into candidate groups. Roots with very many sets,
+   or frequent ones with many, tie neighbours by size instead, which can only make a group
+   larger. A frequent shingle comes first only in sets that hold little else: near copies.
 4. Each group is joined again by its bitmaps, so that only sets that can link stay together, and
    then by its whole shingle sets: its tree proposes, an exact intersection decides, and pairs
    already in one component are skipped. A large group is dealt into blocks twice at random; what
@@ -35,7 +36,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = (3, 4)
 SKETCH_WIDTH = 1 << 18
 SKETCH_SLICES = 8
-ROOT_SETS = 64
+#: Sets below one root that make a tree at once; of a shingle that the sketch shows as frequent.
+ROOT_SETS, FREQUENT_ROOT_SETS = 1024, 64
 BLOCK_SETS = 512
 KNOWN_WORDS = 500_000
 #: Hash values of wanted ids that a broadcast holds at most.
@@ -132,7 +134,7 @@ def _roots(level: np.ndarray, similarity: tuple[int, int]):
     def run(batches) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         for rows in slices(batches):
-            tokens, keys, sizes = [], [], []
+            tokens, keys, sizes, frequent = [], [], [], []
             for text in byte_texts(rows.column(0)):
                 s = shingle_set(text, hashes)
                 if not len(s) or (key := _key(s)) in seen:
@@ -145,11 +147,12 @@ def _roots(level: np.ndarray, similarity: tuple[int, int]):
                 tokens.append(s)
                 keys.append(np.full(len(s), key, np.int64))
                 sizes.append(np.full(len(s), len(rank), np.int32))
+                frequent.append(level[_bucket(s)] > 0)
             if tokens:
-                columns = [np.concatenate(c) for c in (tokens, keys, sizes)]
+                columns = [np.concatenate(c) for c in (tokens, keys, sizes, frequent)]
                 columns[0] = columns[0].view(np.int64)
                 arrays = [pa.array(c) for c in columns]
-                yield pa.RecordBatch.from_arrays(arrays, ["token", "key", "n"])
+                yield pa.RecordBatch.from_arrays(arrays, ["token", "key", "n", "frequent"])
 
     return run
 
@@ -257,7 +260,7 @@ def _by_block(rows: DataFrame, run) -> DataFrame:
 def _candidate_edges(docs: DataFrame, one: DataFrame, level, similarity) -> DataFrame:
     num, den = similarity
     roots = docs.select("text").mapInArrow(
-        _roots(level, similarity), "token long, key long, n int"
+        _roots(level, similarity), "token long, key long, n int, frequent boolean"
     )
     by_root = Window.partitionBy("token").orderBy("n", "key")
     roots = roots.withColumn("before", F.lag("key").over(by_root))
@@ -268,11 +271,13 @@ def _candidate_edges(docs: DataFrame, one: DataFrame, level, similarity) -> Data
             "sets": F.count("*").over(Window.partitionBy("token")),
         }
     ).where("sets > 1")
-    roots = stage(roots.select("token", "n", "key", "before", "sets"), "roots")
-    chain = roots.where((F.col("sets") > ROOT_SETS) & (den * F.col("before.n") >= num * F.col("n")))
+    most = F.when(F.col("frequent"), FREQUENT_ROOT_SETS).otherwise(ROOT_SETS)
+    roots = roots.withColumn("large", F.col("sets") > most)
+    roots = stage(roots.select("token", "n", "key", "before", "large"), "roots")
+    chain = roots.where(F.col("large") & (den * F.col("before.n") >= num * F.col("n")))
     chain = chain.select(F.col("before.key").alias("a"), F.col("key").alias("b")).distinct()
     trees = (
-        roots.where(F.col("sets") <= ROOT_SETS)
+        roots.where(~F.col("large"))
         .groupBy("token")
         .agg(
             F.sort_array(F.collect_list(F.struct("n", "key"))).alias("sets"),
