@@ -133,7 +133,7 @@ def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:
     # bounds[i] is the first id of block i
     before = {b: (i - 1) % len(bounds) for i, b in enumerate(bounds)}
     pairs = spark.createDataFrame(list(before.items()), "first long, goes_to int")
-    ghosts = rows.join(pairs, F.col("o") == F.col("first"))
+    ghosts = rows.join(F.broadcast(pairs), F.col("o") == F.col("first"))
     lowest = Window.partitionBy("first").orderBy("text")
     ghosts = ghosts.withColumn("nth", F.row_number().over(lowest)).where("nth = 1")
     ghosts = ghosts.withColumns({"block": F.col("goes_to"), "ghost": F.lit(True)})
