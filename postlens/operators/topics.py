@@ -17,11 +17,12 @@ from postlens.functions.arrays import argmax, let, token_counts
 from postlens.functions.token_table import TokenTable, annotate_tokens
 from postlens.sources.staging import staging_path
 
-# Topic count, priors, and the largest vocabulary a model may have.
+# Topic count and priors.
 TOPICS = 4
 ALPHA = 0.5
 BETA = 0.1
-MAX_VOCABULARY = 2_000_000
+#: Partitions of a fit. Fixed, because a model depends on them.
+PARTITIONS = 64
 TOP_WORDS = 3
 
 
@@ -92,16 +93,17 @@ def fit_topics(
     alpha: float = ALPHA,
     beta: float = BETA,
     max_iter: int = 10,
-    mini_batch: float = 0.1,
+    mini_batch: float = 1.0,
     learn_prior: bool = False,
     seed: int = 42,
-    vocab_size: int = MAX_VOCABULARY,
-    partitions: int | None = None,
+    vocab_size: int | None = None,
+    partitions: int = PARTITIONS,
 ) -> TopicModel | None:
     """Fit online variational LDA on the eligible rows; None when there are none.
 
-    ``max_iter * mini_batch`` is the number of passes over the corpus, one by default.
-    The fit reads the posts once per mini-batch, so pass a table that is cheap to read
+    Every update reads every eligible post, and every word of theirs is in the vocabulary, unless
+    the caller asks for a random ``mini_batch`` or the most frequent ``vocab_size`` words.
+    The fit reads the posts once per update, so pass a table that is cheap to read
     (a staged one) and let the vectors be cached. Rows are placed by ``id_col`` and sorted
     first: the model then depends on the seed and ``partitions``, not on the file layout.
     """
@@ -113,13 +115,12 @@ def fit_topics(
         corpus.select(F.inline(token_counts(F.col("words"))))
         .groupBy("token")
         .agg(F.sum("n").alias("tf"))
-        .orderBy(F.desc("tf"), "token")
-        .limit(vocab_size)
     )
+    if vocab_size is not None:
+        terms = terms.orderBy(F.desc("tf"), "token").limit(vocab_size)
     vectorizer = _vectorizer(terms)
     if not vectorizer.vocabulary:
         return None
-    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vectors = (
         vectorizer.transform(corpus.repartition(partitions, "_id").sortWithinPartitions("_id"))
         .select("features")

@@ -614,7 +614,7 @@ def tfidf_by_group(spark, sf_dir):
 def top_tfidf_words(spark, sf_dir):
     df = stage(topic_labelled(spark, sf_dir), "labelled")
     weights = tfidf.tfidf_by_group(df, "labels", C.CLEANED_TEXT)
-    weights = stage(weights.withColumn("tfidf", F.round("tfidf", 8)), "tfidf")
+    weights = stage(weights, "tfidf")
     return tfidf.fill_words_by_tfidf(df, weights, "doc_id").select("doc_id", C.WEATHER_TOPICS)
 
 

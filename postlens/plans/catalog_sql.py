@@ -205,7 +205,7 @@ tf AS MATERIALIZED (SELECT label, token, count(*) AS tf FROM group_tokens GROUP
 weighted AS MATERIALIZED (SELECT label, token, tf * (ln((1 + (SELECT count(DISTINCT {label}) FROM {source}))
     / (1 + count(*) OVER (PARTITION BY token))) + 1) AS v FROM tf),
 norms AS (SELECT label, sqrt(sum(v * v)) AS norm FROM weighted GROUP BY label),
-tfidf AS MATERIALIZED (SELECT label, token, round(v / norm, 8) AS tfidf FROM weighted JOIN norms USING (label))"""
+tfidf AS MATERIALIZED (SELECT label, token, v / norm AS tfidf FROM weighted JOIN norms USING (label))"""
 
 
 # The stop-filtered, lemmatised documents of the whole analysis, and all that follows from them.
@@ -390,7 +390,7 @@ SELECT c.doc_id, coalesce(x.v, '') AS vocab FROM cleaned c LEFT JOIN
     "finalize_words": f"""WITH {LABELLED_DOCS} SELECT doc_id, CASE WHEN weather_topics IS NOT NULL THEN weather_temp
   {' '.join(f"WHEN label = 'Topic {i}' THEN '{', '.join(w)}'" for i, w in enumerate(TOPIC_WORDS))}
   END AS final_weather_words FROM labelled""",
-    "tfidf_by_group": f"WITH {_tfidf('documents', 'lang', 'text')} SELECT label, token, tfidf FROM tfidf",
+    "tfidf_by_group": f"WITH {_tfidf('documents', 'lang', 'text')} SELECT label, token, round(tfidf, 8) AS tfidf FROM tfidf",
     "top_tfidf_words": f"""WITH {LABELLED_DOCS}, {_tfidf('labelled', 'label', 't')},
 open_tokens AS (SELECT doc_id, label, unnest({_words('t')}) AS token, generate_subscripts({_words('t')}, 1) AS pos
   FROM labelled WHERE weather_topics IS NULL AND label IS NOT NULL AND length(t) > 3),

@@ -13,14 +13,15 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def staging_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may do without it and gets a temporary folder.
+    Only a session of one process may do without it and gets a temporary folder, as in tests.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(
         CHECKPOINT_CONF
     )
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="postlens-")
     spark.conf.set(CHECKPOINT_CONF, folder)
