@@ -1,12 +1,13 @@
 """Word lookup tables (gazetteers, lexicons, glossaries) applied to token arrays.
 
-Two ways, the same result:
+Two ways, the same result. In both, the smallest value of a repeated key counts:
 
 * a table within the size bound becomes one constant, an array of small hash buckets.
   Every token is looked up inside its own row, so no row is exploded or shuffled;
-* a larger table is joined: explode, salted equi-join on the token, regroup by row id. The
-  posts are read twice and the result is written to the staging folder, so that a chain of
-  such steps costs the sum of its joins and not their product.
+* a larger table is joined: explode, equi-join on the token, regroup by row. Rows get a number
+  of their own and are written with it, so repeated or null ids of the caller do no harm.
+  Their tokens and what is found are narrow written tables, so that a chain of such
+  steps costs the sum of its joins and not their product. Only hot tokens are salted.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ from postlens.sources.staging import stage
 MAX_CONSTANT_ROWS = 500_000
 MAX_CONSTANT_BYTES = 16 << 20
 MAX_SALTS = 256
+#: A token with more than this share of all tokens is hot; there are fewer of them than its inverse.
+HOT_SHARE = 1 / 500
+ROW_ID = "_row_id"
 
 
 def word_frame(spark: SparkSession, **columns: Iterable[str]) -> DataFrame:
@@ -43,6 +47,27 @@ def join_salts(spark: SparkSession) -> int:
     return max(1, min(MAX_SALTS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def with_row_id(df: DataFrame) -> DataFrame:
+    """``df`` with a number for each row in ``ROW_ID``, written so that the numbers stay.
+
+    A table that has such numbers is returned as it is. A stream cannot be numbered.
+    """
+    if ROW_ID in df.columns:
+        return df
+    if df.isStreaming:
+        raise ValueError("a stream needs lookup tables within the constant bound")
+    return stage(df.withColumn(ROW_ID, F.monotonically_increasing_id()), "rows")
+
+
+def hot_tokens(tokens: DataFrame) -> list[str]:
+    """Values of ``tokens(token)`` that hold more than ``HOT_SHARE`` of its rows."""
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    counts = stage(counts, "token-counts")
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = counts.where((F.col("n") > total * HOT_SHARE) & F.col("token").isNotNull())
+    return [r["token"] for r in hot.select("token").collect()]
+
+
 class TokenTable:
     """A ``key -> value`` table, unique by key, held as a constant or as a DataFrame."""
 
@@ -64,7 +89,8 @@ class TokenTable:
         """Wrap a dict, a plain word list, or a DataFrame with columns (key[, value]).
 
         A DataFrame is measured first. Only one within both bounds is fetched; anything
-        larger stays a DataFrame and is joined. Null keys and null values are no entries.
+        larger stays a DataFrame and is joined. Null keys and null values are no entries. Of a
+        repeated key the smallest value counts.
         """
         if isinstance(source, TokenTable):
             return source
@@ -73,9 +99,8 @@ class TokenTable:
                 source = {word: word for word in source}
             pairs = {k: v for k, v in source.items() if k is not None and v is not None}
             return cls(value_type or "string", pairs, None)
-        frame = cls._as_pairs(source)
-        value_type = value_type or frame.schema["value"].dataType.simpleString()
-        frame = frame.withColumn("value", F.col("value").cast(value_type))
+        frame = cls._unique(cls._as_pairs(source, value_type))
+        value_type = frame.schema["value"].dataType.simpleString()
         entries = frame.select("key", F.to_json(F.struct("value")).alias("json"))
         entries = entries.persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -93,18 +118,28 @@ class TokenTable:
         return cls(value_type, pairs, None)
 
     @classmethod
-    def joined(cls, source: DataFrame) -> TokenTable:
-        """Use the join without measuring, for tables that are themselves a long job."""
+    def joined(cls, source: DataFrame, unique: bool = False) -> TokenTable:
+        """Use the join without measuring, for tables that are themselves a long job.
+
+        ``unique`` says that no key repeats, which saves grouping the table.
+        """
         frame = cls._as_pairs(source)
+        frame = frame if unique else cls._unique(frame)
         return cls(frame.schema["value"].dataType.simpleString(), None, frame)
 
     @staticmethod
-    def _as_pairs(source: DataFrame) -> DataFrame:
+    def _as_pairs(source: DataFrame, value_type: str | None = None) -> DataFrame:
         key = source.columns[0]
-        value = source.columns[1] if len(source.columns) > 1 else key
-        frame = source.select(F.col(key).alias("key"), F.col(value).alias("value"))
+        value = F.col(source.columns[1] if len(source.columns) > 1 else key)
+        if value_type:
+            value = value.cast(value_type)
+        frame = source.select(F.col(key).alias("key"), value.alias("value"))
         return frame.where(F.col("key").isNotNull() & F.col("value").isNotNull())
 
+    @staticmethod
+    def _unique(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("key").agg(F.min("value").alias("value"))
+
     @property
     def is_constant(self) -> bool:
         return self.pairs is not None
@@ -140,13 +175,12 @@ def annotate_tokens(
     tokens: Column,
     table: TokenTable,
     out: str,
-    id_col: str | None = None,
     keep_misses: bool = False,
 ) -> DataFrame:
     """Add ``out``: ``array<struct<pos, token, value>>`` of the known tokens, in text order.
 
-    ``keep_misses`` keeps unknown tokens too, with a null value. The join needs ``id_col``,
-    unique and non-null. A null token array gives an empty result.
+    ``keep_misses`` keeps unknown tokens too, with a null value. A null token array gives an
+    empty result. Rows are told apart whatever their columns hold.
     """
     kind = f"array<struct<pos:int,token:string,value:{table.value_type}>>"
     empty = F.array().cast(kind)
@@ -160,32 +194,32 @@ def annotate_tokens(
             found = F.filter(found, lambda s: s["value"].isNotNull())
         return df.withColumn(out, F.coalesce(found.cast(kind), empty))
 
-    if id_col is None:
-        raise ValueError("a lookup table over the constant bound needs id_col")
-    found = _joined_tokens(df, tokens, table, id_col, keep_misses)
+    rows = with_row_id(df)
+    found = stage(_joined_tokens(rows, tokens, table, keep_misses), "found")
     annotated = (
-        df.join(found, df[id_col] == found["_id"], "left")
+        rows.join(found, rows[ROW_ID] == found["_id"], "left")
         .withColumn(out, F.coalesce(F.col("_found").cast(kind), empty))
         .drop("_id", "_found")
     )
-    return stage(annotated, "annotated")
+    return annotated if ROW_ID in df.columns else annotated.drop(ROW_ID)
 
 
 def _joined_tokens(
-    df: DataFrame, tokens: Column, table: TokenTable, id_col: str, keep_misses: bool
+    rows: DataFrame, tokens: Column, table: TokenTable, keep_misses: bool
 ) -> DataFrame:
-    """``_id, _found``: the annotated tokens of every post that has any."""
-    # A frequent word may be a third of all tokens: spread it over several join keys. The
-    # coalesce keeps the optimizer from computing the tokens a second time in a filter.
-    salts = join_salts(df.sparkSession)
-    tokens = F.coalesce(tokens, F.array().cast("array<string>"))
-    exploded = df.select(F.col(id_col).alias("_id"), F.posexplode(tokens).alias("pos", "token"))
-    exploded = exploded.withColumn("_salt", F.pmod(F.hash("_id", "pos"), F.lit(salts)))
-    entries = table.frame.select(
-        F.col("key").alias("token"),
-        "value",
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
+    """``_id, _found``: the annotated tokens of every row that has any."""
+    texts = stage(rows.select(F.col(ROW_ID).alias("_id"), tokens.alias("tokens")), "tokens")
+    exploded = texts.select("_id", F.posexplode("tokens").alias("pos", "token"))
+    # A frequent word may be a third of all tokens: it is spread over several join keys, and
+    # only its entry is copied for each of them.
+    salts, hot = join_salts(rows.sparkSession), hot_tokens(exploded)
+    is_hot = F.col("token").isin(hot)
+    exploded = exploded.withColumn(
+        "_salt", F.when(is_hot, F.pmod(F.hash("_id", "pos"), F.lit(salts))).otherwise(0)
     )
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    entries = table.frame.select(F.col("key").alias("token"), "value")
+    entries = entries.withColumn("_salt", F.explode(copies))
     return (
         exploded.join(entries, ["token", "_salt"], "left" if keep_misses else "inner")
         .groupBy("_id")

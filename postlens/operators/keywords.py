@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postlens import columns as C
 from postlens.functions import text as T
-from postlens.functions.token_table import join_salts
+from postlens.functions.token_table import ROW_ID, hot_tokens, join_salts, with_row_id
 from postlens.sources.staging import stage
 
 MAPPING_REGIONS = ("EU", "USA")
@@ -59,7 +59,6 @@ def map_conditions(
     df: DataFrame,
     text_col: str,
     mapping: DataFrame,
-    id_col: str | None = None,
     phrases: bool = False,
     conditions_col: str | None = None,
     max_keys: int = MAX_CONSTANT_KEYS,
@@ -69,8 +68,8 @@ def map_conditions(
     Both are sorted, distinct and joined by ``", "``; null without a match. A key made of
     word characters lies inside one word exactly when it lies inside the lower-cased
     text, so a small key table is a chain of ``contains`` tests within generated code.
-    A larger one goes through an equi-join on word fragments, needs ``id_col`` and reads
-    the posts more than once, so pass a table that is cheap to read.
+    A larger one goes through an equi-join on word fragments; rows are numbered and written
+    first, so ids that repeat or are null do no harm.
     ``conditions_col`` names an extra array column with the single conditions.
     """
     C.require_columns(df, text_col)
@@ -79,7 +78,7 @@ def map_conditions(
     if len(rows) > max_keys:
         if phrases:
             raise ValueError("phrases=True is for key tables within max_keys")
-        return _map_conditions_joined(df, text_col, keys, id_col, conditions_col)
+        return _map_conditions_joined(df, text_col, keys, conditions_col)
 
     text = F.lower(F.col(text_col))
     hit = {r["word"]: text.contains(r["word"]) for r in rows}
@@ -113,12 +112,11 @@ def match_keywords(
 
 
 def _map_conditions_joined(
-    df: DataFrame, text_col: str, keys: DataFrame, id_col: str | None, conditions_col: str | None
+    df: DataFrame, text_col: str, keys: DataFrame, conditions_col: str | None
 ) -> DataFrame:
-    if id_col is None:
-        raise ValueError("a key table over max_keys needs id_col")
-    found = _joined_keys(df, text_col, keys, id_col)
-    out = df.join(found, df[id_col] == found["_id"], "left").withColumns(
+    rows = with_row_id(df)
+    found = stage(_joined_keys(rows, text_col, keys), "keys")
+    out = rows.join(found, rows[ROW_ID] == found["_id"], "left").withColumns(
         {
             C.WEATHER_TOPICS: F.nullif(F.array_join("_keys", ", "), F.lit("")),
             C.WEATHER_TEMP: F.nullif(F.array_join("_conditions", ", "), F.lit("")),
@@ -126,23 +124,28 @@ def _map_conditions_joined(
     )
     if conditions_col:
         out = out.withColumn(conditions_col, F.col("_conditions"))
-    return stage(out.drop("_id", "_keys", "_conditions"), "tagged")
+    out = out.drop("_id", "_keys", "_conditions")
+    return out if ROW_ID in df.columns else out.drop(ROW_ID)
 
 
-def _joined_keys(df: DataFrame, text_col: str, keys: DataFrame, id_col: str) -> DataFrame:
+def _joined_keys(rows: DataFrame, text_col: str, keys: DataFrame) -> DataFrame:
     """``_id, _keys, _conditions`` of the posts with a match, for large key tables.
 
     Every fragment of a distinct word that is as long as some key is joined with the keys,
     then posts meet the matching words.
     """
-    salts = join_salts(df.sparkSession)
     lengths = keys.agg(F.sort_array(F.collect_set(F.length("word"))).alias("n")).first()["n"]
-    in_post = df.select(
-        F.col(id_col).alias("_id"),
+    in_post = rows.select(
+        F.col(ROW_ID).alias("_id"),
         F.explode(
             F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(T.WORD), F.lit(0)))
         ).alias("token"),
     )
+    in_post = stage(in_post, "post-words")
+    # a frequent word may sit in a third of all posts: only such words are salted
+    salts, hot = join_salts(rows.sparkSession), hot_tokens(in_post)
+    is_hot = F.col("token").isin(hot)
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
 
     def fragments(word: Column) -> Column:
         return F.array_distinct(
@@ -165,13 +168,12 @@ def _joined_keys(df: DataFrame, text_col: str, keys: DataFrame, id_col: str) ->
         .agg(
             F.collect_set("word").alias("keys"),
             F.collect_set("mapping").alias("conditions"),
-            # salted: a frequent word may sit in a third of all posts
-            F.sequence(F.lit(0), F.lit(salts - 1)).alias("salts"),
         )
-        .withColumn("_salt", F.explode("salts"))
-        .drop("salts")
+        .withColumn("_salt", F.explode(copies))
+    )
+    in_post = in_post.withColumn(
+        "_salt", F.when(is_hot, F.pmod(F.hash("_id"), F.lit(salts))).otherwise(0)
     )
-    in_post = in_post.withColumn("_salt", F.pmod(F.hash("_id"), F.lit(salts)))
 
     def merged(name: str) -> Column:
         return F.array_sort(F.array_distinct(F.flatten(F.collect_list(name))))

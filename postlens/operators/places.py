@@ -57,7 +57,6 @@ def map_country(
     gazetteer: DataFrame | TokenTable,
     out: str = "country",
     priority: tuple[str, ...] = COUNTRY_FIRST,
-    id_col: str | None = None,
     **bounds: int,
 ) -> DataFrame:
     """Country of the first known word in text order, else ``Unknown``.
@@ -67,7 +66,7 @@ def map_country(
     C.require_columns(df, text_col)
     if isinstance(gazetteer, DataFrame):
         gazetteer = TokenTable.of(gazetteer_tokens(gazetteer, priority), **bounds)
-    annotated = annotate_tokens(df, T.words(F.lower(text_col)), gazetteer, "_hits", id_col)
+    annotated = annotate_tokens(df, T.words(F.lower(text_col)), gazetteer, "_hits")
     first = F.get(F.col("_hits"), F.lit(0))["value"]
     return annotated.withColumn(out, F.coalesce(first, F.lit(UNKNOWN_LOCATION))).drop("_hits")
 
@@ -97,7 +96,6 @@ def extract_places(
     places: DataFrame | Iterable[str] | None = None,
     predictor: Callable[[], Callable[[pd.Series], pd.Series]] | None = None,
     out: str = "places",
-    id_col: str | None = None,
     only_where: Column | None = None,
     **bounds: int,
 ) -> DataFrame:
@@ -115,7 +113,7 @@ def extract_places(
 
     heads = TokenTable.of(_place_heads(df, places or ()), f"array<{_PLACE}>", **bounds)
     df = df.withColumn("_words", T.words(F.lower(text)))
-    df = annotate_tokens(df, F.col("_words"), heads, "_heads", id_col)
+    df = annotate_tokens(df, F.col("_words"), heads, "_heads")
 
     def longest(head: Column) -> Column:
         here = F.filter(
@@ -161,14 +159,13 @@ def final_location(
     places: DataFrame | Iterable[str] | None = None,
     predictor: Callable | None = None,
     priority: tuple[str, ...] = COUNTRY_FIRST,
-    id_col: str | None = None,
     **bounds: int,
 ) -> DataFrame:
     """Add ``final_location``: the country, else the place names, else ``Unknown``."""
-    df = map_country(df, text_col, gazetteer, "_country", priority, id_col, **bounds)
+    df = map_country(df, text_col, gazetteer, "_country", priority, **bounds)
     unknown = F.col("_country") == UNKNOWN_LOCATION
     df = extract_places(
-        df, text_col, places, predictor, "_places", id_col, only_where=unknown, **bounds
+        df, text_col, places, predictor, "_places", only_where=unknown, **bounds
     )
     location = F.when(unknown, F.coalesce("_places", F.lit(UNKNOWN_LOCATION))).otherwise(
         F.col("_country")

@@ -19,12 +19,12 @@ Scores = DataFrame | Mapping[str, float] | TokenTable
 
 
 def _scored(
-    df: DataFrame, text_col: str, lexicon: Scores, id_col: str | None, bounds: dict
+    df: DataFrame, text_col: str, lexicon: Scores, bounds: dict
 ) -> DataFrame:
     C.require_columns(df, text_col)
     table = TokenTable.of(lexicon, "double", **bounds)
     tokens = F.regexp_extract_all(F.lower(text_col), F.lit(T.WORD), F.lit(0))
-    return annotate_tokens(df, tokens, table, "_hits", id_col)
+    return annotate_tokens(df, tokens, table, "_hits")
 
 
 def _sum(hits: str) -> Column:
@@ -37,14 +37,14 @@ def lexicon_sentiment(
     lexicon: Scores,
     out: str = "lexicon_sentiment",
     score_col: str | None = None,
-    id_col: str | None = None,
     **bounds: int,
 ) -> DataFrame:
     """Valence sum ``s`` scaled to ``s / sqrt(s^2 + 15)``: positive from 0.05, negative from -0.05.
 
-    Null text has a null label. ``score_col`` keeps the scaled score.
+    Null text has a null label. ``score_col`` keeps the scaled score. Of a word that repeats in
+    ``lexicon`` the smallest score counts.
     """
-    scored = _scored(df, text_col, lexicon, id_col, bounds).withColumn("_s", _sum("_hits"))
+    scored = _scored(df, text_col, lexicon, bounds).withColumn("_s", _sum("_hits"))
     compound = F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + NORMALISER)
     scored = scored.withColumn("_score", F.when(F.col(text_col).isNotNull(), compound))
     label = (
@@ -61,11 +61,10 @@ def polarity_sentiment(
     lexicon: Scores,
     out: str = "polarity_sentiment",
     score_col: str | None = None,
-    id_col: str | None = None,
     **bounds: int,
 ) -> DataFrame:
     """Mean polarity of the known words: its sign is the label; no known word is neutral."""
-    scored = _scored(df, text_col, lexicon, id_col, bounds)
+    scored = _scored(df, text_col, lexicon, bounds)
     mean = F.coalesce(_sum("_hits") / F.nullif(F.size("_hits"), F.lit(0)), F.lit(0.0))
     scored = scored.withColumn("_score", F.when(F.col(text_col).isNotNull(), mean))
     label = (

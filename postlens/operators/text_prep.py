@@ -52,13 +52,12 @@ def lemmatize(
     exceptions: Exceptions = None,
     lexicon: Lexicon = None,
     out: str = "lemmas",
-    id_col: str | None = None,
     max_rows: int | None = None,
 ) -> DataFrame:
     """Noun lemma of every token. Without a known form a token stays unchanged.
 
     Both tables within the constant bound: a projection. Otherwise the lemmas of the
-    distinct tokens are worked out first and joined back, which needs ``id_col``.
+    distinct tokens are worked out first and joined back.
     """
     C.require_columns(df, tokens_col)
     lexicon = _lexicon_frame(df, lexicon)
@@ -94,7 +93,7 @@ def lemmatize(
     )
     changed = resolved.unionByName(by_rule).where(F.col("word") != F.col("lemma"))
     annotated = annotate_tokens(
-        df, F.col(tokens_col), TokenTable.joined(changed), "_hits", id_col, keep_misses=True
+        df, F.col(tokens_col), TokenTable.joined(changed, unique=True), "_hits", keep_misses=True
     )
     lemmas = F.transform("_hits", lambda h: F.coalesce(h["value"], h["token"]))
     return annotated.withColumn(out, F.when(F.col(tokens_col).isNotNull(), lemmas)).drop("_hits")
@@ -107,7 +106,6 @@ def prepare_text(
     exceptions: Exceptions = None,
     lexicon: Lexicon = None,
     contractions: bool = True,
-    id_col: str | None = None,
     max_rows: int | None = None,
 ) -> DataFrame:
     """Add ``cleaned_text`` and ``lemmatized_text``; null text gives null in both."""
@@ -118,7 +116,7 @@ def prepare_text(
     if lexicon is None and exceptions is None:
         lemmas = cleaned.withColumn("_lemmas", F.col("_tokens"))
     else:
-        lemmas = lemmatize(cleaned, "_tokens", exceptions, lexicon, "_lemmas", id_col, max_rows)
+        lemmas = lemmatize(cleaned, "_tokens", exceptions, lexicon, "_lemmas", max_rows)
     return lemmas.withColumn(C.LEMMATIZED_TEXT, F.array_join("_lemmas", " ")).drop(
         "_tokens", "_lemmas"
     )

@@ -252,7 +252,6 @@ def relevance_words(
     n: int = 3,
     text_col: str = C.LEMMATIZED_TEXT,
     out: str = "top_3_relevance_words",
-    id_col: str | None = None,
     **bounds: int,
 ) -> DataFrame:
     """The ``n`` words of a post with the largest relevance x count, joined by a blank.
@@ -267,7 +266,7 @@ def relevance_words(
     )
     table = TokenTable.of(relevance, "double", **bounds)
     bagged = df.withColumn("_bag", token_counts(T.words(F.col(text_col))))
-    hits = annotate_tokens(bagged, F.col("_bag")["token"], table, "_hits", id_col)
+    hits = annotate_tokens(bagged, F.col("_bag")["token"], table, "_hits")
 
     def ranked(bag: Column) -> Column:
         return F.array_sort(

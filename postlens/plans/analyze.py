@@ -11,14 +11,12 @@ from pyspark.sql import functions as F
 
 from postlens import columns as C
 from postlens.functions.text import ENGLISH_STOP_WORDS
-from postlens.functions.token_table import TokenTable
+from postlens.functions.token_table import ROW_ID, TokenTable, with_row_id
 from postlens.operators import classify, glossary, keywords, places, rollup, text_prep, topics
 from postlens.sources.readers import read_posts
 from postlens.sources.staging import stage, staging_path
 from postlens.sources.writers import write_result, write_rollup
 
-ROW_ID = "_row_id"
-
 
 @dataclass
 class Lookups:
@@ -41,23 +39,22 @@ class Lookups:
     stop_words: Iterable[str] = field(default=ENGLISH_STOP_WORDS)
 
 
-def enrich_posts(posts: DataFrame, lookups: Lookups, id_col: str | None = None) -> DataFrame:
+def enrich_posts(posts: DataFrame, lookups: Lookups) -> DataFrame:
     """Every step that looks at one post at a time: text, glossary, keywords, place, region.
 
     With lookup tables within the constant bound this is one projection over the scan, for
     batch and streaming tables alike.
     """
     df = text_prep.prepare_text(
-        posts, C.TEXT, lookups.stop_words, lookups.noun_exceptions, lookups.nouns, id_col=id_col
+        posts, C.TEXT, lookups.stop_words, lookups.noun_exceptions, lookups.nouns
     )
     if lookups.glossary is not None and lookups.lexicon is not None:
         df = glossary.map_glossary(
-            df, C.LEMMATIZED_TEXT, lookups.glossary, lookups.lexicon, id_col=id_col
+            df, C.LEMMATIZED_TEXT, lookups.glossary, lookups.lexicon
         )
-    df = keywords.map_conditions(df, C.CLEANED_TEXT, lookups.mapping, id_col=id_col)
+    df = keywords.map_conditions(df, C.CLEANED_TEXT, lookups.mapping)
     df = places.final_location(
         df, C.LEMMATIZED_TEXT, lookups.gazetteer, lookups.places, lookups.place_predictor,
-        id_col=id_col,
     )
     return places.with_region(df)
 
@@ -94,8 +91,8 @@ def analyze_posts(
     C.require_columns(posts, C.TEXT, C.ACCOUNT)
     key = id_col or ROW_ID
     if id_col is None:
-        posts = stage(posts.withColumn(ROW_ID, F.monotonically_increasing_id()), "posts")
-    enriched = enrich_posts(posts, lookups, key)
+        posts = with_row_id(posts)
+    enriched = enrich_posts(posts, lookups)
     if topic_model is None and fit:
         enriched = stage(enriched, "enriched")
         topic_model = topics.fit_topics(enriched, key, **topic_options)

@@ -272,7 +272,7 @@ def _text_table(spark, sf_dir, joined):
 
 
 def _lemmatize(spark, sf_dir, **options):
-    df = _text_table(spark, sf_dir, "id_col" in options).select("doc_id", T.words(F.col(C.CLEANED_TEXT)).alias("tokens"))
+    df = _text_table(spark, sf_dir, "max_rows" in options).select("doc_id", T.words(F.col(C.CLEANED_TEXT)).alias("tokens"))
     df = text_prep.lemmatize(
         df, "tokens", noun_exceptions(spark, sf_dir), conversation_words(spark, sf_dir), **options
     )
@@ -284,7 +284,7 @@ def lemmatize_lookup(spark, sf_dir):
 
 
 def lemmatize_joined(spark, sf_dir):
-    return _lemmatize(spark, sf_dir, id_col="doc_id", **JOINED)
+    return _lemmatize(spark, sf_dir, **JOINED)
 
 
 def prepare_text(spark, sf_dir):
@@ -315,14 +315,14 @@ def map_conditions(spark, sf_dir):
 
 def map_conditions_joined(spark, sf_dir):
     df = keywords.map_conditions(
-        _text_table(spark, sf_dir, True), C.CLEANED_TEXT, key_words(spark, sf_dir), "doc_id", max_keys=0
+        _text_table(spark, sf_dir, True), C.CLEANED_TEXT, key_words(spark, sf_dir), max_keys=0
     )
     return df.select("doc_id", C.WEATHER_TOPICS, C.WEATHER_TEMP)
 
 
 def _map_glossary(spark, sf_dir, **options):
     df = glossary.map_glossary(
-        _text_table(spark, sf_dir, "id_col" in options), C.CLEANED_TEXT, glossary_rows(spark, sf_dir),
+        _text_table(spark, sf_dir, "max_rows" in options), C.CLEANED_TEXT, glossary_rows(spark, sf_dir),
         conversation_words(spark, sf_dir), **options,
     )
     return df.select("doc_id", C.GLOSSARY_MAP)
@@ -333,12 +333,12 @@ def map_glossary(spark, sf_dir):
 
 
 def map_glossary_joined(spark, sf_dir):
-    return _map_glossary(spark, sf_dir, id_col="doc_id", **JOINED)
+    return _map_glossary(spark, sf_dir, **JOINED)
 
 
 def _map_country(spark, sf_dir, **options):
     df = places.map_country(
-        _text_table(spark, sf_dir, "id_col" in options), C.CLEANED_TEXT,
+        _text_table(spark, sf_dir, "max_rows" in options), C.CLEANED_TEXT,
         gazetteer(spark, sf_dir), **options,
     )
     return df.select("doc_id", "country")
@@ -349,7 +349,7 @@ def map_country(spark, sf_dir):
 
 
 def map_country_joined(spark, sf_dir):
-    return _map_country(spark, sf_dir, id_col="doc_id", **JOINED)
+    return _map_country(spark, sf_dir, **JOINED)
 
 
 def map_country_city_first(spark, sf_dir):
@@ -358,7 +358,7 @@ def map_country_city_first(spark, sf_dir):
 
 def _extract_places(spark, sf_dir, **options):
     df = places.extract_places(
-        _text_table(spark, sf_dir, "id_col" in options), C.CLEANED_TEXT,
+        _text_table(spark, sf_dir, "max_rows" in options), C.CLEANED_TEXT,
         place_names(spark, sf_dir), **options,
     )
     return df.select("doc_id", "places")
@@ -369,7 +369,7 @@ def extract_places(spark, sf_dir):
 
 
 def extract_places_joined(spark, sf_dir):
-    return _extract_places(spark, sf_dir, id_col="doc_id", **JOINED)
+    return _extract_places(spark, sf_dir, **JOINED)
 
 
 def final_location(spark, sf_dir):
@@ -423,7 +423,7 @@ def topic_words_learned_prior(spark, sf_dir):
 
 def relevance_words_model(spark, sf_dir):
     df, model = _fit(spark, sf_dir)
-    return topics.relevance_words(df, model, id_col="doc_id").select("doc_id", "top_3_relevance_words")
+    return topics.relevance_words(df, model).select("doc_id", "top_3_relevance_words")
 
 
 def relevance_words(spark, sf_dir):
@@ -431,7 +431,7 @@ def relevance_words(spark, sf_dir):
     df = _text_table(spark, sf_dir, True)
     counts = topics.vocabulary_counts(df, C.CLEANED_TEXT)
     relevance = counts.select("token", F.col("df").cast("double").alias("relevance"))
-    out = topics.relevance_words(df, relevance, text_col=C.CLEANED_TEXT, id_col="doc_id")
+    out = topics.relevance_words(df, relevance, text_col=C.CLEANED_TEXT)
     return out.select("doc_id", "top_3_relevance_words")
 
 
@@ -447,7 +447,7 @@ def lexicon_sentiment(spark, sf_dir):
 
 
 def lexicon_sentiment_joined(spark, sf_dir):
-    return _lexicon_sentiment(spark, sf_dir, id_col="doc_id", **JOINED)
+    return _lexicon_sentiment(spark, sf_dir, **JOINED)
 
 
 def polarity_sentiment(spark, sf_dir):
@@ -593,7 +593,7 @@ def analyze_posts_full(spark, sf_dir):
 
 def restrict_vocab(spark, sf_dir):
     phrases = _table(spark, sf_dir, "benchmark").select(T.clean_text(F.col("text")).alias("phrase"))
-    df = tfidf.restrict_vocab(cleaned(spark, sf_dir), C.CLEANED_TEXT, phrases, id_col="doc_id")
+    df = tfidf.restrict_vocab(cleaned(spark, sf_dir), C.CLEANED_TEXT, phrases)
     return df.select("doc_id", F.array_join("Vocab", " ").alias("vocab"))
 
 
@@ -615,7 +615,7 @@ def top_tfidf_words(spark, sf_dir):
     df = stage(topic_labelled(spark, sf_dir), "labelled")
     weights = tfidf.tfidf_by_group(df, "labels", C.CLEANED_TEXT)
     weights = stage(weights, "tfidf")
-    return tfidf.fill_words_by_tfidf(df, weights, "doc_id").select("doc_id", C.WEATHER_TOPICS)
+    return tfidf.fill_words_by_tfidf(df, weights).select("doc_id", C.WEATHER_TOPICS)
 
 
 def csv_posts_round_trip(spark, sf_dir):

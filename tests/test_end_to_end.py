@@ -155,7 +155,7 @@ def test_a_large_lookup_cannot_be_streamed_silently(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "in"))
     stream = read_post_stream(spark, str(tmp_path / "in"), schema)
     mapping = spark.createDataFrame([("a", "b"), ("c", "d")], "word string, mapping string")
-    with pytest.raises(ValueError, match="id_col"):
+    with pytest.raises(ValueError, match="stream"):
         keywords.map_conditions(stream, "text", mapping, max_keys=1)
 
 

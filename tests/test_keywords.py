@@ -45,7 +45,7 @@ CASES = [
 @pytest.mark.parametrize("way", [{}, {"max_keys": 0}])
 def test_conditions(spark, mapping, way):
     df = spark.createDataFrame([c[:2] for c in CASES], "id int, t string")
-    out = keywords.map_conditions(df, "t", mapping, "id", conditions_col="c", **way)
+    out = keywords.map_conditions(df, "t", mapping, conditions_col="c", **way)
     topics, temps, lists = (column(out, c) for c in ("weather_topics", "weather_temp", "c"))
     for i, _, topic, temp in CASES:
         assert (topics[i], temps[i]) == (topic, temp), i
@@ -71,7 +71,7 @@ def test_matches_equal_brute_force(spark, way):
     texts = ["".join(rng.choices("abc_éX -.\n", k=rng.randint(0, 25))) for _ in range(300)]
     table = spark.createDataFrame([(k, f"c{len(k)}") for k in keys], "word string, mapping string")
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    out = keywords.map_conditions(df, "t", table, "id", **way)
+    out = keywords.map_conditions(df, "t", table, **way)
     topics, temps = column(out, "weather_topics"), column(out, "weather_temp")
     for i, text in enumerate(texts):
         words = re.findall(r"\w+", text.lower())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions.lemma import NOUN_SUFFIXES
 from postlens.functions.token_table import TokenTable, annotate_tokens
-from postlens.operators import glossary, places, text_prep
+from postlens.operators import glossary, keywords, places, sentiment, text_prep
 
 BOTH_WAYS = [{}, {"max_rows": 0}]
 
@@ -26,7 +26,7 @@ def test_constant_and_join_find_the_same(spark, pairs):
             i: [(p, w, pairs.get(w)) for p, w in enumerate(t or []) if misses or w in pairs] for i, t in rows
         }
         for table in (TokenTable.of(frame), TokenTable.joined(frame), TokenTable.of(pairs)):
-            out = annotate_tokens(df, F.col("t"), table, "h", "id", misses)
+            out = annotate_tokens(df, F.col("t"), table, "h", misses)
             got = {r["id"]: [tuple(h) for h in r["h"]] for r in out.collect()}
             assert got == want
 
@@ -36,9 +36,6 @@ def test_a_table_over_a_bound_stays_a_dataframe(spark):
     assert TokenTable.of(frame).is_constant
     assert not TokenTable.of(frame, max_rows=99).is_constant
     assert not TokenTable.of(frame, max_bytes=50_000).is_constant
-    with pytest.raises(ValueError, match="id_col"):
-        df = spark.createDataFrame([(["1"],)], "t array<string>")
-        annotate_tokens(df, F.col("t"), TokenTable.joined(frame), "h")
 
 
 def test_null_keys_and_values_are_no_entries(spark):
@@ -74,7 +71,7 @@ def test_lemmas_equal_brute_force(spark, way):
     rows = [(i, words[i : i + 7]) for i in range(0, len(words), 7)] + [(-1, None), (-2, [])]
     df = spark.createDataFrame(rows, "id int, t array<string>")
     frame = spark.createDataFrame([(w,) for w in lexicon], "w string")
-    got = column(text_prep.lemmatize(df, "t", exceptions, frame, "l", "id", **way), "l")
+    got = column(text_prep.lemmatize(df, "t", exceptions, frame, "l", **way), "l")
     for i, tokens in rows:
         assert got[i] == (tokens and [noun_lemma(t, lexicon, exceptions) for t in tokens] or tokens), i
 
@@ -114,7 +111,7 @@ def texts(spark):
 
 @pytest.mark.parametrize("way", BOTH_WAYS)
 def test_country_of_the_first_known_word(spark, texts, cities, way):
-    got = column(places.map_country(texts, "t", cities, id_col="id", **way), "country")
+    got = column(places.map_country(texts, "t", cities, **way), "country")
     want = {1: "united kingdom", 3: "spain", 6: "france", 7: "france"}
     assert got == {i: want.get(i, "Unknown") for i in range(1, 11)}
 
@@ -145,7 +142,7 @@ def test_places_equal_brute_force(spark, way):
     rows = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 14)))) for i in range(200)]
     rows += [(900, None), (901, "x iceland b c d"), (902, "B C D E")]
     df = spark.createDataFrame(rows, "id int, t string")
-    got = column(places.extract_places(df, "t", sorted(names - {"iceland"}), id_col="id", **way), "places")
+    got = column(places.extract_places(df, "t", sorted(names - {"iceland"}), **way), "places")
     for i, text in rows:
         assert got[i] == leftmost_longest((text or "").lower().split(), names), text
 
@@ -181,5 +178,34 @@ def test_glossary(spark, way):
     df = spark.createDataFrame([(1, "a b C b"), (2, None), (3, "q"), (4, "")], "id int, t string")
     terms = spark.createDataFrame([("b", "def"), ("a", "never"), ("two words", "x")], "term string, definition string")
     words = spark.createDataFrame([("a",), ("C",)], "w string")
-    got = column(glossary.map_glossary(df, "t", terms, words, id_col="id", **way), "Glossary_Map")
+    got = column(glossary.map_glossary(df, "t", terms, words, **way), "Glossary_Map")
     assert got == {1: "a, def, c, def", 2: None, 3: "", 4: ""}
+
+
+@pytest.mark.parametrize("way", BOTH_WAYS)
+def test_repeated_and_null_ids_and_repeated_keys(spark, way):
+    rows = [(1, "b good"), (1, "bad"), (None, "good"), (None, "b q"), (2, "good"), (2, "good"), (3, None)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    terms = spark.createDataFrame([("b", "d2"), ("b", "d1"), ("b", None)], "term string, definition string")
+    words = spark.createDataFrame([("good",), ("good",)], "w string")
+    scores = spark.createDataFrame([("good", 3.0), ("good", 1.0), ("bad", -1.0), ("bad", None)], "w string, s double")
+    out = glossary.map_glossary(df, "t", terms, words, **way)
+    out = sentiment.polarity_sentiment(out, "t", scores, "p", "s", **way)
+    got = {(r["id"], r["t"], r["Glossary_Map"], r["s"]) for r in out.collect()}
+    assert got == {
+        (1, "b good", "d1, good", 1.0), (1, "bad", "", -1.0), (None, "good", "good", 1.0), (None, "b q", "d1", 0.0),
+        (2, "good", "good", 1.0), (3, None, None, None),
+    }
+    assert out.count() == len(rows)
+    assert "_row_id" not in out.columns
+
+
+@pytest.mark.parametrize("way", [{}, {"max_keys": 0}])
+def test_keywords_with_repeated_and_null_ids(spark, way):
+    df = spark.createDataFrame([(1, "storm"), (1, "heat"), (None, "storms"), (None, "x")], "id int, t string")
+    mapping = spark.createDataFrame([("storm", "cold"), ("storm", "wet"), ("heat", "warm")], "word string, mapping string")
+    out = keywords.map_conditions(df, "t", mapping, **way)
+    got = {(r["id"], r["t"], r["weather_topics"], r["weather_temp"]) for r in out.collect()}
+    storm = ("storm", "cold, wet")
+    assert {(i, t, x, y) for i, t, x, y in got if t != "x"} == {(1, "storm", *storm), (1, "heat", "heat", "warm"), (None, "storms", *storm)}
+    assert (None, "x", None, None) in got

@@ -96,7 +96,7 @@ def test_relevance_words(spark):
     df = spark.createDataFrame([(1, "b a a c c d"), (2, "x"), (3, None)], "id int, lemmatized_text string")
     scores = spark.createDataFrame([("a", 1.0), ("b", 5.0), ("c", 1.0), ("d", 0.5)], "token string, relevance double")
     for way in ({}, {"max_rows": 0}):
-        got = column(topics.relevance_words(df, scores, id_col="id", **way), "top_3_relevance_words")
+        got = column(topics.relevance_words(df, scores, **way), "top_3_relevance_words")
         assert got == {1: "b a c", 2: "", 3: None}
 
 
@@ -122,12 +122,12 @@ def test_label_and_final_words(spark):
 def test_sentiment(spark, way):
     df = spark.createDataFrame([(1, "Good, good!"), (2, "bad"), (3, "so so"), (4, None), (5, "good bad"), (6, "")], "id int, t string")
     scores = spark.createDataFrame([("good", 1.5), ("bad", -1.5)], "w string, s double")
-    out = sentiment.lexicon_sentiment(df, "t", scores, score_col="s", id_col="id", **way)
+    out = sentiment.lexicon_sentiment(df, "t", scores, score_col="s", **way)
     assert column(out, "lexicon_sentiment") == {
         1: "positive", 2: "negative", 3: "neutral", 4: None, 5: "neutral", 6: "neutral",
     }
     assert column(out, "s")[1] == pytest.approx(3 / math.sqrt(24))
-    out = sentiment.polarity_sentiment(df, "t", scores, score_col="s", id_col="id", **way)
+    out = sentiment.polarity_sentiment(df, "t", scores, score_col="s", **way)
     assert column(out, "polarity_sentiment") == column(
         sentiment.lexicon_sentiment(df, "t", scores), "lexicon_sentiment"
     )
@@ -231,14 +231,14 @@ def test_fill_words(spark):
         [("x", "aa", 0.1), ("x", "bb", 0.5), ("x", "cc", 0.5), ("x", "abc", 1.0), ("y", "zz", 0.2)],
         "label string, token string, tfidf double",
     )
-    got = column(tfidf.fill_words_by_tfidf(df, weights, "id"), "weather_topics")
+    got = column(tfidf.fill_words_by_tfidf(df, weights), "weather_topics")
     assert got == {1: "bb, cc", 2: "kept", 3: None, 4: None, 5: "zz", 6: None}
 
 
 @pytest.mark.parametrize("way", [{}, {"max_rows": 0}])
 def test_restrict_vocab(spark, way):
     df = spark.createDataFrame([(1, "b a x b"), (2, None), (3, "x")], "id int, t string")
-    got = column(tfidf.restrict_vocab(df, "t", ["a b", "c"], id_col="id", **way), "Vocab")
+    got = column(tfidf.restrict_vocab(df, "t", ["a b", "c"], **way), "Vocab")
     assert got == {1: ["b", "a", "b"], 2: None, 3: []}
     empty = df.select("id", F.lit("").alias("t"))
     assert column(tfidf.restrict_vocab(empty, "t", ["a"]), "Vocab")[1] == []

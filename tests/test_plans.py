@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from postlens import columns as C
 from postlens.functions import text as T
-from postlens.functions.token_table import TokenTable, _joined_tokens
+from postlens.functions.token_table import TokenTable, _joined_tokens, hot_tokens, with_row_id
 from postlens.operators import glossary, keywords, places, rollup, sentiment, text_prep, tfidf, topics
 
 
@@ -98,19 +98,25 @@ def test_tfidf_reads_counts_not_posts(spark, posts):
 
 def test_joined_lookup_is_salted(spark, posts):
     table = TokenTable.joined(spark.createDataFrame([("storm", -1.0)], "w string, s double"))
-    text = plan(_joined_tokens(posts, T.words(F.col("text")), table, "id", False))
+    text = plan(_joined_tokens(with_row_id(posts), T.words(F.col("text")), table, False))
     assert "_salt" in text
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
 def test_a_joined_lookup_leaves_a_written_table(spark, posts):
     table = spark.createDataFrame([("storm", -1.0)], "w string, s double")
-    text = plan(sentiment.lexicon_sentiment(posts, "text", table, id_col="id", max_rows=0))
-    assert "Exchange" not in text and "Join" not in text
+    text = plan(sentiment.lexicon_sentiment(posts, "text", table, max_rows=0))
+    assert "Generate" not in text and text.count("Join") <= 2
 
 
 def test_large_key_table_is_a_salted_equi_join(spark, posts):
     mapping = spark.createDataFrame([("storm", "cold"), ("pa", "warm")], "word string, mapping string")
-    text = plan(keywords._joined_keys(posts, "text", mapping, "id"))
+    text = plan(keywords._joined_keys(with_row_id(posts), "text", mapping))
     assert "_salt" in text
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_only_hot_tokens_are_salted(spark):
+    tokens = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "the").otherwise(F.concat(F.lit("w"), "id")).alias("token"))
+    assert hot_tokens(tokens) == ["the"]
+    assert hot_tokens(tokens.limit(0)) == []
