@@ -5,10 +5,11 @@
 2. A forest of signature trees is rooted at rare shingles: two sets of that similarity share
    one of the first ``n - ceil(s n) + 1`` shingles of each, in any common order. The order
    puts shingles last that a count sketch of the whole corpus shows as frequent.
-3. The sets below one root form a tree of OR-combined bitmaps and size ranges; its dual traversal
-   leaves the pairs that may link. They tie sets into candidate groups. Roots with very many sets,
-   or frequent ones with many, tie neighbours by size instead, which can only make a group
-   larger. A frequent shingle comes first only in sets that hold little else: near copies.
+3. The sets below one root, cut where sizes have a gap that no link can cross, form trees of
+   OR-combined bitmaps and size ranges; their dual traversal leaves the pairs that may link. These
+   tie sets into candidate groups. Trees that would hold very many sets, or many below a frequent
+   root, tie neighbours by size instead, which can only make a group larger. A frequent shingle
+   comes first only in sets that hold little else: near copies.
 4. Each group is joined again by its bitmaps, so that only sets that can link stay together, and
    then by its whole shingle sets: its tree proposes, an exact intersection decides, and pairs
    already in one component are skipped. A large group is dealt into blocks twice at random; what
@@ -39,37 +40,69 @@ SKETCH_SLICES = 8
 #: Sets below one root that make a tree at once; of a shingle that the sketch shows as frequent.
 ROOT_SETS, FREQUENT_ROOT_SETS = 1024, 64
 BLOCK_SETS = 512
-KNOWN_WORDS = 500_000
-#: Hash values of wanted ids that a broadcast holds at most.
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 16
+#: Hash values of wanted ids or keys that a broadcast holds at most.
 FILTER_BUCKETS = 1 << 18
 
 
-class WordHashes(dict):
-    """Hash of each word; starts anew when full."""
+_ODD = 0x9E3779B97F4A7C15
+_BYTE_CODES = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+_IN_WORD = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
+def _powers(base: int) -> np.ndarray:
+    out = np.full(PIECE + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-def shingle_set(text: bytes, hashes: WordHashes, width: int = SHINGLE_WORDS) -> np.ndarray:
+
+_POWERS, _INVERSES = _powers(_ODD), _powers(pow(_ODD, -1, 1 << 64))
+
+
+def word_codes(text: bytes) -> np.ndarray:
+    """64-bit hash of each word: a polynomial of its bytes, from running sums over pieces of text.
+
+    A word longer than a piece is hashed on its own.
+    """
+    data = np.frombuffer(text, np.uint8) if text else np.empty(0, np.uint8)
+    edges = np.flatnonzero(np.diff(_IN_WORD[data], prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    codes = np.empty(len(starts), np.uint64)
+    low = 0
+    while low < len(starts):
+        base = starts[low]
+        high = int(np.searchsorted(ends, base + PIECE, "right"))
+        if high <= low:
+            codes[low] = xxhash.xxh3_64_intdigest(text[base : ends[low]])
+            low += 1
+            continue
+        size = ends[high - 1] - base
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(_BYTE_CODES[data[base : base + size]] * _POWERS[:size], out=sums[1:])
+        at = starts[low:high] - base
+        codes[low:high] = (sums[ends[low:high] - base] - sums[at]) * _INVERSES[at]
+        low = high
+    return codes
+
+
+def shingle_set(text: bytes, width: int = SHINGLE_WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text.
 
-    ``bytes.lower`` changes A-Z only, ``bytes.split`` cuts at blank and \\x09-\\x0D only.
+    ``bytes.lower`` changes A-Z only; words end at blank and \\x09-\\x0D only.
     """
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    codes = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    codes = word_codes(text.lower())
+    if not len(codes):
+        return codes
     width = min(width, len(codes))
     n = len(codes) - width + 1
     out = np.full(n, width, np.uint64)
     for at in range(width):
-        out = (out ^ codes[at : at + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= codes[at : at + n]
+        out *= np.uint64(_ODD)
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def _key(tokens: np.ndarray) -> int:
@@ -92,10 +125,10 @@ def _sets(batches) -> Iterator[pa.RecordBatch]:
         arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
         return pa.RecordBatch.from_arrays(arrays, names)
 
-    hashes, counts, any_row = WordHashes(), np.zeros(SKETCH_WIDTH, np.int64), False
+    counts, any_row = np.zeros(SKETCH_WIDTH, np.int64), False
     for rows in slices(batches):
         any_row = True
-        sets = [shingle_set(t, hashes) for t in byte_texts(rows.column(1))]
+        sets = [shingle_set(t) for t in byte_texts(rows.column(1))]
         counts += np.bincount(_bucket(np.concatenate(sets)), minlength=SKETCH_WIDTH)
         none = [None] * len(sets)
         yield batch(
@@ -125,29 +158,27 @@ def frequency_level(counts: np.ndarray) -> np.ndarray:
     """0 for a bucket that is as full as most; else a logarithm of what it has above that."""
     usual = np.median(counts)
     above = counts - usual - 6 * np.sqrt(usual + 1)
-    return np.where(above > 0, np.log2(np.maximum(above, 1)) + 1, 0).astype(np.uint64)
+    return np.where(above > 0, np.log2(np.maximum(above, 1)) + 1, 0).astype(np.uint8)
 
 
 def _roots(level: np.ndarray, similarity: tuple[int, int]):
     num, den = similarity
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen = set()
         for rows in slices(batches):
             tokens, keys, sizes, frequent = [], [], [], []
             for text in byte_texts(rows.column(0)):
-                s = shingle_set(text, hashes)
+                s = shingle_set(text)
                 if not len(s) or (key := _key(s)) in seen:
                     continue
                 seen.add(key)
-                rank = (level[_bucket(s)] << np.uint64(58)) | (s >> np.uint64(6))
-                first = len(s) + (-len(s) * num) // den + 1
-                if first < len(s):
-                    s = s[np.argpartition(rank, first - 1)[:first]]
-                tokens.append(s)
-                keys.append(np.full(len(s), key, np.int64))
-                sizes.append(np.full(len(s), len(rank), np.int32))
-                frequent.append(level[_bucket(s)] > 0)
+                own = level[_bucket(s)]
+                first = np.argsort(own, kind="stable")[: len(s) + (-len(s) * num) // den + 1]
+                tokens.append(s[first])
+                keys.append(np.full(len(first), key, np.int64))
+                sizes.append(np.full(len(first), len(s), np.int32))
+                frequent.append(own[first] > 0)
             if tokens:
                 columns = [np.concatenate(c) for c in (tokens, keys, sizes, frequent)]
                 columns[0] = columns[0].view(np.int64)
@@ -210,9 +241,7 @@ def _link(similarity: tuple[int, int]):
     num, den = similarity
 
     def run(batches):
-        hashes = WordHashes()
-        names = ["key", "component", "tokens"]
-        for block in _blocks(_with_sets(batches, hashes), names):
+        for block in _blocks(_with_sets(batches), ["key", "component", "tokens"]):
             keys = block["key"]
             sets = [np.frombuffer(t, np.uint64) for t in block["tokens"]]
             groups = _start(block["component"])
@@ -232,7 +261,7 @@ def _link(similarity: tuple[int, int]):
     return run
 
 
-def _with_sets(batches, hashes) -> Iterator[pa.RecordBatch]:
+def _with_sets(batches) -> Iterator[pa.RecordBatch]:
     """The rows with whole shingle sets in place of texts; repeats of a set are left out."""
     last = None
     for rows in slices(batches, 64):
@@ -242,7 +271,7 @@ def _with_sets(batches, hashes) -> Iterator[pa.RecordBatch]:
         for block, key, component, text in zip(*data.values(), texts, strict=True):
             if (block, key) == last:
                 continue
-            tokens = shingle_set(text, hashes)
+            tokens = shingle_set(text)
             if _key(tokens) == key:  # else another row of the same doc_id
                 last = (block, key)
                 for n, v in zip(out, (block, key, component, tokens.tobytes()), strict=True):
@@ -253,7 +282,7 @@ def _with_sets(batches, hashes) -> Iterator[pa.RecordBatch]:
 
 
 def _by_block(rows: DataFrame, run) -> DataFrame:
-    dealt = rows.drop("rep", "doc_id", "b").repartition("block").sortWithinPartitions("block", "key")
+    dealt = rows.drop("rep", "doc_id").repartition("block").sortWithinPartitions("block", "key")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -265,32 +294,35 @@ def _candidate_edges(docs: DataFrame, one: DataFrame, level, similarity) -> Data
     by_root = Window.partitionBy("token").orderBy("n", "key")
     roots = roots.withColumn("before", F.lag("key").over(by_root))
     roots = roots.where("before is null or before != key")
+    fits = lambda small, large: F.coalesce(den * small >= num * large, F.lit(False))
     roots = roots.withColumns(
         {
-            "before": F.lag(F.struct("n", "key")).over(by_root),
-            "sets": F.count("*").over(Window.partitionBy("token")),
+            "before": F.lag("key").over(by_root),
+            "fits": fits(F.lag("n").over(by_root), F.col("n")),
+            "fits_next": fits(F.col("n"), F.lead("n").over(by_root)),
         }
-    ).where("sets > 1")
+    ).where("fits or fits_next")
+    # a gap in size that no link can cross starts a tree of its own
+    so_far = by_root.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    roots = roots.withColumn("tree", F.count_if(~F.col("fits")).over(so_far))
+    roots = roots.withColumn("sets", F.count("*").over(Window.partitionBy("token", "tree")))
     most = F.when(F.col("frequent"), FREQUENT_ROOT_SETS).otherwise(ROOT_SETS)
     roots = roots.withColumn("large", F.col("sets") > most)
-    roots = stage(roots.select("token", "n", "key", "before", "large"), "roots")
-    chain = roots.where(F.col("large") & (den * F.col("before.n") >= num * F.col("n")))
-    chain = chain.select(F.col("before.key").alias("a"), F.col("key").alias("b")).distinct()
+    roots = stage(roots.select("token", "tree", "n", "key", "before", "fits", "large"), "roots")
+    chain = roots.where("large and fits")
+    chain = chain.select(F.col("before").alias("a"), F.col("key").alias("b")).distinct()
     trees = (
         roots.where(~F.col("large"))
-        .groupBy("token")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("n", "key"))).alias("sets"),
-            F.max(den * F.col("before.n") >= num * F.col("n")).alias("fits"),
-        )
-        .where("fits")
+        .groupBy("token", "tree")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("sets"))
         .select("sets")
         .distinct()
         .select(F.xxhash64("sets").alias("block"), F.explode("sets.key").alias("key"))
     )
     none = F.lit(None).cast("long").alias("component")
-    trees = trees.join(one.select("key", "n", "signature", none), "key")
-    return _by_block(trees, _tie_candidates(similarity)).union(chain)
+    trees = stage(trees, "trees")
+    signed = _near(one, "key", trees).select("key", "n", "signature", none)
+    return _by_block(trees.join(signed, "key"), _tie_candidates(similarity)).union(chain)
 
 
 def ngram_jaccard_join(
@@ -319,7 +351,9 @@ def ngram_jaccard_join(
     )
     level = frequency_level(_sketch(staged))
     groups = components(_candidate_edges(named, one, level, similarity))
-    signed = lambda wanted: wanted.join(one.select("key", "n", "signature"), "key")
+    signed = lambda wanted: wanted.join(
+        _near(one, "key", wanted).select("key", "n", "signature"), "key"
+    )
     ties = _edges_within(groups, one, signed, _tie_candidates(similarity), block_sets)
     read = lambda wanted: _with_texts(named, wanted)
     links = _edges_within(components(ties), one, read, _link(similarity), block_sets)
@@ -334,15 +368,19 @@ def ngram_jaccard_join(
     )
 
 
-def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts of ``wanted(rep, ...)``.
+def _near(rows: DataFrame, column: str, wanted: DataFrame, name: str | None = None) -> DataFrame:
+    """The rows whose ``column`` may be among ``wanted``; a join then decides.
 
-    A broadcast of at most ``FILTER_BUCKETS`` hash values of the ids that are wanted keeps most
-    other texts out of the shuffle; the join then decides.
+    A broadcast of at most ``FILTER_BUCKETS`` hash values keeps most others out of the shuffle.
     """
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BUCKETS)).alias("b")
-    some = wanted.select(bucket("rep")).distinct()
-    near = docs.join(F.broadcast(some), bucket("doc_id") == F.col("b"), "left_semi")
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BUCKETS))
+    some = wanted.select(bucket(name or column).alias("b")).distinct()
+    return rows.join(F.broadcast(some), bucket(column) == F.col("b"), "left_semi")
+
+
+def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of ``wanted(rep, ...)``."""
+    near = _near(docs, "doc_id", wanted, "rep")
     return near.join(wanted, F.col("doc_id") == F.col("rep"))
 
 

@@ -95,6 +95,17 @@ def test_ngram_join(spark, block_sets):
     assert Counter(map(tuple, got)) == want
 
 
+def test_word_codes():
+    """One hash for each word, equal for equal words, over pieces and words longer than a piece."""
+    long = b"x" * (ngram_join.PIECE + 1)
+    text = b" ".join([b"a B", long, b"a\x85\tw\xc3\xa9", b"one two\n" * 20_000, long, b"ab ba "])
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", text) if w]
+    codes = ngram_join.word_codes(text).tolist()
+    assert len(codes) == len(words)
+    assert len(set(zip(words, codes, strict=True))) == len(set(words)) == len(set(codes))
+    assert not len(ngram_join.word_codes(b"")) and not len(ngram_join.word_codes(b" \n"))
+
+
 def test_tree_loses_no_pair():
     r = np.random.default_rng(1)
     sets = []
