@@ -21,19 +21,21 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WINDOW = 3
 
-#: Relative error of a sketched quantile is half of this.
-GROWTH = 1.02
+#: Relative error of a sketched quantile is half of this; bins far narrower than a spread.
+GROWTH = 1.005
 #: Groups with fewer documents take the sketch of their language, then of all.
 MIN_GROUP = 100
-#: A fence lies this many spreads (between two quantiles) beyond the outer quantile ...
+#: A fence lies this many spreads (from the median to the outer quantile) beyond the outer quantile.
 SPREADS = 4.0
-LOW_QUANTILE, MIDDLE_QUANTILE, HIGH_QUANTILE = 0.25, 0.5, 0.75
-#: ... and never nearer than this; name: (least upper fence, greatest lower fence or None).
-FLOORS = {
-    "mean_word": (15.0, 2.0),
-    "symbol_ratio": (0.3, None),
-    "dup_line_ratio": (0.5, None),
-    "repeat_ratio": (0.4, None),
+LOW_QUANTILE, MIDDLE_QUANTILE = 0.25, 0.5
+#: name: (high quantile, least spread, whether there is a lower fence). Ratios are 0 for most documents,
+#: so their quantile is farther out. The least spread keeps a group of equal values from
+#: failing every other value; where a group spreads more, its own sketch decides.
+MEASURES = {
+    "mean_word": (0.75, 0.1, True),
+    "symbol_ratio": (0.9, 0.02, False),
+    "dup_line_ratio": (0.9, 0.01, False),
+    "repeat_ratio": (0.9, 0.02, False),
 }
 
 
@@ -103,12 +105,18 @@ def sketches(measured: DataFrame) -> DataFrame:
     source with a third of all rows arrives as a few hundred counts.
     """
     named = F.explode(
-        F.array(*[F.struct(F.lit(n).alias("name"), bin_of(F.col(n)).alias("bin")) for n in FLOORS])
+        F.array(*[F.struct(F.lit(n).alias("name"), bin_of(F.col(n)).alias("bin")) for n in MEASURES])
     )
     rows = measured.where("n_words > 0").select("lang", "source", named.alias("m"))
     return rows.groupBy("lang", "source", "m.name", "m.bin").agg(F.count("*").alias("n"))
 
 
+def _by_measure(at: int) -> Column:
+    """The entry of ``MEASURES`` at this place for the measure in ``name``."""
+    pairs = [x for name, own in MEASURES.items() for x in (F.lit(name), F.lit(own[at]))]
+    return F.create_map(*pairs)[F.col("name")]
+
+
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     """``q_low``, ``q_mid``, ``q_high`` and ``n_group`` for each of the keys and each measure."""
     keys = [*keys, "name"]
@@ -117,7 +125,7 @@ def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     run = merged.withColumns(
         {"below": F.sum("n").over(over.orderBy("bin")), "total": F.sum("n").over(over)}
     )
-    at = {"q_low": LOW_QUANTILE, "q_mid": MIDDLE_QUANTILE, "q_high": HIGH_QUANTILE}
+    at = {"q_low": LOW_QUANTILE, "q_mid": MIDDLE_QUANTILE, "q_high": _by_measure(0)}
     return run.groupBy(*keys).agg(
         F.max("total").alias("n_group"),
         *[
@@ -130,7 +138,8 @@ def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
 def fences(sketch: DataFrame) -> DataFrame:
     """``upper`` and ``lower`` for each (language, source, measure), a row for each group.
 
-    A small group borrows the merged sketch of its language, or of everything.
+    A small group borrows the merged sketch of its language, or of everything. No value is
+    fixed: a fence follows the quantiles of the sketch that its group takes.
     """
     own = quantiles(sketch, ["lang", "source"])
     lang = quantiles(sketch, ["lang"])
@@ -145,19 +154,11 @@ def fences(sketch: DataFrame) -> DataFrame:
         for n in names
     }
     picked = both.select("a.lang", "a.source", "a.name", *[v.alias(n) for n, v in pick.items()])
-    least, most = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for name, (upper, lower) in FLOORS.items():
-        here = F.col("name") == name
-        least = F.when(here, F.lit(upper)).otherwise(least)
-        most = F.when(here, F.lit(lower).cast("double")).otherwise(most)
-    upper = F.col("q_high") + SPREADS * (F.col("q_high") - F.col("q_mid"))
-    lower = F.col("q_low") - SPREADS * (F.col("q_mid") - F.col("q_low"))
+    spread = lambda a, b: SPREADS * F.greatest(F.col(a) - F.col(b), _by_measure(1))
+    upper = F.col("q_high") + spread("q_high", "q_mid")
+    lower = F.col("q_low") - spread("q_mid", "q_low")
     return picked.select(
-        "lang",
-        "source",
-        "name",
-        F.greatest(upper, least).alias("upper"),
-        F.when(most.isNotNull(), F.least(lower, most)).alias("lower"),
+        "lang", "source", "name", upper.alias("upper"), F.when(_by_measure(2), lower).alias("lower")
     )
 
 
@@ -179,13 +180,13 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     valid = {n: F.when(F.col("n_words") > 0, m) for n, m in measures().items()}
     measured = counted.withColumns(valid)
     wide = fences(sketches(measured)).groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("name") == n, F.col(v))).alias(f"{n}_{v}") for n in FLOORS for v in ("upper", "lower")]
+        *[F.max(F.when(F.col("name") == n, F.col(v))).alias(f"{n}_{v}") for n in MEASURES for v in ("upper", "lower")]
     )
     wide = wide.withColumnsRenamed({"lang": "own_lang", "source": "own_source"})
     same = F.expr("lang <=> own_lang and source <=> own_source")
     beyond = [
         F.when((F.col(n) > F.col(f"{n}_upper")) | (F.col(n) < F.col(f"{n}_lower")), F.lit(n))
-        for n in FLOORS
+        for n in MEASURES
     ]
     base_failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")

@@ -185,6 +185,18 @@ def test_quality_rules(awkward, spark, data_dir):
     assert any("symbol_ratio" in r["failed"] for r in got)
 
 
+def test_quality_fences_follow_their_group(spark):
+    """Symbols in a tenth of the words: usual in one source, far beyond the fence of the other."""
+    plain = " ".join(f"word{i}" for i in range(60))
+    marked = " ".join(f"word{i}#" if i < 6 else f"word{i}" for i in range(60))
+    rows = [(i, marked if i % 2 or i == 0 else plain, "en", ("code", "prose")[i >= 240 or i == 0]) for i in range(480)]
+    rows = [(i, plain if i >= 240 else t, g, s) for i, t, g, s in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: (r["kept"], r["failed"]) for r in quality_rules.quality_rules(docs).collect()}
+    assert got[0] == (False, "symbol_ratio") and got[1] == (True, "")
+    assert all(got[i] == (True, "") for i in range(1, 480))
+
+
 def test_sharding(awkward):
     tree = sharding.hash_tree(40)
     rows = sharding.shard_rows(awkward, tree, sharding.with_new_region(tree, 40), rows_per_group=2)
