@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Words of a k-mer, k-mers of a tuple, tuples of a fingerprint.
 K, TUPLE, PARTS = 3, 2, 16
-#: k-mers that each part is left to choose from, on average; all others hash too high.
+#: Low k-mers that each part looks at first, on average; one that finds too few looks at all.
 CHOICE = 8
 PLACE_BITS = 26
 PLACE = (1 << PLACE_BITS) - 1
@@ -71,21 +71,37 @@ def fingerprint(df: DataFrame, text: str, name: str, parts: int = PARTS) -> Data
     kept = F.lit(float(1 << 63)) * (parts * CHOICE) / n
     below = F.when(n > parts * CHOICE, kept.cast("long")).otherwise(F.lit((1 << 63) - 1))
     df = df.withColumns(
-        {"_c": F.when(F.size("_h") == n, once).otherwise(F.flatten(runs)), "_b": below}
+        {"_a": F.when(F.size("_h") == n, once).otherwise(F.flatten(runs)), "_b": below}
     ).drop("_s", "_h")
-    df = df.withColumn("_c", F.sort_array(F.filter("_c", lambda c: c <= F.col("_b")))).drop("_b")
+    df = df.withColumn("_c", F.sort_array(F.filter("_a", lambda c: c <= F.col("_b")))).drop("_b")
 
-    def tuple_hash(part: Column) -> Column:
-        own = F.filter("_c", lambda c: F.shiftright(c, PLACE_BITS) % parts == part)
+    def of_part(candidates: str, part: Column) -> Column:
+        return F.filter(candidates, lambda c: F.shiftright(c, PLACE_BITS) % parts == part)
+
+    low = F.transform(
+        F.sequence(F.lit(0), F.lit(parts - 1)), lambda part: F.slice(of_part("_c", part), 1, TUPLE)
+    )
+    # what is above the bound comes after all below it, so only a part that found too few looks again
+    bounded = F.size("_c") < F.size("_a")
+    df = df.withColumns({"_l": low, "_n": bounded}).drop("_c")
+    chosen = F.transform(
+        "_l",
+        lambda own, part: F.when(
+            F.col("_n") & (F.size(own) < TUPLE),
+            F.slice(F.sort_array(of_part("_a", part)), 1, TUPLE),
+        ).otherwise(own),
+    )
+    df = df.withColumn("_l", chosen).drop("_a", "_n")
+
+    def tuple_hash(own: Column) -> Column:
         lowest = F.transform(
-            F.slice(own, 1, TUPLE),
+            own,
             lambda c: F.struct(c.bitwiseAND(F.lit(PLACE)).alias("place"), _code(c).alias("code")),
         )
         in_order = F.transform(F.array_sort(lowest), lambda s: s["code"])
         return F.when(F.size(in_order) > 0, F.xxhash64(in_order)).otherwise(F.lit(0).cast("long"))
 
-    tuples = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), tuple_hash)
-    return df.withColumn(name, tuples).drop("_c")
+    return df.withColumn(name, F.transform("_l", tuple_hash)).drop("_l")
 
 
 def likeness(a: Column, b: Column) -> Column:

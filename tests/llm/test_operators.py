@@ -292,7 +292,7 @@ def test_reply_trees(spark):
 
 
 def brute_fingerprint(text):
-    place, code, top = (1 << 26) - 1, ((1 << 63) - 1) & ~((1 << 26) - 1), (1 << 63) - 1
+    place, code = (1 << 26) - 1, ((1 << 63) - 1) & ~((1 << 26) - 1)
 
     def h(*values):
         seed = 42
@@ -314,9 +314,6 @@ def brute_fingerprint(text):
     for g in sorted(grams):
         found.append((h_int(g & code, seen[g & code]) & code) | (g & place))
         seen[g & code] += 1
-    if len(grams) > 128:
-        below = int(float(1 << 63) * 128 / len(grams))
-        found = [f for f in found if f <= min(below, top)]
     found.sort()
     out = []
     for part in range(16):
@@ -339,6 +336,14 @@ def test_fingerprints(spark, awkward):
     assert Counter((r["text"], r["next_text"]) for r in got) == follows
 
 
+def test_fingerprints_of_long_texts(spark):
+    """In some of these a part has fewer than two k-mers among the lowest of the text."""
+    rows = [(i, " ".join(f"{i}w{j}" for j in range(400))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = fingerprints.fingerprint(docs, "text", "own").collect()
+    assert [r["doc_id"] for r in got if r["own"] != brute_fingerprint(r["text"])] == []
+
+
 def test_models_on_held_out(spark, data_dir):
     labels = spark.read.parquet(f"{data_dir}/labels.parquet").select("doc_id", "quality")
     quality = QUERIES["op3_quality_model"](spark, data_dir).where("held_out").join(labels, "doc_id").collect()
