@@ -507,19 +507,13 @@ def classification_metrics(spark, sf_dir):
 
 def train_temperature_model(spark, sf_dir):
     path = staging_path(spark, "model")
-    return train_and_evaluate(
-        labelled(spark, sf_dir), path, id_col="doc_id", num_features=1 << 14, max_iter=10,
-        reg_params=(0.01, 0.1),
-    )
+    return train_and_evaluate(labelled(spark, sf_dir), path, id_col="doc_id")
 
 
 def predict_temperature(spark, sf_dir):
     """Train on the labelled documents, save, load, and class every document."""
     parts = classify.split_train_val(labelled(spark, sf_dir), "doc_id")
-    model = classify.train_temperature_model(
-        parts.where("not is_val"), parts.where("is_val"), num_features=1 << 14, max_iter=10,
-        reg_params=(0.1,),
-    )
+    model = classify.train_temperature_model(parts.where("not is_val"), parts.where("is_val"))
     path = staging_path(spark, "model")
     writers.save_model(model, path)
     df = classify.predict_temperature(documents(spark, sf_dir), writers.load_model(path), "text")

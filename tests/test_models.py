@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions.labels import CLIMATE_SENTIMENT_LABELS, TWITTER_SENTIMENT_LABELS
 from postlens.operators import classify, sentiment, tfidf, topics
+from postlens.plans import catalog
 from postlens.plans.train import run_training
 from postlens.sources.writers import load_model, save_model
 
@@ -242,3 +243,18 @@ def test_restrict_vocab(spark, way):
     assert got == {1: ["b", "a", "b"], 2: None, 3: []}
     empty = df.select("id", F.lit("").alias("t"))
     assert column(tfidf.restrict_vocab(empty, "t", ["a"]), "Vocab")[1] == []
+
+
+@pytest.mark.parametrize("name", ["train_temperature_model", "predict_temperature"])
+def test_queries_train_with_the_operator_defaults(spark, data_dir, monkeypatch, name):
+    fits, sizes = [], []
+    regression, features = classify.LogisticRegression, classify._features
+
+    def fit(**options):
+        fits.append((options["regParam"], options["maxIter"]))
+        return regression(**options | {"maxIter": 1})
+
+    monkeypatch.setattr(classify, "LogisticRegression", fit)
+    monkeypatch.setattr(classify, "_features", lambda n: sizes.append(n) or features(n))
+    assert catalog.QUERIES[name](spark, data_dir).count() > 0
+    assert fits == [(reg, 50) for reg in (0.0, 0.01, 0.1)] and sizes == [1 << 18]
