@@ -22,6 +22,7 @@ from postlens.llm import (
     quality_rules,
     secret_scan,
     sharding,
+    whitening,
 )
 from postlens.llm.common import held_out, slices, table
 
@@ -160,6 +161,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("nth", "own")
+    rows = white.select("id", "n", "deviation", "identity_error", each)
+    return rows.select(
+        F.col("id").alias("vec_id"),
+        (F.col("nth") + 1).alias("component"),
+        "n",
+        "deviation",
+        F.col("own")["whitened"].alias("whitened"),
+        F.col("own")["explained"].alias("explained"),
+        "identity_error",
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -177,6 +193,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_chat_format,
         op10_fingerprints,
+        op11_embedding_whitening,
         pipeline,
     )
 }
