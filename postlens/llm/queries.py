@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -18,12 +18,14 @@ from postlens.llm import (
     language_id,
     mixing,
     ngram_join,
+    periodic_runs,
     quality_model,
     quality_rules,
     secret_scan,
     sharding,
     whitening,
 )
+from postlens.functions.arrays import let
 from postlens.llm.common import held_out, slices, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -176,6 +178,37 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _planted(doc_id: Column, text: Column) -> Column:
+    """The text, in a tenth of the documents with a stretch of words repeated to its end."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words)
+        start = g % n
+        period = 1 + F.floor((n - start) / (3 + g % 8))
+        return F.when(n > 0, periodic_runs.repeated(words, start, period))
+
+    return F.when(h % 10 == 0, let(periodic_runs.words_of(text), planted)).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", _planted(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.periodic_runs(docs)
+    found = found.withColumn("best", periodic_runs.strongest(F.col("runs")))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.as_text(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -194,6 +227,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_chat_format,
         op10_fingerprints,
         op11_embedding_whitening,
+        op13_periodic_runs,
         pipeline,
     )
 }
