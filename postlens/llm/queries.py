@@ -15,6 +15,7 @@ from postlens.llm import (
     bpe,
     chat_format,
     fingerprints,
+    html_extraction,
     language_id,
     mixing,
     ngram_join,
@@ -178,6 +179,15 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_extraction.extract(pages, html_extraction.train(pages))
+    text = F.col("main_text")
+    return found.select(
+        "page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars")
+    )
+
+
 def _planted(doc_id: Column, text: Column) -> Column:
     """The text, in a tenth of the documents with a stretch of words repeated to its end."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
@@ -227,6 +237,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_chat_format,
         op10_fingerprints,
         op11_embedding_whitening,
+        op12_html_extraction,
         op13_periodic_runs,
         pipeline,
     )
