@@ -1,47 +1,102 @@
-"""Topic model for posts without a keyword tag."""
+"""Topic model for posts without a keyword tag, held as tables.
+
+The vocabulary and the topic weights are written tables with a row per word. A fit deals the
+posts into blocks of bounded size; in each update a block meets the weights of its own words
+by a join, infers its posts in one task, and sends back one row per word. What the driver
+holds are ``k`` totals and priors.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlens import columns as C
 from postlens.functions import text as T
-from postlens.functions.arrays import argmax, let, token_counts
-from postlens.functions.token_table import TokenTable, annotate_tokens
-from postlens.sources.staging import staging_path
+from postlens.functions.arrays import let, token_counts
+from postlens.functions.special import digamma
+from postlens.functions.token_table import ROW_ID, TokenTable, annotate_tokens, with_row_id
+from postlens.operators.dirichlet import newton_step, newton_step_table
+from postlens.operators.topic_inference import infer
+from postlens.operators.vocabulary import number_words, vocabulary_counts
+from postlens.sources.staging import stage
+
+__all__ = ["vocabulary_counts", "number_words"]
 
-# Topic count and priors.
+# Topic count and priors, and the most steps for one post.
 TOPICS = 4
 ALPHA = 0.5
 BETA = 0.1
-#: Partitions of a fit. Fixed, because a model depends on them.
-PARTITIONS = 64
+MAX_STEPS = 100
+TOLERANCE = 1e-3
+#: How fast older updates fade: update t counts as (1 + t) to this power.
+DECAY = -0.51
 TOP_WORDS = 3
+#: Entries (a word of a post) of a block, which one task infers together; and how many blocks
+#: there are at least, unless that makes blocks of under ``LEAST_ENTRIES``.
+BLOCK_ENTRIES = 1 << 18
+LEAST_BLOCKS = 64
+LEAST_ENTRIES = 1 << 12
+#: Weights within this size are handed to every task; larger ones are joined.
+MAX_BROADCAST_BYTES = 64 << 20
+#: Sums of weights are kept in units of this fraction, so that their order does not matter.
+UNIT = 1 << 24
+_PRIOR_ROW = -1
 
 
 @dataclass
 class TopicModel:
-    """A fitted vocabulary and topic model."""
+    """``terms(index, token, tf)`` and ``weights(index, weights, prior)``, one row per word.
+
+    ``weights`` holds the word's weight in each topic, ``prior`` the weight it starts from;
+    ``totals`` are their sums per topic and ``alpha`` the prior of each topic in a post.
+    """
 
-    vectorizer: CountVectorizerModel
-    lda: LDAModel
-    vocabulary: list[str]
+    terms: DataFrame
+    weights: DataFrame
+    totals: tuple[float, ...]
+    alpha: tuple[float, ...]
+
+    @property
+    def k(self) -> int:
+        return len(self.totals)
+
+    @cached_property
+    def words(self) -> int:
+        return self.terms.count()
 
     def save(self, path: str) -> None:
-        self.vectorizer.write().overwrite().save(f"{path}/vectorizer")
-        self.lda.write().overwrite().save(f"{path}/lda")
+        spark = self.terms.sparkSession
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        self.weights.write.mode("overwrite").parquet(f"{path}/weights")
+        numbers = [(i, *row) for i, row in enumerate(zip(self.totals, self.alpha, strict=True))]
+        numbers = spark.createDataFrame(numbers, "topic int, total double, alpha double")
+        numbers.coalesce(1).write.mode("overwrite").parquet(f"{path}/topics")
 
     @classmethod
     def load(cls, path: str) -> TopicModel:
-        vectorizer = CountVectorizerModel.load(f"{path}/vectorizer")
-        return cls(vectorizer, LocalLDAModel.load(f"{path}/lda"), vectorizer.vocabulary)
+        spark = SparkSession.active()
+        numbers = spark.read.parquet(f"{path}/topics").orderBy("topic").collect()
+        return cls(
+            spark.read.parquet(f"{path}/terms"),
+            spark.read.parquet(f"{path}/weights"),
+            tuple(r["total"] for r in numbers),
+            tuple(r["alpha"] for r in numbers),
+        )
+
+    def fits_in_memory(self, max_bytes: int) -> bool:
+        """Whether words and weights are within the bound; measured, not estimated."""
+        held = F.sum(F.octet_length("token") + F.lit(8 * (self.k + 8)))
+        return (self.terms.agg(held).first()[0] or 0) <= max_bytes
 
 
 def topic_eligible(text_col: str = C.LEMMATIZED_TEXT, more_than: int = 3) -> Column:
@@ -62,26 +117,190 @@ def bag_of_words(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return df.select(id_col, F.inline(bag))
 
 
-def vocabulary_counts(df: DataFrame, text_col: str) -> DataFrame:
-    """``token, df, tf``: posts with the token, and its occurrences."""
-    C.require_columns(df, text_col)
-    bag = df.select(F.inline(token_counts(T.words(F.col(text_col)))))
-    return bag.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
+# --- blocks of posts ----------------------------------------------------------------------
+
+
+def _bags(df: DataFrame, id_col: str, text_col: str, eligible: Column) -> DataFrame:
+    """``id, bag, block``: the eligible posts, dealt into blocks by a hash; a written table."""
+    bags = df.where(eligible).select(
+        F.col(id_col).alias("id"), token_counts(T.words(F.col(text_col))).alias("bag")
+    )
+    bags = stage(bags, "bags")
+    entries = bags.agg(F.sum(F.size("bag"))).first()[0] or 0
+    blocks = max(1 + entries // BLOCK_ENTRIES, min(LEAST_BLOCKS, 1 + entries // LEAST_ENTRIES))
+    return bags.withColumn("block", F.pmod(F.xxhash64("id", "bag"), F.lit(blocks)).cast("int"))
 
 
-def _vectorizer(terms: DataFrame) -> CountVectorizerModel:
-    """A vectorizer whose vocabulary is ``terms`` (``token, tf``), most frequent first.
+def _block_words(bags: DataFrame, terms: DataFrame) -> DataFrame:
+    """``block, token, index``: the known words of each block; a written table.
 
-    Fitting a CountVectorizer leaves the order of equally frequent words open, and handing
-    it a Python list costs one call into the JVM per word. So Spark writes the vocabulary
-    as the data of a saved model. It is one array, as it is in the model.
+    A word is at most once in a block, so a very frequent one is as many rows as there are blocks.
     """
-    path = staging_path(terms.sparkSession, "vectorizer")
-    CountVectorizerModel.from_vocabulary(["-"], "words", "features").save(path)
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("tf")).alias("order"), "token")))
-    vocabulary = terms.agg(F.transform(ranked, lambda r: r["token"]).alias("vocabulary"))
-    vocabulary.write.mode("overwrite").parquet(f"{path}/data")
-    return CountVectorizerModel.load(path)
+    words = bags.select("block", F.explode(F.transform("bag", lambda b: b["token"])).alias("token"))
+    known = terms.select("token", "index")
+    return stage(words.distinct().join(known, "token"), "block-words")
+
+
+_CODED = "block int, id {id}, entries array<struct<word: long, n: long>>"
+
+
+def _coded(bags: DataFrame, block_words: DataFrame) -> DataFrame:
+    """``block, id, entries``: the bags with numbers for words, by rising number.
+
+    Words that are not in the vocabulary are left out; the post stays. Dealt by block.
+    """
+    kind = bags.schema["id"].dataType.simpleString()
+
+    def code(bag: pa.Table, words: pa.Table) -> pa.Table:
+        number = dict(
+            zip(words.column("token").to_pylist(), words.column("index").to_pylist(), strict=True)
+        )
+        entries = [
+            sorted(
+                ({"word": number[b["token"]], "n": b["n"]} for b in row if b["token"] in number),
+                key=lambda e: e["word"],
+            )
+            for row in bag.column("bag").to_pylist()
+        ]
+        entry = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))
+        return pa.table(
+            {
+                "block": bag.column("block").cast(pa.int32()),
+                "id": bag.column("id"),
+                "entries": pa.array(entries, entry),
+            }
+        )
+
+    return (
+        bags.select("block", "id", "bag")
+        .groupBy("block")
+        .cogroup(block_words.select("block", "token", "index").groupBy("block"))
+        .applyInArrow(code, _CODED.format(id=kind))
+    )
+
+
+@dataclass(frozen=True)
+class _State:
+    """What a task needs besides the weights of its words."""
+
+    totals: tuple[float, ...]
+    alpha: tuple[float, ...]
+    max_steps: int
+    tolerance: float
+
+    def beta(self, weights: np.ndarray) -> np.ndarray:
+        return np.exp(digamma(weights) - digamma(np.array(self.totals)))
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return pa.concat_arrays(column.chunks).flatten().to_numpy(zero_copy_only=False)
+
+
+class _Block:
+    """The posts of a block in a fixed order, and what is inferred of them."""
+
+    def __init__(self, posts: pa.Table, slices: pa.Table, state: _State) -> None:
+        rows = pa.concat_arrays(posts.column("entries").chunks)
+        flat = rows.flatten()
+        self.ids = posts.column("id")
+        self.sizes = np.diff(rows.offsets.to_numpy()).astype(np.int64)
+        word = flat.field("word").to_numpy(zero_copy_only=False)
+        self.counts = flat.field("n").to_numpy(zero_copy_only=False).astype(float)
+        self.index = slices.column("index").to_numpy()
+        k = len(state.alpha)
+        weights = _flat(slices.column("weights")).reshape(-1, k) if len(self.index) else np.zeros((0, k))
+        order = np.argsort(self.index)
+        self.index = self.index[order]
+        self.word = np.searchsorted(self.index, word)
+        self.inferred = infer(
+            self.sizes, self.word, self.counts, state.beta(weights[order]),
+            np.array(state.alpha), state.max_steps, state.tolerance,
+        )
+
+
+def _units(values: np.ndarray) -> np.ndarray:
+    return np.rint(values * UNIT).astype(np.int64)
+
+
+def _statistics(state: _State):
+    """Per word of a block the occurrences that each topic takes, in ``UNIT``; and a row of
+    the posts' expected log topic weights under ``_PRIOR_ROW``."""
+
+    def of_block(posts: pa.Table, slices: pa.Table) -> pa.Table:
+        k = len(state.alpha)
+        index, sums = np.empty(0, np.int64), np.empty((0, k), np.int64)
+        if posts.num_rows:
+            block = _Block(posts, slices, state)
+            taken = _units(block.inferred.shares * block.counts[:, None])
+            sums = np.zeros((len(block.index) + 1, k), np.int64)
+            np.add.at(sums, block.word, taken)
+            sums[-1] = _units(block.inferred.log_theta).sum(axis=0)
+            index = np.append(block.index, _PRIOR_ROW)
+        offsets = np.arange(0, sums.size + 1, k, dtype=np.int32)
+        rows = pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))
+        return pa.table({"index": pa.array(index), "taken": rows})
+
+    return of_block
+
+
+# --- the fit ------------------------------------------------------------------------------
+
+
+def _start_weights(terms: DataFrame, k: int, prior: float, seed: int) -> DataFrame:
+    """Weights near 1 that sum to ``k`` for each word: noise from hashes, the same on any layout."""
+
+    def noise(topic: int) -> Column:
+        draws = [
+            F.pmod(F.xxhash64("token", F.lit(seed), F.lit(topic), F.lit(i)), F.lit(1 << 20)) / (1 << 20)
+            for i in range(4)
+        ]
+        return 1 + 0.1 * 3**0.5 * (draws[0] + draws[1] + draws[2] + draws[3] - 2)
+
+    raw = terms.select("index", F.array(*[noise(t) for t in range(k)]).alias("w"))
+    total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
+    return raw.select(
+        "index",
+        F.transform("w", lambda x: x * k / total).alias("weights"),
+        F.lit(float(prior)).alias("prior"),
+    )
+
+
+def _totals(weights: DataFrame, k: int) -> tuple[float, ...]:
+    """Sums of the weights per topic, exact in ``UNIT``."""
+    unit = lambda i: F.round(F.get("weights", F.lit(i)) * UNIT).cast("decimal(28,0)")
+    row = weights.agg(*[F.sum(unit(i)).alias(str(i)) for i in range(k)]).first()
+    return tuple(float(v) / UNIT for v in row)
+
+
+def _updated(weights: DataFrame, taken: DataFrame, k: int, rate: float, scale: float) -> DataFrame:
+    """Old weights faded by ``rate`` towards prior and scaled statistics: one shuffle of words."""
+    old = weights.select("index", "weights", "prior", *[F.lit(0).cast("long").alias(f"t{i}") for i in range(k)])
+    none = [F.lit(None).cast("array<double>").alias("weights"), F.lit(None).cast("double").alias("prior")]
+    new = taken.select("index", *none, *[F.get("taken", F.lit(i)).alias(f"t{i}") for i in range(k)])
+    both = old.union(new).groupBy("index").agg(
+        F.max("weights").alias("weights"),
+        F.max("prior").alias("prior"),
+        *[F.sum(f"t{i}").alias(f"t{i}") for i in range(k)],
+    )
+    mixed = [
+        (1 - rate) * F.get("weights", F.lit(i)) + rate * (F.col("prior") + scale * F.col(f"t{i}") / UNIT)
+        for i in range(k)
+    ]
+    return both.where("weights is not null").select("index", F.array(*mixed).alias("weights"), "prior")
+
+
+def _learned_word_prior(weights: DataFrame, totals: tuple[float, ...], rate: float) -> DataFrame:
+    """``weights`` with the words' priors moved by a Newton step: the topics are the draws."""
+    at_totals = digamma(np.array(totals))
+
+    @F.pandas_udf("double")
+    def mean_log(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            held = np.stack(rows.to_list()) if len(rows) else np.zeros((0, len(at_totals)))
+            yield pd.Series((digamma(held) - at_totals).mean(axis=1))
+
+    table = stage(weights.withColumn("mean_log", mean_log("weights")), "word-priors")
+    return newton_step_table(table, len(totals), rate).drop("mean_log")
 
 
 def fit_topics(
@@ -97,78 +316,155 @@ def fit_topics(
     learn_prior: bool = False,
     seed: int = 42,
     vocab_size: int | None = None,
-    partitions: int = PARTITIONS,
+    max_steps: int = MAX_STEPS,
+    tolerance: float = TOLERANCE,
 ) -> TopicModel | None:
-    """Fit online variational LDA on the eligible rows; None when there are none.
+    """Fit online variational LDA on the eligible rows; None when they have no words.
 
     Every update reads every eligible post, and every word of theirs is in the vocabulary, unless
     the caller asks for a random ``mini_batch`` or the most frequent ``vocab_size`` words.
-    The fit reads the posts once per update, so pass a table that is cheap to read
-    (a staged one) and let the vectors be cached. Rows are placed by ``id_col`` and sorted
-    first: the model then depends on the seed and ``partitions``, not on the file layout.
+    ``learn_prior`` learns the weights that topics have in posts and words have in topics
+    too. Random starts are hashes of words, blocks hashes of ids, and sums are integers, so
+    a fit depends on ids, texts and ``seed`` and on no file layout or order of tasks.
+    Words, blocks and the weights of each update are written tables: a lost executor costs
+    its own tasks. Rows with equal id and text share a block; otherwise ids may repeat.
     """
     C.require_columns(df, text_col, id_col)
     eligible = topic_eligible(text_col) if eligible is None else eligible
-    corpus = df.where(eligible).select(F.col(id_col).alias("_id"), T.words(F.col(text_col)).alias("words"))
-    # Term order decides the random start: most frequent first, ties by spelling.
-    terms = (
-        corpus.select(F.inline(token_counts(F.col("words"))))
-        .groupBy("token")
-        .agg(F.sum("n").alias("tf"))
-    )
+    bags = _bags(df, id_col, text_col, eligible)
+    terms = bags.select(F.inline("bag")).groupBy("token").agg(F.sum("n").alias("tf"))
+    terms = stage(number_words(terms), "terms")
     if vocab_size is not None:
-        terms = terms.orderBy(F.desc("tf"), "token").limit(vocab_size)
-    vectorizer = _vectorizer(terms)
-    if not vectorizer.vocabulary:
-        return None
-    vectors = (
-        vectorizer.transform(corpus.repartition(partitions, "_id").sortWithinPartitions("_id"))
-        .select("features")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    lda = LDA(
-        k=k,
-        maxIter=max_iter,
-        seed=seed,
-        optimizer="online",
-        docConcentration=[alpha],
-        topicConcentration=beta,
-        subsamplingRate=mini_batch,
-        learningOffset=1.0,
-        optimizeDocConcentration=learn_prior,
-    )
+        terms = terms.where(F.col("index") < vocab_size)
+    block_words = _block_words(bags, terms)
+    coded = stage(_coded(bags, block_words), "coded").repartition("block")
+    coded = coded.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return TopicModel(vectorizer, lda.fit(vectors), vectorizer.vocabulary)
+        posts = coded.count()
+        weights = stage(_start_weights(terms, k, beta, seed), "weights")
+        if not posts or weights.isEmpty():
+            return None
+        totals, alphas = _totals(weights, k), (float(alpha),) * k
+        for step in range(1, max_iter + 1):
+            rate = (1 + step) ** DECAY
+            state = _State(totals, alphas, max_steps, tolerance)
+            batch, seen = coded, posts
+            if mini_batch < 1:
+                draw = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(step)), F.lit(1 << 30))
+                batch = coded.where(draw < int(mini_batch * (1 << 30)))
+                seen = batch.count()
+                if not seen:
+                    continue
+            slices = block_words.select("block", "index").join(weights.select("index", "weights"), "index")
+            taken = batch.groupBy("block").cogroup(slices.groupBy("block"))
+            taken = taken.applyInArrow(_statistics(state), "index long, taken array<long>")
+            if learn_prior:
+                taken = stage(taken, "taken")
+                mean_log = _mean_log_theta(taken, k, seen)
+                alphas = tuple(newton_step(np.array(alphas), mean_log, seen, rate).tolist())
+            weights = stage(_updated(weights, taken, k, rate, posts / seen), "weights")
+            totals = _totals(weights, k)
+            if learn_prior:
+                weights = stage(_learned_word_prior(weights, totals, rate), "weights")
+        return TopicModel(terms, weights, totals, alphas)
     finally:
-        vectors.unpersist()
+        coded.unpersist()
+
+
+def _mean_log_theta(taken: DataFrame, k: int, posts: int) -> np.ndarray:
+    row = taken.where(F.col("index") == _PRIOR_ROW)
+    sums = row.agg(*[F.sum(F.get("taken", F.lit(i))).alias(str(i)) for i in range(k)]).first()
+    return np.array([float(v) for v in sums]) / UNIT / posts
+
+
+# --- what a model says --------------------------------------------------------------------
+
+
+def topic_word_shares(model: TopicModel) -> DataFrame:
+    """``topic, index, token, share``: each word's part of each topic; they sum to 1 per topic."""
+    totals = F.array(*[F.lit(t) for t in model.totals])
+    shares = F.transform("weights", lambda w, i: w / F.get(totals, i))
+    long = model.weights.select("index", F.posexplode(shares).alias("topic", "share"))
+    return long.join(model.terms.select("index", "token"), "index").select("topic", "index", "token", "share")
 
 
 def topic_words(model: TopicModel, n: int = TOP_WORDS) -> list[list[str]]:
-    """The ``n`` heaviest words of each topic, in topic order."""
-    rows = model.lda.describeTopics(n).orderBy("topic").collect()
-    return [[model.vocabulary[i] for i in r["termIndices"]] for r in rows]
+    """The ``n`` heaviest words of each topic, in topic order; ties by frequency, spelling."""
+    best = Window.partitionBy("topic").orderBy(F.desc("share"), "index")
+    ranked = topic_word_shares(model).withColumn("rank", F.row_number().over(best))
+    rows = ranked.where(F.col("rank") <= n).collect()
+    words: list[list[str]] = [[] for _ in range(model.k)]
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        words[r["topic"]].append(r["token"])
+    return words
 
 
 def topic_table(model: TopicModel, n: int = TOP_WORDS) -> DataFrame:
     """The same as a table: one row per rank, one column ``Topic i`` per topic."""
     words = topic_words(model, n)
-    spark = model.lda.describeTopics(1).sparkSession
+    spark = model.terms.sparkSession
     rows = [(rank, *ranked) for rank, ranked in enumerate(zip(*words, strict=True))]
     names = ", ".join(f"`Topic {i}` string" for i in range(len(words)))
     return spark.createDataFrame(rows, f"rank int, {names}")
 
 
+def _small_scorer(model: TopicModel, max_steps: int, tolerance: float):
+    """``words -> topic`` for a model within the bound: every task has all of it."""
+    held = model.weights.join(model.terms, "index").orderBy("index").select("token", "weights").toArrow()
+    state = _State(model.totals, model.alpha, max_steps, tolerance)
+    beta = state.beta(_flat(held.column("weights")).reshape(-1, model.k))
+    known = {t: i for i, t in enumerate(held.column("token").to_pylist())}
+    shared = model.terms.sparkSession.sparkContext.broadcast((known, beta))
+
+    @F.pandas_udf("int")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known, beta = shared.value
+        for texts in batches:
+            bags = [
+                sorted((known[w], n) for w, n in Counter(words).items() if w in known)
+                for words in texts
+                if words is not None
+            ]
+            flat = np.array([e for bag in bags for e in bag], np.int64).reshape(-1, 2)
+            sizes = np.array([len(b) for b in bags], np.int64)
+            found = infer(
+                sizes, flat[:, 0], flat[:, 1].astype(float), beta,
+                np.array(state.alpha), max_steps, tolerance,
+            )
+            out = pd.Series([None] * len(texts), dtype="Int64")
+            out[texts.notna().to_numpy()] = found.gamma.argmax(axis=1)
+            yield out
+
+    return score
+
+
+def _joined_posts(
+    df: DataFrame, model: TopicModel, id_col: str, text_col: str, eligible: Column, per_block, schema: str
+) -> DataFrame:
+    """``per_block`` over the blocks of the eligible posts and the weights of their words."""
+    bags = _bags(df, id_col, text_col, eligible)
+    block_words = _block_words(bags, model.terms)
+    coded = _coded(bags, block_words)
+    slices = block_words.join(model.weights.select("index", "weights"), "index")
+    return coded.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(per_block, schema)
+
+
 def assign_topics(
     df: DataFrame,
     model: TopicModel | None,
     text_col: str = C.LEMMATIZED_TEXT,
     eligible: Column | None = None,
     top_n: int = TOP_WORDS,
+    id_col: str | None = None,
+    max_bytes: int = MAX_BROADCAST_BYTES,
+    max_steps: int = MAX_STEPS,
+    tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """Add ``dominant_topic`` and ``top_3_words`` to eligible rows, null elsewhere.
 
-    No join: every row is scored where it lies, ineligible ones as an empty bag, which the
-    model answers without inference. On a tie the first topic wins.
+    On a tie the first topic wins. A model within ``max_bytes`` scores every row where it lies. A
+    larger one is joined with blocks of posts and the topic joined back by ``id_col``, a
+    unique column; without one, rows are numbered and written first. Both give the same.
     """
     C.require_columns(df, text_col)
     if model is None:
@@ -179,17 +475,80 @@ def assign_topics(
             }
         )
     eligible = topic_eligible(text_col) if eligible is None else eligible
-    none = F.array().cast("array<string>")
-    asked = df.withColumn("_asked", eligible)
-    words = F.when(F.col("_asked"), T.words(F.col(text_col))).otherwise(none)
-    scored = model.lda.transform(model.vectorizer.transform(asked.withColumn("words", words)))
-    topic = F.when(F.col("_asked"), argmax(vector_to_array("topicDistribution")))
+    if model.fits_in_memory(max_bytes):
+        score = _small_scorer(model, max_steps, tolerance)
+        words = F.when(eligible, T.words(F.col(text_col)))
+        out = df.withColumn(C.DOMINANT_TOPIC, score(words))
+    else:
+        out = _assigned_by_join(df, model, text_col, eligible, id_col, max_steps, tolerance)
     labels = F.array(*[F.lit(", ".join(w)) for w in topic_words(model, top_n)])
-    return (
-        scored.withColumn(C.DOMINANT_TOPIC, topic)
-        .withColumn(C.TOP_3_WORDS, F.get(labels, F.col(C.DOMINANT_TOPIC)))
-        .drop("_asked", "words", "features", "topicDistribution")
-    )
+    return out.withColumn(C.TOP_3_WORDS, F.get(labels, F.col(C.DOMINANT_TOPIC)))
+
+
+def _assigned_by_join(df, model, text_col, eligible, id_col, max_steps, tolerance) -> DataFrame:
+    key = id_col or ROW_ID
+    rows = df if id_col else with_row_id(df)
+    state = _State(model.totals, model.alpha, max_steps, tolerance)
+    kind = rows.schema[key].dataType.simpleString()
+
+    def dominant(posts: pa.Table, slices: pa.Table) -> pa.Table:
+        topic = pa.array([], pa.int32())
+        if posts.num_rows:
+            block = _Block(posts, slices, state)
+            topic = pa.array(block.inferred.gamma.argmax(axis=1).astype(np.int32))
+        return pa.table({"_id": posts.column("id"), C.DOMINANT_TOPIC: topic})
+
+    schema = f"_id {kind}, {C.DOMINANT_TOPIC} int"
+    found = stage(_joined_posts(rows, model, key, text_col, eligible, dominant, schema), "topics")
+    out = rows.drop(C.DOMINANT_TOPIC).join(found, F.col(key).eqNullSafe(found["_id"]), "left").drop("_id")
+    return out if key in df.columns else out.drop(key)
+
+
+def token_responsibilities(
+    df: DataFrame,
+    model: TopicModel,
+    id_col: str,
+    text_col: str = C.LEMMATIZED_TEXT,
+    eligible: Column | None = None,
+    max_steps: int = MAX_STEPS,
+    tolerance: float = TOLERANCE,
+) -> DataFrame:
+    """``id, token, n, topic, share``: how each word of a post falls to the topics.
+
+    The posterior of the word's topic in that post, as the last inference step has it; the
+    shares of a word in a post sum to 1. A topic's weight in the post is its prior plus the sum of
+    ``n * share``. Words outside the vocabulary have no rows. ``id_col`` tells posts apart.
+    """
+    C.require_columns(df, text_col, id_col)
+    eligible = topic_eligible(text_col) if eligible is None else eligible
+    state = _State(model.totals, model.alpha, max_steps, tolerance)
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def shares(posts: pa.Table, slices: pa.Table) -> pa.Table:
+        if not posts.num_rows:
+            return pa.table(
+                {"id": posts.column("id"), "token": [], "n": [], "shares": []},
+                pa.schema([posts.schema.field("id"), ("token", pa.string()), ("n", pa.int64()),
+                           ("shares", pa.list_(pa.float64()))]),
+            )
+        block = _Block(posts, slices, state)
+        order = np.argsort(slices.column("index").to_numpy())
+        token = slices.column("token").take(pa.array(order)).take(pa.array(block.word))
+        owner = np.repeat(np.arange(len(block.sizes)), block.sizes)
+        k = len(state.alpha)
+        offsets = np.arange(0, k * len(owner) + 1, k, dtype=np.int32)
+        return pa.table(
+            {
+                "id": block.ids.take(pa.array(owner)),
+                "token": token,
+                "n": pa.array(block.counts.astype(np.int64)),
+                "shares": pa.ListArray.from_arrays(offsets, pa.array(block.inferred.shares.ravel())),
+            }
+        )
+
+    schema = f"id {kind}, token string, n long, shares array<double>"
+    rows = _joined_posts(df, model, id_col, text_col, eligible, shares, schema)
+    return rows.select(F.col("id").alias(id_col), "token", "n", F.posexplode("shares").alias("topic", "share"))
 
 
 def label_by_topic_words(
@@ -231,19 +590,29 @@ def finalize_words(
     return df.withColumn(out, F.when(tagged, F.col(conditions_col)).otherwise(by_label))
 
 
+#: Topics in which a word weighs less than this do not count in its relevance.
+LEAST_RELEVANCE = 1e-8
+
+
 def term_relevance(model: TopicModel) -> DataFrame:
-    """``token, relevance``: the mean weight of every vocabulary word over the topics."""
-    vocabulary = model.vocabulary
-    described = model.lda.describeTopics(len(vocabulary))
-    spark = described.sparkSession
-    names = spark.createDataFrame(list(enumerate(vocabulary)), "i int, token string")
-    weights = described.select(F.inline(F.arrays_zip("termIndices", "termWeights")))
-    return (
-        weights.groupBy(F.col("termIndices").alias("i"))
-        .agg(F.avg("termWeights").alias("relevance"))
-        .join(names, "i")
-        .select("token", "relevance")
-    )
+    """``token, relevance``: a word's mean weight over the topics it has some weight in.
+
+    The weight is the exponential of the expected log share. A word without weight in any topic is
+    left out. Computed where the words lie; nothing passes through the driver.
+    """
+    at_totals = digamma(np.array(model.totals))
+
+    @F.pandas_udf("double")
+    def mean_weight(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            held = np.stack(rows.to_list()) if len(rows) else np.zeros((0, len(at_totals)))
+            beta = np.exp(digamma(held) - at_totals)
+            counted = beta >= LEAST_RELEVANCE
+            total = np.where(counted, beta, 0).sum(axis=1)
+            yield pd.Series(total / np.maximum(counted.sum(axis=1), 1))
+
+    words = model.weights.join(model.terms.select("index", "token"), "index")
+    return words.select("token", mean_weight("weights").alias("relevance")).where("relevance > 0")
 
 
 def relevance_words(

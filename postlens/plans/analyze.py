@@ -60,10 +60,16 @@ def enrich_posts(posts: DataFrame, lookups: Lookups) -> DataFrame:
 
 
 def score_posts(
-    enriched: DataFrame, topic_model: topics.TopicModel | None, classifier: PipelineModel | Callable
+    enriched: DataFrame,
+    topic_model: topics.TopicModel | None,
+    classifier: PipelineModel | Callable,
+    id_col: str | None = None,
 ) -> DataFrame:
-    """Add topic columns, classifier input and temperature class. Row-local, no shuffle."""
-    df = topics.assign_topics(enriched, topic_model)
+    """Add topic columns, classifier input and temperature class.
+
+    Row-local with a topic model within the bound; a larger one is joined by ``id_col``.
+    """
+    df = topics.assign_topics(enriched, topic_model, id_col=id_col)
     return classify.predict_temperature(rollup.with_combined_text(df), classifier)
 
 
@@ -96,7 +102,7 @@ def analyze_posts(
     if topic_model is None and fit:
         enriched = stage(enriched, "enriched")
         topic_model = topics.fit_topics(enriched, key, **topic_options)
-    result = score_posts(enriched, topic_model, classifier)
+    result = score_posts(enriched, topic_model, classifier, key)
     if id_col is None:
         result = result.drop(ROW_ID)
     if result_path is not None:

@@ -6,6 +6,7 @@ words that occur in ``documents`` and grow with the data.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -384,6 +385,11 @@ def vocabulary_counts(spark, sf_dir):
     return topics.vocabulary_counts(cleaned(spark, sf_dir), C.CLEANED_TEXT)
 
 
+def number_words(spark, sf_dir):
+    terms = topics.vocabulary_counts(cleaned(spark, sf_dir), C.CLEANED_TEXT)
+    return topics.number_words(terms).select("index", "token", "tf")
+
+
 def bag_of_words(spark, sf_dir):
     return topics.bag_of_words(cleaned(spark, sf_dir), C.CLEANED_TEXT, "doc_id")
 
@@ -403,16 +409,54 @@ def assign_topics(spark, sf_dir):
     return topics.assign_topics(df, model).select("doc_id", C.DOMINANT_TOPIC, C.TOP_3_WORDS)
 
 
+def topic_word_mass(spark, sf_dir):
+    """How often a fit has counted each word: what its weights must sum to, turned round.
+
+    The weights of a word start at a sum of k; each update fades them towards k priors plus
+    the occurrences that the posts' topics share out. So every token must have been
+    shared out once in each update.
+    """
+    _, model = _fit(spark, sf_dir)
+    left = math.prod(1 - (1 + t) ** topics.DECAY for t in range(1, 11))
+    total = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w)
+    counted = (total - model.k * left) / (1 - left) - model.k * topics.BETA
+    return model.weights.join(model.terms, "index").select(
+        "index", "token", F.round(counted).cast("long").alias("counted")
+    )
+
+
 def topic_assignment_check(spark, sf_dir):
-    """What must hold for any fitted model: who has a topic, and that it is a valid one."""
+    """Whether each topic is the one that most of the post's tokens fall to, by their shares.
+
+    A topic's weight in a post is its prior plus the sum of n * share of the post's tokens.
+    """
     df, model = _fit(spark, sf_dir)
-    done = topics.assign_topics(df, model)
-    return done.select(
+    done = topics.assign_topics(df, model).select("doc_id", C.DOMINANT_TOPIC, C.TOP_3_WORDS)
+    shares = topics.token_responsibilities(df, model, "doc_id")
+    weights = shares.groupBy("doc_id", "topic").agg(F.sum(F.col("n") * F.col("share")).alias("w"))
+    most = weights.groupBy("doc_id").agg(F.max("w").alias("most"))
+    own = weights.withColumnRenamed("topic", C.DOMINANT_TOPIC)
+    labels = F.array(*[F.lit(", ".join(w)) for w in topics.topic_words(model)])
+    checked = done.join(own, ["doc_id", C.DOMINANT_TOPIC], "left").join(most, "doc_id", "left")
+    return checked.select(
         "doc_id",
         F.col(C.DOMINANT_TOPIC).isNotNull().alias("has_topic"),
-        F.coalesce(F.col(C.DOMINANT_TOPIC).between(0, 3), F.lit(True)).alias("in_range"),
-        F.size(F.split(C.TOP_3_WORDS, ", ")).alias("n_words"),
+        (F.col("w") > F.col("most") - 1e-6).alias("is_heaviest"),
+        (F.col(C.TOP_3_WORDS) == F.get(labels, F.col(C.DOMINANT_TOPIC))).alias("has_its_words"),
+    )
+
+
+def token_responsibilities(spark, sf_dir):
+    """The topics of each word of each post: all four, with shares between 0 and 1 of sum 1."""
+    df, model = _fit(spark, sf_dir)
+    shares = topics.token_responsibilities(df, model, "doc_id")
+    per_word = shares.groupBy("doc_id", "token").agg(
+        F.max("n").alias("n"),
+        F.count_distinct("topic").alias("topics"),
+        F.round(F.sum("share"), 6).alias("total"),
+        F.every(F.col("share").between(0, 1.000001)).alias("in_range"),
     )
+    return per_word
 
 
 def topic_words_learned_prior(spark, sf_dir):
@@ -682,7 +726,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         match_keywords, map_conditions, map_conditions_joined, map_glossary,
         map_glossary_joined, map_country, map_country_joined, map_country_city_first,
         extract_places, extract_places_joined, final_location, vocabulary_counts, bag_of_words,
-        topic_words, assign_topics, topic_assignment_check, topic_words_learned_prior,
+        number_words, topic_words, assign_topics, topic_word_mass, topic_assignment_check,
+        token_responsibilities, topic_words_learned_prior,
         relevance_words, relevance_words_model, lexicon_sentiment, lexicon_sentiment_joined,
         polarity_sentiment, compare_sentiment, classify_hook, train_val_split,
         classification_metrics, train_temperature_model, predict_temperature, value_counts,

