@@ -16,6 +16,7 @@ from postlens.sources.staging import stage
 
 #: Steps per unit of an embedding entry.
 GRID = 256
+LARGEST = 2.0**61
 COMPONENTS = 4
 FAN_IN = 64
 MAX_STEPS = 60
@@ -40,7 +41,7 @@ class Whitener:
 
     def projected(self, x: np.ndarray, components: int) -> np.ndarray:
         """Whitened coordinates of grid vectors; nan on components without variance."""
-        centred = self._centred(x) / self.n
+        centred = (self._centred(x) / self.n).astype(float)
         values = self.values[:components]
         with np.errstate(divide="ignore", invalid="ignore"):
             out = (centred @ self.vectors[:, :components]) / np.sqrt(values)
@@ -66,8 +67,12 @@ class Whitener:
 
 
 def grid_vector(vector: Column) -> Column:
-    """Entries as longs: the floor of ``GRID`` times the entry, taken as double."""
-    return F.transform(vector, lambda c: F.floor(c.cast("double") * GRID).cast("long"))
+    """Entries as longs: the floor of ``GRID`` times the entry, taken as double.
+
+    What would be beyond ``LARGEST`` either way is held there.
+    """
+    held = lambda c: F.least(F.greatest(c, F.lit(-LARGEST)), F.lit(LARGEST))
+    return F.transform(vector, lambda c: F.floor(held(c.cast("double") * GRID)).cast("long"))
 
 
 def _usable(vector: Column) -> Column:
