@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +47,11 @@ def live_keys(mapping: DataFrame, phrases: bool = False) -> DataFrame:
     """Keys that can match at all.
 
     A key is sought inside single words, so one with a blank or a hyphen is dead. With
-    ``phrases`` a key of several words counts too and is sought in the whole text.
+    ``phrases`` a key of several words counts too and is sought in the whole text. Blanks
+    alone are no key.
     """
     pattern = r"^[" + T.WORD_CHARS + (" " if phrases else "") + r"]+$"
-    return mapping.where(F.col("word").rlike(pattern))
+    return mapping.where(F.col("word").rlike(pattern) & (F.trim("word") != ""))
 
 
 def _joined_or_null(parts: list[Column]) -> Column:
@@ -69,15 +72,14 @@ def map_conditions(
     word characters lies inside one word exactly when it lies inside the lower-cased
     text, so a small key table is a chain of ``contains`` tests within generated code.
     A larger one goes through an equi-join on word fragments; rows are numbered and written
-    first, so ids that repeat or are null do no harm.
+    first, so ids that repeat or are null do no harm. A key of several words (``phrases``) meets
+    there only the posts that hold its rarest part, and is then sought in their texts.
     ``conditions_col`` names an extra array column with the single conditions.
     """
     C.require_columns(df, text_col)
     keys = live_keys(mapping, phrases).select("word", "mapping")
     rows = keys.limit(max_keys + 1).collect()
     if len(rows) > max_keys:
-        if phrases:
-            raise ValueError("phrases=True is for key tables within max_keys")
         return _map_conditions_joined(df, text_col, keys, conditions_col)
 
     text = F.lower(F.col(text_col))
@@ -115,7 +117,14 @@ def _map_conditions_joined(
     df: DataFrame, text_col: str, keys: DataFrame, conditions_col: str | None
 ) -> DataFrame:
     rows = with_row_id(df)
-    found = stage(_joined_keys(rows, text_col, keys), "keys")
+    keys = stage(keys, "mapping-keys")
+    several = F.contains(F.col("word"), F.lit(" "))
+    found = _joined_keys(rows, text_col, keys.where(~several))
+    if not keys.where(several).isEmpty():
+        found = found.unionByName(_joined_phrases(rows, text_col, keys.where(several)))
+        merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+        found = found.groupBy("_id").agg(merged("_keys").alias("_keys"), merged("_conditions").alias("_conditions"))
+    found = stage(found, "keys")
     out = rows.join(found, rows[ROW_ID] == found["_id"], "left").withColumns(
         {
             C.WEATHER_TOPICS: F.nullif(F.array_join("_keys", ", "), F.lit("")),
@@ -128,6 +137,96 @@ def _map_conditions_joined(
     return out if ROW_ID in df.columns else out.drop(ROW_ID)
 
 
+# How a part of a phrase, cut at blanks, lies in a piece of a text, cut the same way.
+_ENDS, _IS, _BEGINS = "ends", "is", "begins"
+
+
+def phrase_parts(phrases: DataFrame) -> DataFrame:
+    """``word, kind, part``: what must be in a post that holds a phrase.
+
+    Between blanks a phrase is found in a text where its first part ends a piece, its inner parts
+    are the next pieces and its last part begins the one after. Empty ends ask for nothing.
+    """
+    parts = phrases.select("word", F.split("word", " ").alias("p"))
+    parts = parts.select("word", F.size("p").alias("n"), F.posexplode("p").alias("i", "part"))
+    kind = F.when(F.col("i") == 0, _ENDS).when(F.col("i") == F.col("n") - 1, _BEGINS).otherwise(_IS)
+    parts = parts.select("word", kind.alias("kind"), "part").distinct()
+    return parts.where((F.col("kind") == _IS) | (F.col("part") != ""))
+
+
+def _piece_parts(piece: Column, lengths: dict[str, list[int]]) -> Column:
+    """The parts that a piece of text can answer to."""
+
+    def cuts(kind: str, cut: Callable[[Column, Column], Column]) -> Column:
+        of_kind = F.array(*[F.lit(n) for n in lengths.get(kind, [])]).cast("array<int>")
+        fitting = F.filter(of_kind, lambda n: n <= F.length(piece))
+        return F.transform(
+            fitting, lambda n: F.struct(F.lit(kind).alias("kind"), cut(piece, n).alias("part"))
+        )
+
+    whole = F.array(F.struct(F.lit(_IS).alias("kind"), piece.alias("part")))
+    return F.flatten(F.array(whole, cuts(_ENDS, F.right), cuts(_BEGINS, F.left)))
+
+
+def _joined_phrases(rows: DataFrame, text_col: str, phrases: DataFrame) -> DataFrame:
+    """``_id, _keys, _conditions`` of the posts that hold a phrase, for any number of phrases.
+
+    An index of the distinct pieces of the posts gives how many posts can answer to each part;
+    a phrase is anchored at its rarest part, and one with a part that no post has
+    is done with. Only posts with the anchor meet the phrase, and their texts are searched for it.
+    """
+    text = F.lower(F.col(text_col))
+    parts = stage(phrase_parts(phrases), "phrase-parts")
+    sizes = parts.where(F.col("kind") != _IS).groupBy("kind")
+    sizes = sizes.agg(F.sort_array(F.collect_set(F.length("part"))).alias("n")).collect()
+    lengths = {r["kind"]: r["n"] for r in sizes}
+    pieces = rows.select(
+        F.col(ROW_ID).alias("_id"), F.explode(F.array_distinct(F.split(text, " "))).alias("token")
+    )
+    pieces = stage(pieces, "post-pieces")
+    index = pieces.groupBy("token").agg(F.count("*").alias("posts"))
+    index = index.select("token", "posts", F.inline(_piece_parts(F.col("token"), lengths)))
+    asked = parts.select("kind", "part").distinct()
+    index = stage(index.join(asked, ["kind", "part"]), "piece-index")
+    common = index.groupBy("kind", "part").agg(F.sum("posts").alias("posts"))
+    needed = parts.groupBy("word").agg(F.count("*").alias("needed"))
+    # by posts first; of equally rare parts the longest, then any one, the same each time
+    rank = F.struct("posts", -F.length("part"), "kind", "part")
+    anchors = (
+        parts.join(common, ["kind", "part"])
+        .groupBy("word")
+        .agg(F.count("*").alias("known"), F.min_by(F.struct("kind", "part"), rank).alias("at"))
+        .join(needed, "word")
+        .where("known = needed")
+        .select("word", "at.kind", "at.part")
+    )
+    hosts = index.select("kind", "part", "token").join(anchors, ["kind", "part"])
+    hosts = stage(hosts.select("token", "word"), "anchors")
+    asked_tokens = hosts.select("token").distinct()
+    near = pieces.join(asked_tokens, "token", "left_semi")
+    salts, hot = join_salts(rows.sparkSession), hot_tokens(near)
+    is_hot = F.col("token").isin(hot)
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salt = F.when(is_hot, F.pmod(F.hash("_id"), F.lit(salts))).otherwise(0)
+    candidates = (
+        near.withColumn("_salt", salt)
+        .join(hosts.withColumn("_salt", F.explode(copies)), ["token", "_salt"])
+        .groupBy("_id")
+        .agg(F.collect_set("word").alias("words"))
+    )
+    texts = rows.select(F.col(ROW_ID).alias("_id"), text.alias("text"))
+    held = F.filter("words", lambda w: F.contains(F.col("text"), w))
+    found = texts.join(candidates, "_id").select("_id", F.explode(held).alias("word"))
+    return (
+        found.join(phrases.select("word", "mapping"), "word")
+        .groupBy("_id")
+        .agg(
+            F.collect_set("word").alias("_keys"),
+            F.collect_set("mapping").alias("_conditions"),
+        )
+    )
+
+
 def _joined_keys(rows: DataFrame, text_col: str, keys: DataFrame) -> DataFrame:
     """``_id, _keys, _conditions`` of the posts with a match, for large key tables.
 

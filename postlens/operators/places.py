@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 from postlens import columns as C
 from postlens.functions import text as T
 from postlens.functions.labels import UNKNOWN_LOCATION, region_of
-from postlens.functions.token_table import TokenTable, annotate_tokens, word_frame
+from postlens.functions.token_table import (
+    ROW_ID,
+    TokenTable,
+    annotate_tokens,
+    with_row_id,
+    word_frame,
+)
+from postlens.sources.staging import stage
 
 # Which gazetteer column answers first when several know the same word.
 COUNTRY_FIRST = ("country", "iso2", "iso3", "city")
@@ -20,8 +27,6 @@ CITY_FIRST = ("city", "iso2", "iso3", "country")
 # Place names known without any table.
 ALWAYS_PLACES = ("iceland",)
 
-_PLACE = "struct<n:int,name:string>"
-
 
 def gazetteer_tokens(
     gazetteer: DataFrame, priority: tuple[str, ...] = COUNTRY_FIRST
@@ -71,23 +76,21 @@ def map_country(
     return annotated.withColumn(out, F.coalesce(first, F.lit(UNKNOWN_LOCATION))).drop("_hits")
 
 
-def _place_heads(df: DataFrame, places: DataFrame | Iterable[str]) -> DataFrame:
-    """First word of a place name -> the names that start with it, longest first."""
+def _place_tables(df: DataFrame, places: DataFrame | Iterable[str]) -> tuple[DataFrame, DataFrame]:
+    """``first, lengths`` and ``name, n``: which lengths names with a first word have, and the names.
+
+    A row per first word holds lengths, never names: however many names start with
+    one word, it is as long as the longest name. Both are counted up from partial sums.
+    """
     if not isinstance(places, DataFrame):
         places = word_frame(df.sparkSession, name=places)
     names = places.select(F.lower(F.col(places.columns[0])).alias("name")).unionByName(
         word_frame(df.sparkSession, name=ALWAYS_PLACES)
     )
-    words = names.select(T.words(F.col("name")).alias("w")).where(F.size("w") > 0).distinct()
-    ranked = F.struct(
-        (-F.size("w")).alias("order"),
-        F.struct(F.size("w").alias("n"), F.array_join("w", " ").alias("name")).alias("place"),
-    )
-    return (
-        words.groupBy(F.col("w")[0].alias("token"))
-        .agg(F.array_sort(F.collect_set(ranked)).alias("ranked"))
-        .select("token", F.transform("ranked", lambda r: r["place"]).alias("names"))
-    )
+    words = names.select(T.words(F.col("name")).alias("w")).where(F.size("w") > 0)
+    shapes = words.select(F.col("w")[0].alias("first"), F.size("w").alias("n")).distinct()
+    lengths = shapes.groupBy("first").agg(F.sort_array(F.collect_set("n")).alias("lengths"))
+    return lengths, words.select(F.array_join("w", " ").alias("name"), F.size("w").alias("n"))
 
 
 def extract_places(
@@ -102,7 +105,8 @@ def extract_places(
     """All place names of a text, in order, joined by ``", "``; null without one.
 
     Names may have any number of words: from left to right the longest known name is
-    taken and its words are used up. ``predictor`` replaces the table with a model: a
+    taken and its words are used up. A word that starts names is looked up for their lengths, the
+    stretches of such lengths for the names themselves; each table is a constant or joined. ``predictor`` replaces the table with a model: a
     factory, called once per task, of a function from a batch of texts to place strings.
     ``only_where`` restricts the work to the rows that need it.
     """
@@ -111,31 +115,66 @@ def extract_places(
     if predictor is not None:
         return df.withColumn(out, F.nullif(_text_model(predictor)(text), F.lit("")))
 
-    heads = TokenTable.of(_place_heads(df, places or ()), f"array<{_PLACE}>", **bounds)
-    df = df.withColumn("_words", T.words(F.lower(text)))
-    df = annotate_tokens(df, F.col("_words"), heads, "_heads")
-
-    def longest(head: Column) -> Column:
-        here = F.filter(
-            head["value"],
-            lambda p: F.array_join(F.slice(F.col("_words"), head["pos"] + 1, p["n"]), " ")
-            == p["name"],
+    lengths, names = _place_tables(df, places or ())
+    lengths = TokenTable.of(lengths, "array<int>", **bounds)
+    names = TokenTable.of(names, "int", **bounds)
+    found = "_places_found"
+    if lengths.is_constant and names.is_constant:
+        named = _named(df.withColumn("_words", T.words(F.lower(text))), lengths, names, found)
+        return named.withColumn(out, F.col(found)).drop(found)
+    rows = with_row_id(df)
+    words = stage(rows.select(ROW_ID, T.words(F.lower(text)).alias("_words")), "words")
+    named = _named(words, lengths, names, found).select(F.col(ROW_ID).alias("_places_id"), found)
+    joined = rows.join(named, rows[ROW_ID] == F.col("_places_id"), "left").drop("_places_id")
+    joined = joined.withColumn(out, F.col(found)).drop(found)
+    return joined if ROW_ID in df.columns else joined.drop(ROW_ID)
+
+
+def _named(df: DataFrame, lengths: TokenTable, names: TokenTable, out: str) -> DataFrame:
+    """``df`` with the names in its ``_words``, which are dropped."""
+    df = annotate_tokens(df, F.col("_words"), lengths, "_firsts")
+    df = df.withColumn("_spans", _spans(F.col("_words"), F.col("_firsts"))).drop("_firsts", "_words")
+    if not names.is_constant:
+        df = stage(df, "spans")
+    df = annotate_tokens(df, F.transform("_spans", lambda s: s["name"]), names, "_names")
+    # by position, the longest first: later ones at a position lie within it
+    found = F.array_sort(
+        F.transform(
+            "_names",
+            lambda h: F.struct(
+                F.get("_spans", h["pos"])["pos"].alias("pos"),
+                (-h["value"]).alias("less"),
+                h["token"].alias("name"),
+            ),
         )
-        return F.struct(head["pos"].alias("pos"), F.get(here, F.lit(0)).alias("place"))
+    )
 
     def take(acc: Column, hit: Column) -> Column:
-        free = hit["place"].isNotNull() & (hit["pos"] >= acc["next"])
         taken = F.struct(
-            (hit["pos"] + hit["place"]["n"]).alias("next"),
-            F.concat(acc["names"], F.array(hit["place"]["name"])).alias("names"),
+            (hit["pos"] - hit["less"]).alias("next"),
+            F.concat(acc["names"], F.array(hit["name"])).alias("names"),
         )
-        return F.when(free, taken).otherwise(acc)
+        return F.when(hit["pos"] >= acc["next"], taken).otherwise(acc)
 
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("names"))
-    found = F.aggregate(
-        F.transform("_heads", longest), start, take, lambda a: F.array_join(a["names"], ", ")
-    )
-    return df.withColumn(out, F.nullif(found, F.lit(""))).drop("_words", "_heads")
+    joined = F.aggregate(found, start, take, lambda a: F.array_join(a["names"], ", "))
+    return df.withColumn(out, F.nullif(joined, F.lit(""))).drop("_spans", "_names")
+
+
+def _spans(words: Column, firsts: Column) -> Column:
+    """The stretches of words that may be names: ``pos, name``, by their first words' lengths."""
+
+    def at(hit: Column) -> Column:
+        fitting = F.filter(hit["value"], lambda n: hit["pos"] + n <= F.size(words))
+        return F.transform(
+            fitting,
+            lambda n: F.struct(
+                hit["pos"].alias("pos"),
+                F.array_join(F.slice(words, hit["pos"] + 1, n), " ").alias("name"),
+            ),
+        )
+
+    return F.flatten(F.transform(firsts, at))
 
 
 def _text_model(predictor: Callable[[], Callable[[pd.Series], pd.Series]]):

@@ -496,11 +496,11 @@ def _assigned_by_join(df, model, text_col, eligible, id_col, max_steps, toleranc
         if posts.num_rows:
             block = _Block(posts, slices, state)
             topic = pa.array(block.inferred.gamma.argmax(axis=1).astype(np.int32))
-        return pa.table({"_id": posts.column("id"), C.DOMINANT_TOPIC: topic})
+        return pa.table({"_topic_id": posts.column("id"), C.DOMINANT_TOPIC: topic})
 
-    schema = f"_id {kind}, {C.DOMINANT_TOPIC} int"
+    schema = f"_topic_id {kind}, {C.DOMINANT_TOPIC} int"
     found = stage(_joined_posts(rows, model, key, text_col, eligible, dominant, schema), "topics")
-    out = rows.drop(C.DOMINANT_TOPIC).join(found, F.col(key).eqNullSafe(found["_id"]), "left").drop("_id")
+    out = rows.drop(C.DOMINANT_TOPIC).join(found, F.col(key).eqNullSafe(F.col("_topic_id")), "left").drop("_topic_id")
     return out if key in df.columns else out.drop(key)
 
 

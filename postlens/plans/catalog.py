@@ -329,6 +329,29 @@ def _map_glossary(spark, sf_dir, **options):
     return df.select("doc_id", C.GLOSSARY_MAP)
 
 
+def benchmark_phrases(spark, sf_dir):
+    """Every three neighbouring words of ``benchmark`` as a key, with half of a word at each end."""
+    words = T.words(T.clean_text(F.col("text")))
+    at = _table(spark, sf_dir, "benchmark").select(words.alias("w"), F.posexplode(words).alias("pos", "first"))
+    second, third = (F.get("w", F.col("pos") + i) for i in (1, 2))
+    phrase = F.concat(
+        F.right("first", F.ceil(F.length("first") / 2).cast("int")), F.lit(" "), second, F.lit(" "),
+        F.left(third, F.ceil(F.length(third) / 2).cast("int")),
+    )
+    rows = at.select(phrase.alias("word")).where("word is not null").distinct()
+    return rows.select("word", F.concat(F.lit("c"), F.length("word") % 3).alias("mapping"))
+
+
+def map_phrases(spark, sf_dir):
+    phrases = benchmark_phrases(spark, sf_dir).unionByName(
+        key_words(spark, sf_dir).where(F.length("word") >= 9)
+    )
+    df = keywords.map_conditions(
+        cleaned(spark, sf_dir), C.CLEANED_TEXT, phrases, phrases=True, max_keys=0
+    )
+    return df.select("doc_id", C.WEATHER_TOPICS, C.WEATHER_TEMP)
+
+
 def map_glossary(spark, sf_dir):
     return _map_glossary(spark, sf_dir)
 
@@ -723,7 +746,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         word_count, filter_min_words, topic_eligible, combined_text, temp_category,
         categorize_region, clean_text, clean_text_links, tokenize, remove_stopwords,
         lemmatize_lookup, lemmatize_joined, prepare_text, unpivot_mapping, dedupe_mapping,
-        match_keywords, map_conditions, map_conditions_joined, map_glossary,
+        match_keywords, map_conditions, map_conditions_joined, map_phrases, map_glossary,
         map_glossary_joined, map_country, map_country_joined, map_country_city_first,
         extract_places, extract_places_joined, final_location, vocabulary_counts, bag_of_words,
         number_words, topic_words, assign_topics, topic_word_mass, topic_assignment_check,

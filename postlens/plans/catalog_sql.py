@@ -330,6 +330,16 @@ runs AS (SELECT DISTINCT doc_id, unnest({_runs('w')}) AS v FROM tokens),
 hit AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT word)), ', ') AS weather_topics,
     array_to_string(list_sort(list(DISTINCT cond)), ', ') AS weather_temp
   FROM runs JOIN holds USING (v) GROUP BY doc_id)
+SELECT doc_id, weather_topics, weather_temp FROM cleaned LEFT JOIN hit USING (doc_id)""",
+    "map_phrases": f"""WITH {CLEANED}, {BENCH_WORDS},
+bench AS (SELECT {_words(_clean('text'))} AS w FROM benchmark),
+windows AS (SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: [w[i], w[i + 1], w[i + 2]])) AS t FROM bench),
+keys AS (SELECT DISTINCT word, 'c' || length(word) % 3 AS cond FROM (
+  SELECT right(t[1], (length(t[1]) + 1) // 2) || ' ' || t[2] || ' ' || left(t[3], (length(t[3]) + 1) // 2) AS word FROM windows
+  UNION ALL SELECT word FROM bw WHERE length(word) >= 9)),
+hit AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT word)), ', ') AS weather_topics,
+    array_to_string(list_sort(list(DISTINCT cond)), ', ') AS weather_temp
+  FROM cleaned JOIN keys ON contains(t, word) GROUP BY doc_id)
 SELECT doc_id, weather_topics, weather_temp FROM cleaned LEFT JOIN hit USING (doc_id)""",
     "map_glossary": _MAP_GLOSSARY,
     "map_glossary_joined": _MAP_GLOSSARY,

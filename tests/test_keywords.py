@@ -87,3 +87,29 @@ def test_later_region_then_later_row_wins(spark):
     assert column(keywords.dedupe_mapping(unpivoted), "mapping", "word")["storm"] == "d"
     only_eu = unpivoted.where("region = 'EU'")
     assert column(keywords.dedupe_mapping(only_eu), "mapping", "word") == {"storm": "c", "eu": "only"}
+
+
+def test_phrases_of_any_number_equal_brute_force(spark):
+    rng = random.Random(8)
+    pieces = ["a", "ab", "abc", "b", "bab", "c", "ca,", "é", "", "\n"]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(250)]
+    texts += [None, "", "AB C", "xab cx", "ab  c", "a" * 3000]
+    keys = {" ".join(rng.choice(["a", "ab", "b", "c", "é", ""]) for _ in range(rng.randint(1, 4))) for _ in range(90)}
+    keys = sorted(k for k in keys | {"ab c", "zz a", " a", "a ", "a  b"} if k.strip()) + ["  ", "a-b"]
+    mapping = spark.createDataFrame([(k, f"c{len(k)}") for k in keys], "word string, mapping string")
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(3)
+    live = [k for k in keys if k.strip() and "-" not in k]
+    want = {i: ", ".join(sorted(k for k in live if k in (t or "").lower())) or None for i, t in enumerate(texts)}
+    for limit in (0, 1000):
+        got = keywords.map_conditions(df, "t", mapping, phrases=True, max_keys=limit)
+        assert column(got, "weather_topics") == want
+        temps = {i: ", ".join(sorted({f"c{len(k)}" for k in live if k in (t or "").lower()})) or None for i, t in enumerate(texts)}
+        assert column(got, "weather_temp") == temps
+
+
+def test_phrases_that_share_a_common_part_meet_few_posts(spark):
+    rows = [(i, f"new town{i} of the") for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    phrases = spark.range(20_000).selectExpr("concat('new town', id, ' of') as word", "'c' as mapping")
+    got = column(keywords.map_conditions(df, "t", phrases, phrases=True), "weather_topics")
+    assert got == {i: f"new town{i} of" for i, _ in rows}

@@ -147,6 +147,22 @@ def test_places_equal_brute_force(spark, way):
         assert got[i] == leftmost_longest((text or "").lower().split(), names), text
 
 
+@pytest.mark.parametrize("way", BOTH_WAYS)
+def test_very_many_places_start_with_one_word(spark, way):
+    names = spark.range(100_000).selectExpr("concat('san p', id, if(id % 2 = 0, ' bay', '')) as name")
+    rows = [(1, "near san p7 and san p8 bay"), (2, "san p8"), (3, "San San p100001"), (4, "san")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    got = column(places.extract_places(df, "t", names, **way), "places")
+    assert got == {1: "san p7, san p8 bay", 2: None, 3: None, 4: None}
+
+
+def test_columns_of_the_caller_stay(spark):
+    df = spark.createDataFrame([(1, "in a b", 5, 6)], "id int, t string, places int, _id int")
+    for way in BOTH_WAYS:
+        got = places.extract_places(df, "t", ["a b"], **way).first().asDict()
+        assert got["places"] == "a b" and got["id"] == 1
+
+
 def test_final_location_and_region(spark, texts, cities):
     out = places.with_region(places.final_location(texts, "t", cities, ["new york", "paris"]))
     location, region = column(out, "final_location"), column(out, "region")
