@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 
 from postlens import columns as C
 from postlens.functions import text as T
-from postlens.functions.labels import CLIMATE_SENTIMENT_LABELS, share_text
+from postlens.functions.labels import (
+    CLIMATE_SENTIMENT_LABELS,
+    TWITTER_SENTIMENT_LABELS,
+    share_text,
+)
 from postlens.functions.token_table import TokenTable, word_frame
 from postlens.operators import (
     classify,
@@ -26,6 +30,7 @@ from postlens.operators import (
     sentiment,
     text_prep,
     tfidf,
+    tone,
     topics,
 )
 from postlens.plans.analyze import Lookups, analyze_posts
@@ -524,17 +529,44 @@ def polarity_sentiment(spark, sf_dir):
     return df.select("doc_id", "polarity_sentiment", F.round("score", 6).alias("score"))
 
 
+#: Rules with words that the given texts have.
+BOOSTERS = {"the": 0.293, "de": -0.293, "of": -0.5, "is": 0.25}
+NEGATIONS = ("and", "la", "der")
+MODIFIERS = {"the": 1.3, "de": 0.5, "of": 1.25, "is": 0.8}
+CONTRAST = "with"
+
+
+def valence_sentiment(spark, sf_dir, **options):
+    rules = tone.ValenceRules(BOOSTERS, NEGATIONS, CONTRAST)
+    df = tone.valence_sentiment(
+        documents(spark, sf_dir), "text", word_scores(spark, sf_dir), rules, score_col="score", **options
+    )
+    return df.select("doc_id", "valence_sentiment", F.round("score", 6).alias("score"))
+
+
+def modified_polarity(spark, sf_dir):
+    df = tone.modified_polarity(
+        documents(spark, sf_dir), "text", word_scores(spark, sf_dir), MODIFIERS, NEGATIONS, score_col="score"
+    )
+    return df.select("doc_id", "modified_polarity", F.round("score", 6).alias("score"))
+
+
 def compare_sentiment(spark, sf_dir):
+    """The four scorers side by side: two by words, two by a predictor in their own class orders."""
     scores = TokenTable.of(word_scores(spark, sf_dir), "double")
+    rules = tone.ValenceRules(BOOSTERS, NEGATIONS, CONTRAST)
+    model = keyword_scores()
     df = sentiment.compare_sentiment(
         _table(spark, sf_dir, "conversations"),
         "text",
         {
-            "valence": lambda d, c, out: sentiment.lexicon_sentiment(d, c, scores, out),
-            "polarity": lambda d, c, out: sentiment.polarity_sentiment(d, c, scores, out),
+            "valence": lambda d, c, out: tone.valence_sentiment(d, c, scores, rules, out),
+            "polarity": lambda d, c, out: tone.modified_polarity(d, c, scores, MODIFIERS, NEGATIONS, out),
+            "twitter": lambda d, c, out: classify.classify(d, c, model, TWITTER_SENTIMENT_LABELS, out),
+            "climate": lambda d, c, out: classify.classify(d, c, model, CLIMATE_SENTIMENT_LABELS, out),
         },
     )
-    return df.select("conv_id", "turn", "valence", "polarity")
+    return df.select("conv_id", "turn", "valence", "polarity", "twitter", "climate")
 
 
 def keyword_scores() -> Callable:
@@ -752,7 +784,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         number_words, topic_words, assign_topics, topic_word_mass, topic_assignment_check,
         token_responsibilities, topic_words_learned_prior,
         relevance_words, relevance_words_model, lexicon_sentiment, lexicon_sentiment_joined,
-        polarity_sentiment, compare_sentiment, classify_hook, train_val_split,
+        polarity_sentiment, valence_sentiment, modified_polarity, compare_sentiment, classify_hook, train_val_split,
         classification_metrics, train_temperature_model, predict_temperature, value_counts,
         group_counts, count_percentages, rollup_posts, rollup_long, analyze_posts_rollup,
         analyze_posts_result, analyze_posts_full, restrict_vocab, label_by_topic_words,

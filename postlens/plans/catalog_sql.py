@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
-from postlens.functions.labels import EUROPEAN_COUNTRIES
-from postlens.plans.catalog import KEYWORDS, STOP_WORDS, TEMP_KEYWORDS, TOPIC_WORDS
+from postlens.functions.labels import (
+    CLIMATE_SENTIMENT_LABELS,
+    EUROPEAN_COUNTRIES,
+    TWITTER_SENTIMENT_LABELS,
+)
+from postlens.plans.catalog import (
+    BOOSTERS,
+    CONTRAST,
+    KEYWORDS,
+    MODIFIERS,
+    NEGATIONS,
+    STOP_WORDS,
+    TEMP_KEYWORDS,
+    TOPIC_WORDS,
+)
 
 # The cleaning patterns step by step, in RE2 syntax.
 URL_RE = (
@@ -285,6 +298,94 @@ best AS (SELECT doc_id, w, df * n AS score, row_number() OVER (PARTITION BY doc_
 SELECT c.doc_id, coalesce(x.t, '') AS top_3_relevance_words FROM cleaned c LEFT JOIN
   (SELECT doc_id, string_agg(w, ' ' ORDER BY k) AS t FROM best WHERE k <= 3 GROUP BY doc_id) x USING (doc_id)"""
 
+# Rules of valence and polarity; a word may have apostrophes inside.
+_SPOKEN = r"[\p{L}\p{N}_]+(?:''[\p{L}\p{N}_]+)*"
+
+
+def _case(word: str, values: dict[str, float]) -> str:
+    cases = " ".join(f"WHEN '{w}' THEN {v}::DOUBLE" for w, v in values.items())
+    return f"CASE {word} {cases} END"
+
+
+def _valence(table: str, keys: str) -> str:
+    """CTE ``valence``: keys, s of every row; the steps look back one, two and three words."""
+    own = ", ".join("t." + k for k in keys.split(", "))
+    steps, last = [], "v0"
+    for d, decay in ((1, 1.0), (2, 0.95), (3, 0.9)):
+        sign = f"(CASE WHEN {last} > 0 THEN 1.0 ELSE -1.0 END)::DOUBLE"
+        counts = f"pos > {d} AND value{d} IS NULL"
+        boosted = f"""CASE WHEN {counts} AND boost{d} IS NOT NULL THEN {last} +
+          (boost{d} * {sign} + CASE WHEN capital{d} AND mixed THEN 0.733::DOUBLE * {sign} ELSE 0.0::DOUBLE END) * {decay}::DOUBLE
+          ELSE {last} END"""
+        steps.append(f"b{d} AS (SELECT *, {boosted} AS w{d} FROM {'near' if d == 1 else f's{d - 1}'})")
+        between = " OR ".join(f"word{e} IN ('so', 'this')" for e in range(1, d)) or "false"
+        factor = {1: 1.0, 2: 1.5, 3: 1.25}[d]
+        steps.append(f"""s{d} AS (SELECT *, CASE WHEN {counts} AND word{d} = 'never' AND ({between}) THEN w{d} * {factor}::DOUBLE
+          WHEN {counts} AND negates{d} THEN w{d} * -0.74::DOUBLE ELSE w{d} END AS v{d} FROM b{d})""")
+        last = f"v{d}"
+    lags = ", ".join(
+        f"lag({c}, {d}) OVER p AS {c}{d}" for d in (1, 2, 3) for c in ("word", "value", "boost", "negates", "capital")
+    )
+    return f"""{BENCH_WORDS}, {SCORES},
+said AS (SELECT {keys}, unnest(regexp_extract_all(text, '{_SPOKEN}')) AS raw,
+    generate_subscripts(regexp_extract_all(text, '{_SPOKEN}'), 1) AS pos FROM {table}),
+known AS (SELECT {own}, pos, lower(raw) AS word, s AS value, {_case('lower(raw)', BOOSTERS)} AS boost,
+    lower(raw) IN ({_quoted(NEGATIONS)}) OR contains(lower(raw), 'n''t') AS negates,
+    raw = upper(raw) AND raw <> lower(raw) AS capital
+  FROM said t LEFT JOIN scored ON scored.word = lower(raw)),
+near AS (SELECT *, {lags}, bool_or(capital) OVER a AND bool_or(NOT capital) OVER a AS mixed,
+    min(CASE WHEN word = '{CONTRAST}' THEN pos END) OVER a AS contrast_at,
+    value + CASE WHEN capital AND bool_or(capital) OVER a AND bool_or(NOT capital) OVER a
+      THEN 0.733::DOUBLE * (CASE WHEN value > 0 THEN 1.0 ELSE -1.0 END)::DOUBLE ELSE 0.0::DOUBLE END AS v0
+  FROM known WINDOW a AS (PARTITION BY {keys}), p AS (PARTITION BY {keys} ORDER BY pos)),
+{', '.join(steps)},
+least_told AS (SELECT *, CASE WHEN pos > 1 AND value1 IS NULL AND word1 = 'least' AND NOT (pos > 2 AND word2 IN ('at', 'very'))
+    THEN v3 * -0.74::DOUBLE ELSE v3 END AS v4 FROM s3),
+sums AS (SELECT {keys}, sum(CASE WHEN value IS NOT NULL AND boost IS NULL THEN
+      v4 * (CASE WHEN contrast_at IS NULL THEN 1.0 WHEN pos < contrast_at THEN 0.5 WHEN pos > contrast_at THEN 1.5 ELSE 1.0 END)::DOUBLE
+    ELSE 0.0::DOUBLE END ORDER BY pos) AS s FROM least_told GROUP BY {keys}),
+marked AS (SELECT {own}, coalesce(s, 0.0) AS s, least(length(text) - length(replace(text, '!', '')), 4) * 0.292::DOUBLE +
+    (CASE WHEN q > 3 THEN 0.96 WHEN q > 1 THEN q * 0.18 ELSE 0.0 END)::DOUBLE AS marks
+  FROM (SELECT *, length(text) - length(replace(text, '?', '')) AS q FROM {table}) t LEFT JOIN sums USING ({keys})),
+valence AS (SELECT {keys}, CASE WHEN s > 0 THEN s + marks WHEN s < 0 THEN s - marks ELSE 0.0 END AS s FROM marked)"""
+
+
+def _polarity(table: str, keys: str) -> str:
+    """CTE ``polarity``: keys, mean of every row, by one fold over its words."""
+    chain = "{'word': NULL::VARCHAR, 'value': NULL::DOUBLE, 'factor': NULL::DOUBLE, 'negated': false, 'total': 0.0::DOUBLE, 'n': 0, 'last': 0.0::DOUBLE}"
+    within = lambda x: f"greatest(-1.0::DOUBLE, least(1.0::DOUBLE, {x}))"
+    state = lambda f, g, t, n, v: (
+        f"{{'word': NULL::VARCHAR, 'value': NULL::DOUBLE, 'factor': {f}, 'negated': {g}, 'total': {t}, 'n': {n}, 'last': {v}}}"
+    )
+    factor = _case("x.word", MODIFIERS)
+    product = within("x.value * coalesce(a.factor, 1.0::DOUBLE)")
+    own = f"CASE WHEN a.negated THEN {product} * -0.5::DOUBLE ELSE {product} END"
+    stronger = within("a.last * 1.25::DOUBLE")
+    return f"""{BENCH_WORDS}, {SCORES},
+said AS (SELECT {keys}, unnest(regexp_extract_all(lower(text), '{_SPOKEN}|!')) AS w,
+    generate_subscripts(regexp_extract_all(lower(text), '{_SPOKEN}|!'), 1) AS pos FROM {table}),
+rows_of AS (SELECT {keys}, list({{'word': w, 'value': s, 'factor': NULL::DOUBLE, 'negated': false, 'total': 0.0::DOUBLE,
+    'n': 0, 'last': 0.0::DOUBLE}} ORDER BY pos) AS l FROM said LEFT JOIN scored ON word = w GROUP BY {keys}),
+folded AS (SELECT {keys}, list_reduce(l, lambda a, x: CASE
+    WHEN x.word = '!' THEN {state('a.factor', 'a.negated', f'a.total + CASE WHEN a.n > 0 THEN {stronger} - a.last ELSE 0.0::DOUBLE END', 'a.n', stronger)}
+    WHEN {factor} IS NOT NULL THEN {state(f'coalesce(a.factor, 1.0::DOUBLE) * {factor}', 'a.negated', 'a.total', 'a.n', 'a.last')}
+    WHEN x.word IN ({_quoted(NEGATIONS)}) OR contains(x.word, 'n''t') THEN {state('a.factor', 'true', 'a.total', 'a.n', 'a.last')}
+    WHEN x.value IS NOT NULL THEN {state('NULL::DOUBLE', 'false', f'a.total + {own}', 'a.n + 1', own)}
+    ELSE {state('CASE WHEN length(x.word) <= 2 THEN a.factor END', 'a.negated AND length(x.word) <= 1', 'a.total', 'a.n', 'a.last')}
+  END, {chain}) AS r FROM rows_of),
+polarity AS (SELECT {', '.join('d.' + k for k in keys.split(', '))}, CASE WHEN r.n > 0 THEN r.total / r.n ELSE 0.0 END AS p
+  FROM {table} d LEFT JOIN folded USING ({keys}))"""
+
+
+POLARITY_OF = "CASE WHEN p > 0 THEN 'positive' WHEN p < 0 THEN 'negative' ELSE 'neutral' END"
+
+
+def _predicted(labels: tuple[str, ...]) -> str:
+    """Label of the first class whose keyword a text holds, as ``catalog.keyword_scores`` has it."""
+    return f"""CASE WHEN contains(text, 'tion') THEN '{labels[0]}' WHEN contains(text, 'e') THEN '{labels[1]}'
+  WHEN contains(text, 'heed') OR contains(text, 'sch') THEN '{labels[2]}' ELSE '{labels[0]}' END"""
+
+
 _TOPIC_TOKENS = f"""{TAGGED_DOCS},
 topic_posts AS MATERIALIZED (SELECT doc_id, t, weather_topics IS NULL AND len({_words('t')}) > 3 AS eligible FROM tagged),
 topic_tokens AS MATERIALIZED (SELECT doc_id, unnest({_words('t')}) AS w FROM topic_posts WHERE eligible)"""
@@ -370,8 +471,15 @@ FROM topic_tokens GROUP BY ALL""",
     "lexicon_sentiment_joined": _LEXICON_SENTIMENT,
     "polarity_sentiment": f"""WITH {_score_sums('documents', 'doc_id')}
 SELECT doc_id, {POLARITY} AS polarity_sentiment, round({MEAN}, 6) AS score FROM totals""",
-    "compare_sentiment": f"""WITH {_score_sums('conversations', 'conv_id, turn')}
-SELECT conv_id, turn, {VALENCE} AS valence, {POLARITY} AS polarity FROM totals""",
+    "valence_sentiment": f"""WITH {_valence('documents', 'doc_id')}
+SELECT doc_id, {VALENCE} AS valence_sentiment, round({COMPOUND}, 6) AS score FROM valence""",
+    "modified_polarity": f"""WITH {_polarity('documents', 'doc_id')}
+SELECT doc_id, {POLARITY_OF} AS modified_polarity, round(p, 6) AS score FROM polarity""",
+    "compare_sentiment": f"""WITH v AS (WITH {_valence('conversations', 'conv_id, turn')} SELECT * FROM valence),
+p AS (WITH {_polarity('conversations', 'conv_id, turn')} SELECT * FROM polarity)
+SELECT conv_id, turn, {VALENCE} AS valence, {POLARITY_OF} AS polarity,
+  {_predicted(TWITTER_SENTIMENT_LABELS)} AS twitter, {_predicted(CLIMATE_SENTIMENT_LABELS)} AS climate
+FROM conversations JOIN v USING (conv_id, turn) JOIN p USING (conv_id, turn)""",
     "classify_hook": """SELECT doc_id, CASE WHEN contains(text, 'tion') THEN 'positive'
   WHEN contains(text, 'e') THEN 'neutral' WHEN contains(text, 'heed') OR contains(text, 'sch') THEN 'negative'
   ELSE 'positive' END AS label FROM documents""",

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from conftest import column
 from pyspark.ml.clustering import LDA
 from pyspark.ml.linalg import Vectors
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions.labels import CLIMATE_SENTIMENT_LABELS, TWITTER_SENTIMENT_LABELS
 from postlens.functions.special import digamma, trigamma
-from postlens.operators import classify, sentiment, tfidf, topics
+from postlens.operators import classify, sentiment, tfidf, tone, topics
 from postlens.operators.dirichlet import newton_step, newton_step_table
 from postlens.plans import catalog
 from postlens.plans.train import run_training
@@ -395,3 +396,110 @@ def test_queries_train_with_the_operator_defaults(spark, data_dir, monkeypatch,
     monkeypatch.setattr(classify, "_features", lambda n: sizes.append(n) or features(n))
     assert catalog.QUERIES[name](spark, data_dir).count() > 0
     assert fits == [(reg, 50) for reg in (0.0, 0.01, 0.1)] and sizes == [1 << 18]
+
+
+def plain_valence(text, lexicon, rules):
+    """The rules word by word."""
+    raw = regex.findall(tone.WORD, text)
+    words = [w.lower() for w in raw]
+    caps = [w.upper() == w and w.lower() != w for w in raw]
+    mixed = any(caps) and not all(caps)
+    negates = [w in rules.negations or "n't" in w for w in words]
+    sign = lambda v: 1.0 if v > 0 else -1.0
+    values = []
+    for i, word in enumerate(words):
+        if word not in lexicon or word in rules.boosters:
+            values.append(0.0)
+            continue
+        v = lexicon[word]
+        v += tone.CAPITALS * sign(v) if caps[i] and mixed else 0.0
+        for d in (1, 2, 3):
+            if i < d or words[i - d] in lexicon:
+                continue
+            if words[i - d] in rules.boosters:
+                b = rules.boosters[words[i - d]] * sign(v)
+                b += tone.CAPITALS * sign(v) if caps[i - d] and mixed else 0.0
+                v += b * tone.DECAY[d - 1]
+            so = any(words[i - e] in tone.AFTER_NEVER for e in range(1, d))
+            if words[i - d] == "never" and so:
+                v *= tone.NEVER_SO[d - 1]
+            elif negates[i - d]:
+                v *= tone.NEGATION
+        if i >= 1 and words[i - 1] == "least" and "least" not in lexicon:
+            if not (i >= 2 and words[i - 2] in ("at", "very")):
+                v *= tone.NEGATION
+        values.append(v)
+    if rules.contrast in words:
+        turn = words.index(rules.contrast)
+        values = [v * (0.5 if i < turn else 1.5 if i > turn else 1.0) for i, v in enumerate(values)]
+    total = sum(values)
+    asks = text.count("?")
+    marks = min(text.count("!"), 4) * 0.292 + (0.96 if asks > 3 else asks * 0.18 if asks > 1 else 0.0)
+    total += marks if total > 0 else -marks if total < 0 else 0.0
+    return total / math.sqrt(total * total + 15)
+
+
+def plain_polarity(text, lexicon, modifiers, negations):
+    factor, negated, own = None, False, []
+    for word in regex.findall(tone.WORD_OR_MARK, text.lower()):
+        if word == "!":
+            own[-1:] = [max(-1.0, min(1.0, own[-1] * 1.25))] if own else []
+        elif word in modifiers:
+            factor = (factor or 1.0) * modifiers[word]
+        elif word in negations or "n't" in word:
+            negated = True
+        elif word in lexicon:
+            p = max(-1.0, min(1.0, lexicon[word] * (1.0 if factor is None else factor)))
+            own.append(p * -0.5 if negated else p)
+            factor, negated = None, False
+        else:
+            factor = factor if len(word) <= 2 else None
+            negated = negated and len(word) <= 1
+    return sum(own) / len(own) if own else 0.0
+
+
+@pytest.mark.parametrize("way", [{}, {"max_rows": 0}])
+def test_rules_of_tone_equal_word_by_word(spark, way):
+    rng = random.Random(9)
+    lexicon = {"good": 1.9, "bad": -2.5, "fine": 0.8, "awful": -2.0, "meh": 0.0}
+    words = [*lexicon, "very", "hardly", "not", "never", "so", "this", "at", "least", "but", "a", "is",
+             "GOOD", "Bad", "VERY", "isn't", "thing", "!", "?", "!!!", "??", "none", "NOT"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 14)))) for i in range(400)]
+    rows += [(900, None), (901, ""), (902, "good"), (903, "never so this good"), (904, "LEAST bad")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    scores = spark.createDataFrame(list(lexicon.items()), "w string, s double")
+    rules = tone.ValenceRules()
+    got = tone.valence_sentiment(df, "t", scores, score_col="s", **way)
+    valence, label = column(got, "s"), column(got, "valence_sentiment")
+    modifiers = {"very": 1.3, "so": 1.2, "hardly": 0.5}
+    small = {w: v / 3 for w, v in lexicon.items()}
+    small_scores = spark.createDataFrame(list(small.items()), "w string, s double")
+    polarity = column(
+        tone.modified_polarity(df, "t", small_scores, modifiers, score_col="s", **way), "s"
+    )
+    for i, text in rows:
+        if text is None:
+            assert (valence[i], label[i], polarity[i]) == (None, None, None)
+            continue
+        want = plain_valence(text, lexicon, rules)
+        assert valence[i] == pytest.approx(want, abs=1e-12), text
+        assert label[i] == ("positive" if want >= 0.05 else "negative" if want <= -0.05 else "neutral")
+        assert polarity[i] == pytest.approx(plain_polarity(text, small, modifiers, tone.NEGATIONS), abs=1e-12), text
+
+
+def test_published_scores_of_valence(spark):
+    lexicon = {"smart": 1.7, "handsome": 2.2, "funny": 1.9, "good": 1.9, "bad": -2.5}
+    cases = {
+        "VADER is smart, handsome, and funny.": 0.8316,
+        "VADER is smart, handsome, and funny!": 0.8439,
+        "VADER is very smart, handsome, and funny.": 0.8545,
+        "VADER is VERY SMART, handsome, and FUNNY.": 0.9227,
+        "VADER is VERY SMART, handsome, and FUNNY!!!": 0.9342,
+        "VADER is not smart, handsome, nor funny.": -0.7424,
+        "The book was good.": 0.4404,
+        "The book was only kinda good.": 0.3832,
+        "At least it isn't bad": 0.431,
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "id int, t string")
+    got = column(tone.valence_sentiment(df, "t", lexicon, score_col="s"), "s")
+    assert {t: round(got[i], 4) for i, t in enumerate(cases)} == cases
