@@ -27,6 +27,7 @@ from postlens.operators import (
     keywords,
     places,
     rollup,
+    selection,
     sentiment,
     text_prep,
     tfidf,
@@ -594,6 +595,11 @@ def train_val_split(spark, sf_dir):
     return classify.split_train_val(_table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "is_val")
 
 
+def exact_split(spark, sf_dir):
+    df = selection.split_train_val_exact(_table(spark, sf_dir, "documents"), "doc_id")
+    return df.select("doc_id", "is_val")
+
+
 def classification_metrics(spark, sf_dir):
     df = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id")
     df = df.select(
@@ -784,7 +790,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         number_words, topic_words, assign_topics, topic_word_mass, topic_assignment_check,
         token_responsibilities, topic_words_learned_prior,
         relevance_words, relevance_words_model, lexicon_sentiment, lexicon_sentiment_joined,
-        polarity_sentiment, valence_sentiment, modified_polarity, compare_sentiment, classify_hook, train_val_split,
+        polarity_sentiment, valence_sentiment, modified_polarity, compare_sentiment, classify_hook, train_val_split, exact_split,
         classification_metrics, train_temperature_model, predict_temperature, value_counts,
         group_counts, count_percentages, rollup_posts, rollup_long, analyze_posts_rollup,
         analyze_posts_result, analyze_posts_full, restrict_vocab, label_by_topic_words,

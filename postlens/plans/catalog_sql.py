@@ -485,6 +485,8 @@ FROM conversations JOIN v USING (conv_id, turn) JOIN p USING (conv_id, turn)""",
   ELSE 'positive' END AS label FROM documents""",
     "train_val_split": """SELECT doc_id, ('0x' || left(md5(doc_id::VARCHAR), 8))::BIGINT % 100 < 20 AS is_val
 FROM documents""",
+    "exact_split": """SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id::VARCHAR))
+  <= (SELECT ceil(count(*) * 0.2) FROM documents) AS is_val FROM documents""",
     "classification_metrics": """WITH s AS (SELECT quality * 2 + toxic AS l,
     CASE WHEN n_chars > 2500 THEN 3 WHEN n_chars > 500 THEN 2 ELSE 0 END AS p
   FROM documents JOIN labels USING (doc_id)),

@@ -1,5 +1,6 @@
 """Topics, sentiment, classifier, TF-IDF."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions.labels import CLIMATE_SENTIMENT_LABELS, TWITTER_SENTIMENT_LABELS
 from postlens.functions.special import digamma, trigamma
-from postlens.operators import classify, sentiment, tfidf, tone, topics
+from postlens.operators import classify, selection, sentiment, tfidf, tone, topics
 from postlens.operators.dirichlet import newton_step, newton_step_table
 from postlens.plans import catalog
 from postlens.plans.train import run_training
@@ -503,3 +504,25 @@ def test_published_scores_of_valence(spark):
     df = spark.createDataFrame(list(enumerate(cases)), "id int, t string")
     got = column(tone.valence_sentiment(df, "t", lexicon, score_col="s"), "s")
     assert {t: round(got[i], 4) for i, t in enumerate(cases)} == cases
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 4, 5, 6, 99, 100, 101, 1000])
+def test_exact_split_has_the_exact_size(spark, n):
+    df = spark.range(n).selectExpr("id", "'x' as is_val").repartition(3)
+    for share in (0.2, 0.5, 0.07):
+        got = selection.split_train_val_exact(df, "id", share)
+        order = sorted(range(n), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+        want = set(order[: math.ceil(round(share * n, 9))])
+        assert {r["id"] for r in got.collect() if r["is_val"]} == want
+
+
+def test_exact_split_keeps_shared_ids_together(spark):
+    rows = [(i % 7 if i % 3 else None,) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int")
+    for seed in (42, 7):
+        got = selection.split_train_val_exact(df, "id", 0.3, seed).collect()
+        sides = {}
+        for r in got:
+            sides.setdefault(r["id"], set()).add(r["is_val"])
+        assert all(len(s) == 1 for s in sides.values())
+        assert sum(r["is_val"] for r in got) >= 18
