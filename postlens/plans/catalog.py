@@ -23,6 +23,7 @@ from postlens.functions.labels import (
 from postlens.functions.token_table import TokenTable, word_frame
 from postlens.operators import (
     classify,
+    epochs,
     glossary,
     keywords,
     places,
@@ -625,6 +626,27 @@ def predict_temperature(spark, sf_dir):
     return df.select("doc_id", C.TEMP_SENTIMENT)
 
 
+def epochs_resumed(spark, sf_dir):
+    """Whether training that stops after its first epoch and goes on ends like training in one go.
+
+    Per epoch: are the validation losses the same, and in the end the weights.
+    """
+    parts = selection.split_train_val_exact(labelled(spark, sf_dir), "doc_id")
+    train, val = parts.where("not is_val"), parts.where("is_val")
+    schedule = epochs.Schedule(epochs=3, batches=4)
+    whole, halves = staging_path(spark, "whole"), staging_path(spark, "halves")
+    epochs.train_by_epochs(train, val, whole, "doc_id", schedule=schedule)
+    for stop in (1, None):
+        epochs.train_by_epochs(train, val, halves, "doc_id", schedule=schedule, stop_after=stop)
+    one, two = (epochs.read_progress(spark, path) for path in (whole, halves))
+    rows = []
+    for a, b in zip(one, two, strict=True):
+        left, right = spark.read.parquet(a["state"]), spark.read.parquet(b["state"])
+        differ = left.exceptAll(right).count() + right.exceptAll(left).count()
+        rows.append((a["epoch"], a["loss"] == b["loss"], differ == 0))
+    return spark.createDataFrame(rows, "epoch int, same_loss boolean, same_weights boolean")
+
+
 def value_counts(spark, sf_dir):
     df = rollup.with_temp_category(tagged(spark, sf_dir))
     counts = rollup.value_counts_map(df, [C.FINAL_LOCATION], C.TEMP_CATEGORY, "counts")
@@ -791,7 +813,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         token_responsibilities, topic_words_learned_prior,
         relevance_words, relevance_words_model, lexicon_sentiment, lexicon_sentiment_joined,
         polarity_sentiment, valence_sentiment, modified_polarity, compare_sentiment, classify_hook, train_val_split, exact_split,
-        classification_metrics, train_temperature_model, predict_temperature, value_counts,
+        classification_metrics, train_temperature_model, predict_temperature, epochs_resumed, value_counts,
         group_counts, count_percentages, rollup_posts, rollup_long, analyze_posts_rollup,
         analyze_posts_result, analyze_posts_full, restrict_vocab, label_by_topic_words,
         finalize_words, tfidf_by_group, top_tfidf_words, csv_posts_round_trip,

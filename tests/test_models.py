@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions.labels import CLIMATE_SENTIMENT_LABELS, TWITTER_SENTIMENT_LABELS
 from postlens.functions.special import digamma, trigamma
-from postlens.operators import classify, selection, sentiment, tfidf, tone, topics
+from postlens.operators import classify, epochs, selection, sentiment, tfidf, tone, topics
 from postlens.operators.dirichlet import newton_step, newton_step_table
 from postlens.plans import catalog
 from postlens.plans.train import run_training
@@ -526,3 +526,73 @@ def test_exact_split_keeps_shared_ids_together(spark):
             sides.setdefault(r["id"], set()).add(r["is_val"])
         assert all(len(s) == 1 for s in sides.values())
         assert sum(r["is_val"] for r in got) >= 18
+
+
+@pytest.fixture(scope="module")
+def labelled_texts(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(150):
+        label = i % 3
+        words = [["ice", "snow"], ["mild", "calm"], ["sun", "heat"]][label] + ["the", "a", "of"]
+        rows.append((i, " ".join(rng.choice(words) for _ in range(8)), label))
+    rows += [(900, None, 1), (901, "ice", None), (902, "", 2)]
+    return spark.createDataFrame(rows, "id int, text string, label int").cache()
+
+
+def epoch_run(df, path, schedule, **options):
+    train, val = df.where("id % 5 > 0"), df.where("id % 5 = 0")
+    return epochs.train_by_epochs(
+        train, val, str(path), "id", classes=3, num_features=64, schedule=schedule, **options
+    )
+
+
+def state_rows(spark, path, epoch):
+    rows = spark.read.parquet(f"{path}/epoch-{epoch}").orderBy("feature").collect()
+    return [(r["feature"], r["weights"], r["first"], r["second"]) for r in rows]
+
+
+def test_stopped_and_resumed_training_equals_the_whole(spark, labelled_texts, tmp_path):
+    schedule = epochs.Schedule(epochs=4, batches=3)
+    epoch_run(labelled_texts, tmp_path / "whole", schedule)
+    epoch_run(labelled_texts, tmp_path / "parts", schedule, stop_after=2)
+    assert len(epochs.read_progress(spark, str(tmp_path / "parts"))) == 2
+    model = epoch_run(labelled_texts.repartition(7), tmp_path / "parts", schedule)
+    one, two = (epochs.read_progress(spark, str(tmp_path / p)) for p in ("whole", "parts"))
+    assert [p["loss"] for p in one] == [p["loss"] for p in two]
+    for e in range(1, 5):
+        assert state_rows(spark, tmp_path / "whole", e) == state_rows(spark, tmp_path / "parts", e)
+    assert one[-1]["loss"] < one[0]["loss"]
+    val = labelled_texts.where("id % 5 = 0 and label is not null")
+    scored = classify.predict_temperature(val, model, "text", "prediction")
+    assert classify.classification_metrics(scored).first()["accuracy"] > 0.9
+    save_model(model, str(tmp_path / "model"))
+    again = classify.predict_temperature(val, load_model(str(tmp_path / "model")), "text", "prediction")
+    assert again.collect() == scored.collect()
+
+
+def test_gradient_and_loss_equal_the_dense_formula(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 6)) * (rng.random((40, 6)) < 0.5)
+    y, w = rng.integers(0, 3, 40), rng.normal(size=(7, 3))
+    rows = [(int(t), np.flatnonzero(r).tolist(), r[np.flatnonzero(r)].tolist()) for r, t in zip(x, y, strict=True)]
+    df = spark.createDataFrame(rows, "label int, indices array<int>, values array<double>").repartition(3)
+    scores = x @ w[:-1] + w[-1]
+    chances = np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True)
+    miss = chances.copy()
+    miss[np.arange(40), y] -= 1
+    gradient, n = epochs._gradient(df, w)
+    assert n == 40 and np.abs(gradient - np.vstack([x.T @ miss, miss.sum(axis=0)]) / 40).max() < 1e-8
+    assert abs(epochs._loss(df, w) + np.log(chances[np.arange(40), y]).mean()) < 1e-8
+    assert epochs._loss(df.limit(0), w) == 0.0
+
+
+def test_best_epoch_stays_and_patience_ends(spark, labelled_texts, tmp_path, monkeypatch):
+    losses = iter([3.0, 1.0, 2.0, 2.5, 9.0])
+    monkeypatch.setattr(epochs, "_loss", lambda rows, weights: next(losses))
+    schedule = epochs.Schedule(epochs=5, batches=2, patience=2)
+    model = epoch_run(labelled_texts, tmp_path, schedule)
+    assert [p["loss"] for p in epochs.read_progress(spark, str(tmp_path))] == [3.0, 1.0, 2.0, 2.5]
+    best = {f: w for f, w, _, _ in state_rows(spark, tmp_path, 2)}
+    kept = model.stages[-1].coefficientMatrix.toArray()
+    assert all(np.allclose(kept[:, f], w) for f, w in best.items() if f < 64)
