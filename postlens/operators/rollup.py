@@ -43,14 +43,20 @@ def with_temp_category(
     return df.withColumn(out, temp_category(F.col(col)))
 
 
+def value_counts(df: DataFrame, keys: list[str], col: str, out: str = "n") -> DataFrame:
+    """Counts of each value of ``col`` per group as rows: any number of values, one shuffle."""
+    C.require_columns(df, *keys, col)
+    return df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias(out))
+
+
 def value_counts_map(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
     """Counts of each value of ``col`` per group as a map, largest first.
 
     Counted per (group, value) first, so a hot group is spread over its values and only
-    the finished counts of a group meet. A map is one cell: for a column with very many
-    values keep the counts as rows instead.
+    the finished counts of a group meet. A map is one cell: a column with very many values
+    belongs in ``value_counts``.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("_n"))
+    counts = value_counts(df, keys, col, "_n")
     entry = F.struct((-F.col("_n")).alias("order"), F.col(col).alias("value"))
     entries = F.array_sort(F.collect_list(entry))
     as_map = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["value"], -e["order"])))

@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from postlens import columns as C
 from postlens.functions import text as T
 from postlens.functions.lemma import best_candidate, has_noun_suffix, lemma_candidates
-from postlens.functions.token_table import TokenTable, annotate_tokens, word_frame
+from postlens.functions.token_table import (
+    ROW_ID,
+    TokenTable,
+    annotate_tokens,
+    with_row_id,
+    word_frame,
+)
+from postlens.sources.staging import stage
 
 Exceptions = DataFrame | Mapping[str, str] | None
 Lexicon = DataFrame | Iterable[str] | None
@@ -56,8 +63,8 @@ def lemmatize(
 ) -> DataFrame:
     """Noun lemma of every token. Without a known form a token stays unchanged.
 
-    Both tables within the constant bound: a projection. Otherwise the lemmas of the
-    distinct tokens are worked out first and joined back.
+    Both tables within the constant bound: a projection. Otherwise the rows are numbered and
+    written with their tokens, and the lemmas of the distinct tokens worked out and joined back.
     """
     C.require_columns(df, tokens_col)
     lexicon = _lexicon_frame(df, lexicon)
@@ -80,7 +87,10 @@ def lemmatize(
 
         return df.withColumn(out, F.transform(F.col(tokens_col), lemma))
 
-    vocabulary = df.select(
+    rows = with_row_id(df)
+    if ROW_ID in df.columns:
+        rows = stage(df, "tokenised")
+    vocabulary = rows.select(
         F.explode(F.array_distinct(F.filter(F.col(tokens_col), has_noun_suffix))).alias("word")
     ).distinct()
     by_rule = (
@@ -93,10 +103,11 @@ def lemmatize(
     )
     changed = resolved.unionByName(by_rule).where(F.col("word") != F.col("lemma"))
     annotated = annotate_tokens(
-        df, F.col(tokens_col), TokenTable.joined(changed, unique=True), "_hits", keep_misses=True
+        rows, F.col(tokens_col), TokenTable.joined(changed, unique=True), "_hits", keep_misses=True
     )
     lemmas = F.transform("_hits", lambda h: F.coalesce(h["value"], h["token"]))
-    return annotated.withColumn(out, F.when(F.col(tokens_col).isNotNull(), lemmas)).drop("_hits")
+    done = annotated.withColumn(out, F.when(F.col(tokens_col).isNotNull(), lemmas)).drop("_hits")
+    return done if ROW_ID in df.columns else done.drop(ROW_ID)
 
 
 def prepare_text(

@@ -39,23 +39,26 @@ class Lookups:
     stop_words: Iterable[str] = field(default=ENGLISH_STOP_WORDS)
 
 
-def enrich_posts(posts: DataFrame, lookups: Lookups) -> DataFrame:
+def enrich_posts(posts: DataFrame, lookups: Lookups, max_rows: int | None = None) -> DataFrame:
     """Every step that looks at one post at a time: text, glossary, keywords, place, region.
 
     With lookup tables within the constant bound this is one projection over the scan, for
-    batch and streaming tables alike.
+    batch and streaming tables alike. Larger tables are joined, in batch tables; ``max_rows``
+    lowers the bound. Number the posts first then (``with_row_id``), else each such step does.
     """
+    bounds = {} if max_rows is None else {"max_rows": max_rows}
+    keys = {} if max_rows is None else {"max_keys": max_rows}
     df = text_prep.prepare_text(
-        posts, C.TEXT, lookups.stop_words, lookups.noun_exceptions, lookups.nouns
+        posts, C.TEXT, lookups.stop_words, lookups.noun_exceptions, lookups.nouns, max_rows=max_rows
     )
     if lookups.glossary is not None and lookups.lexicon is not None:
         df = glossary.map_glossary(
-            df, C.LEMMATIZED_TEXT, lookups.glossary, lookups.lexicon
+            df, C.LEMMATIZED_TEXT, lookups.glossary, lookups.lexicon, **bounds
         )
-    df = keywords.map_conditions(df, C.CLEANED_TEXT, lookups.mapping)
+    df = keywords.map_conditions(df, C.CLEANED_TEXT, lookups.mapping, **keys)
     df = places.final_location(
-        df, C.LEMMATIZED_TEXT, lookups.gazetteer, lookups.places, lookups.place_predictor,
-    )
+        df, C.LEMMATIZED_TEXT, lookups.gazetteer, lookups.places, lookups.place_predictor, **bounds
+    )
     return places.with_region(df)
 
 

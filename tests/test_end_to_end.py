@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from postlens.operators import classify, keywords
 from postlens.plans.analyze import Lookups, analyze_posts, enrich_posts, run_analysis
 from postlens.sources import readers, staging, writers
-from postlens.streaming.enrich import read_post_stream, start_enrichment
+from postlens.plans.topic_chain import fill_by_topics
+from postlens.streaming.enrich import read_post_stream, start_batch_enrichment, start_enrichment
 
 POSTS = [
     ("Huge storm over Paris, nobody can sleep", "ann", "1"),
@@ -150,6 +151,74 @@ def test_stream_gives_what_the_batch_gives(spark, posts_csv, lookups, tmp_path):
         assert column(done, name, "post_id") == column(batch, name, "post_id")
 
 
+def test_stream_over_joined_tables_gives_what_the_batch_gives(spark, posts_csv, lookups, tmp_path):
+    posts = readers.read_posts(spark, posts_csv)
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    posts.repartition(3).write.parquet(folder)
+    for state in ("one", "two"):  # a lost state folder: the same batches are written over
+        stream = read_post_stream(spark, folder, posts.schema, files_per_batch=1)
+        start_batch_enrichment(
+            stream, lookups, out, str(tmp_path / state), classifier=RULE, once=True, max_rows=0
+        ).awaitTermination()
+        done = spark.read.parquet(out)
+        assert done.count() == 7 and done.select("batch_id").distinct().count() == 3
+    batch = enrich_posts(posts, lookups)
+    for name in ("lemmatized_text", "Glossary_Map", "weather_topics", "final_location", "region"):
+        assert column(done, name, "post_id") == column(batch, name, "post_id")
+
+
+def test_last_row_wins_by_file_name(spark, tmp_path):
+    for name, size in (("b", 1), ("a", 500), ("c", 40)):
+        filler = "".join(f"w{name}{i},x,y,1\n" for i in range(size))
+        (tmp_path / f"{name}.csv").write_text(f"word,EU,USA,need_location\n{filler}same,{name},{name},0\n")
+    rows = readers.read_mapping(spark, str(tmp_path))
+    same = rows.where("word = 'same'").orderBy("row_no").collect()
+    assert [r["EU"] for r in same] == ["a", "b", "c"]
+    assert rows.count() == rows.select("row_no").distinct().count()
+    folder = tmp_path / "json"
+    folder.mkdir()
+    for name, size in (("2", 300), ("1", 2), ("3", 0)):
+        entries = [{"term": f"T{i}", "definition": f"{name} {i}"} for i in range(size)]
+        (folder / f"{name}.json").write_text(json.dumps({"glossary": entries}))
+    got = column(readers.read_glossary(spark, str(folder)), "definition", "term")
+    assert got["t0"] == "2 0" and len(got) == 300
+
+
+def test_posts_without_line_breaks_can_be_split(spark, tmp_path):
+    path = tmp_path / "posts.csv"
+    path.write_text("text,account\n" + "".join(f"post {i},a\n" for i in range(30_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        whole, split = (readers.read_posts(spark, str(path), multi_line=m) for m in (True, False))
+        assert whole.rdd.getNumPartitions() == 1 and split.rdd.getNumPartitions() > 2
+        assert split.count() == whole.count() == 30_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_topic_chain_fills_untagged_posts(spark):
+    rows = [(i, "snow ice frost cold" if i % 2 else "sun beach sand sea", "storm" if i % 5 == 0 else None) for i in range(40)]
+    rows += [(90, None, None), (91, "", None)]
+    df = spark.createDataFrame(rows, "id int, lemmatized_text string, weather_topics string")
+    df = df.withColumns({"cleaned_text": F.col("lemmatized_text"), "weather_temp": F.lit("windy")})
+    done, words = fill_by_topics(df, "id", k=2, learn_prior=False)
+    ranked = {(r["topic"], r["rank"]): r["word"] for r in words.collect()}
+    assert len(ranked) == 6
+    for r in done.collect():
+        tagged = rows[r["id"]][2] if r["id"] < 90 else None
+        if tagged:
+            assert (r["weather_topics"], r["final_weather_words"]) == ("storm", "windy")
+        elif r["id"] < 90:
+            topic = int(r["labels"].split()[1])
+            assert r["final_weather_words"] == ", ".join(ranked[topic, i] for i in range(3))
+            own = r["weather_topics"].split(", ")
+            assert len(own) == 2 and set(own) <= set(r["lemmatized_text"].split())
+        else:
+            assert (r["labels"], r["weather_topics"], r["final_weather_words"]) == (None, None, None)
+    none, words = fill_by_topics(df.where("id >= 90"), "id")
+    assert none.where("labels is not null").count() == 0 and words.count() == 0
+
+
 def test_a_large_lookup_cannot_be_streamed_silently(spark, tmp_path):
     schema = "text string, account string"
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "in"))

@@ -9,6 +9,9 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 
+# Long fits without SQL; what they do is tested in test_models and test_end_to_end.
+LONG = {"topic_words_learned_prior", "topic_chain", "analyze_posts_trained"}
+
 
 @pytest.fixture(scope="module")
 def con(data_dir):
@@ -27,7 +30,7 @@ def test_registration():
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - {"topic_words_learned_prior"}))
+@pytest.mark.parametrize("name", sorted(set(queries()) - LONG))
 def test_query(spark, data_dir, con, name):
     df = queries()[name](spark, data_dir)
     rows = df.collect()
