@@ -16,27 +16,28 @@ from postlens.sources.staging import stage
 SYMBOLS = b"#*$%&|<>"
 #: Blanks, and all bytes of a UTF-8 character but its first.
 NOT_COUNTED = b" \t\n\x0b\x0c\r" + bytes(range(0x80, 0xC0))
+KEPT = ("doc_id", "lang", "source", "text_hash")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WINDOW = 3
 
-#: Relative error of a sketched quantile is half of this; bins far narrower than a spread.
-GROWTH = 1.005
-#: Groups with fewer documents take the sketch of their language, then of all.
-MIN_GROUP = 100
-#: A fence lies this many spreads (from the median to the outer quantile) beyond the outer quantile.
-SPREADS = 4.0
+#: A group's sketch is joined by its parent's, in the weight of this many documents: a small
+#: group follows its language, a small language all documents, without a step in between.
+PARENT_WEIGHT = 200
 LOW_QUANTILE, MIDDLE_QUANTILE = 0.25, 0.5
-#: name: (high quantile, least spread, whether there is a lower fence). Ratios are 0 for most documents,
-#: so their quantile is farther out. The least spread keeps a group of equal values from
-#: failing every other value; where a group spreads more, its own sketch decides.
+#: name: (bin width, outer quantile, spreads to the upper fence, spreads to the lower one or 0,
+#: part of the language's spread that a group has at least). A spread is the ratio of the outer
+#: quantile to the median; fences are that many such ratios from the median. Bins are far
+#: narrower than a spread. No cutoff on a value is fixed.
 MEASURES = {
-    "mean_word": (0.75, 0.1, True),
-    "symbol_ratio": (0.9, 0.02, False),
-    "dup_line_ratio": (0.9, 0.01, False),
-    "repeat_ratio": (0.9, 0.02, False),
+    "mean_word": (1.005, 0.75, 8.0, 8.0, 0.5),
+    "symbol_ratio": (1.02, 0.75, 6.0, 0.0, 0.0),
+    "dup_line_ratio": (1.02, 0.75, 6.0, 0.0, 0.0),
+    "repeat_ratio": (1.02, 0.9, 2.0, 0.0, 0.0),
 }
+#: A text without any of these cannot have too many of them.
+COUNT_OF = {"symbol_ratio": "n_symbols", "dup_line_ratio": "n_dup_lines", "repeat_ratio": "n_repeat_words"}
 
 
 def text_counts(text: bytes) -> tuple[int, ...]:
@@ -74,38 +75,43 @@ def _counted(batches) -> Iterator[pa.RecordBatch]:
     for rows in slices(batches):
         found = [text_counts(t) for t in byte_texts(rows.column("text"))]
         columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
-        kept = [rows.column(n) for n in ("doc_id", "lang", "source")]
-        yield pa.RecordBatch.from_arrays(kept + columns, ["doc_id", "lang", "source", *COUNTS])
+        kept = [rows.column(n) for n in KEPT]
+        yield pa.RecordBatch.from_arrays(kept + columns, [*KEPT, *COUNTS])
 
 
 def measures() -> dict[str, Column]:
+    """The measures of a text with words. Rates of rare things are those of a text with half a
+    thing more: most texts have none, and a long one without any tells more than a short one."""
     words = F.col("n_words")
+    rate = lambda count: (F.col(count) + 0.5) / (words + 1)
     return {
         "mean_word": F.col("word_chars") / words,
-        "symbol_ratio": F.col("n_symbols") / words,
-        "dup_line_ratio": F.col("n_dup_lines") / words,
-        "repeat_ratio": F.col("n_repeat_words") / words,
+        "symbol_ratio": rate("n_symbols"),
+        "dup_line_ratio": rate("n_dup_lines"),
+        "repeat_ratio": rate("n_repeat_words"),
     }
 
 
-def bin_of(value: Column) -> Column:
-    """Bin of a log-spaced histogram; bin 0 holds what is below a thousandth."""
-    at = F.floor(F.log(value * 1000.0) / math.log(GROWTH)).cast("int") + 1
-    return F.when(value < 0.001, 0).otherwise(at)
-
-
-def value_of(bin_: Column) -> Column:
-    return F.when(bin_ == 0, 0.0).otherwise(F.pow(F.lit(GROWTH), bin_ - 0.5) / 1000.0)
+def bin_of(value: Column, growth: float) -> Column:
+    """Bin of a log-spaced histogram."""
+    return F.floor(F.log(value) / math.log(growth)).cast("int")
 
 
 def sketches(measured: DataFrame) -> DataFrame:
     """Mergeable quantile sketches: counts by (language, source, measure, bin).
 
-    Sketches of groups merge by adding counts. Each task adds up its own rows first, so a
-    source with a third of all rows arrives as a few hundred counts.
+    Sketches of groups merge by adding counts. Copies of a text count once in a group, else one
+    that is half of a source would be its norm. Each task drops its own copies and adds up
+    its own counts first, so a text or a source with a third of all rows arrives as few rows.
     """
+    measured = measured.dropDuplicates(["lang", "source", "text_hash"])
     named = F.explode(
-        F.array(*[F.struct(F.lit(n).alias("name"), bin_of(F.col(n)).alias("bin")) for n in MEASURES])
+        F.array(
+            *[
+                F.struct(F.lit(n).alias("name"), bin_of(F.col(n), own[0]).alias("bin"))
+                for n, own in MEASURES.items()
+            ]
+        )
     )
     rows = measured.where("n_words > 0").select("lang", "source", named.alias("m"))
     return rows.groupBy("lang", "source", "m.name", "m.bin").agg(F.count("*").alias("n"))
@@ -117,48 +123,60 @@ def _by_measure(at: int) -> Column:
     return F.create_map(*pairs)[F.col("name")]
 
 
+def _merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """The sketches of groups as one for each of the keys."""
+    return sketch.groupBy(*keys, "name", "bin").agg(F.sum("n").alias("n"))
+
+
+def _joined_by(own: DataFrame, parent: DataFrame, keys: list[str], parent_keys: list[str]) -> DataFrame:
+    """``own`` with the shares of the parent's bins added in the weight of ``PARENT_WEIGHT``."""
+    total = parent.groupBy(*parent_keys, "name").agg(F.sum("n").alias("total"))
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in (*parent_keys, "name")]
+    shares = parent.alias("p").join(total.alias("t"), same("p", "t")).select(
+        *[f"p.{k}" for k in parent_keys], "p.name", "p.bin",
+        (F.lit(PARENT_WEIGHT) * F.col("p.n") / F.col("t.total")).alias("n"),
+    )
+    groups = own.select(*keys, "name").distinct().alias("g")
+    lent = groups.join(shares.alias("s"), same("g", "s")).select(
+        *[f"g.{k}" for k in keys], "g.name", "s.bin", "s.n"
+    )
+    return _merged(own.withColumn("n", F.col("n").cast("double")).unionByName(lent), keys)
+
+
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """``q_low``, ``q_mid``, ``q_high`` and ``n_group`` for each of the keys and each measure."""
+    """``q_low``, ``q_mid``, ``q_high`` for each of the keys and each measure: middles of bins."""
     keys = [*keys, "name"]
-    merged = sketch.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
     over = Window.partitionBy(*keys)
-    run = merged.withColumns(
+    run = sketch.withColumns(
         {"below": F.sum("n").over(over.orderBy("bin")), "total": F.sum("n").over(over)}
     )
-    at = {"q_low": LOW_QUANTILE, "q_mid": MIDDLE_QUANTILE, "q_high": _by_measure(0)}
-    return run.groupBy(*keys).agg(
-        F.max("total").alias("n_group"),
-        *[
-            value_of(F.min(F.when(F.col("below") >= q * F.col("total"), F.col("bin")))).alias(name)
-            for name, q in at.items()
-        ],
-    )
+    at = {"q_low": LOW_QUANTILE, "q_mid": MIDDLE_QUANTILE, "q_high": _by_measure(1)}
+    value = lambda bin_: F.pow(_by_measure(0), bin_ + 0.5)
+    bins = [F.min(F.when(F.col("below") >= q * F.col("total"), F.col("bin"))).alias(n) for n, q in at.items()]
+    return run.groupBy(*keys).agg(*bins).select(*keys, *[value(F.col(n)).alias(n) for n in at])
 
 
 def fences(sketch: DataFrame) -> DataFrame:
     """``upper`` and ``lower`` for each (language, source, measure), a row for each group.
 
-    A small group borrows the merged sketch of its language, or of everything. No value is
-    fixed: a fence follows the quantiles of the sketch that its group takes.
+    Each group's sketch is joined by the one of its language, which is joined by the one of all
+    documents. Every fence follows the quantiles of such a sketch.
     """
-    own = quantiles(sketch, ["lang", "source"])
-    lang = quantiles(sketch, ["lang"])
-    every = quantiles(sketch, [])
-    names = ["n_group", "q_low", "q_mid", "q_high"]
-    a, b, c = own.alias("a"), lang.alias("b"), every.alias("c")
-    both = a.join(b, F.expr("a.lang <=> b.lang and a.name = b.name")).join(c, F.expr("a.name = c.name"))
-    pick = {
-        n: F.when(F.col("a.n_group") >= MIN_GROUP, F.col(f"a.{n}"))
-        .when(F.col("b.n_group") >= MIN_GROUP, F.col(f"b.{n}"))
-        .otherwise(F.col(f"c.{n}"))
-        for n in names
-    }
-    picked = both.select("a.lang", "a.source", "a.name", *[v.alias(n) for n, v in pick.items()])
-    spread = lambda a, b: SPREADS * F.greatest(F.col(a) - F.col(b), _by_measure(1))
-    upper = F.col("q_high") + spread("q_high", "q_mid")
-    lower = F.col("q_low") - spread("q_mid", "q_low")
-    return picked.select(
-        "lang", "source", "name", upper.alias("upper"), F.when(_by_measure(2), lower).alias("lower")
+    lang = _joined_by(_merged(sketch, ["lang"]), _merged(sketch, []), ["lang"], [])
+    own = _joined_by(sketch, lang, ["lang", "source"], ["lang"])
+    up, down = F.col("q_high") / F.col("q_mid"), F.col("q_low") / F.col("q_mid")
+    wider = quantiles(lang, ["lang"]).select(
+        F.col("lang").alias("_lang"), F.col("name").alias("_name"),
+        F.pow(up, _by_measure(4)).alias("least_up"), F.pow(down, _by_measure(4)).alias("least_down"),
+    )
+    same = F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("name") == F.col("_name"))
+    found = quantiles(own, ["lang", "source"]).join(wider, same)
+    # fences are edges of bins, so that what shares a bin with the median is within them
+    half = F.sqrt(_by_measure(0))
+    upper = F.col("q_mid") * F.pow(F.greatest(up, "least_up"), _by_measure(2)) * half
+    lower = F.col("q_mid") * F.pow(F.least(down, "least_down"), _by_measure(3)) / half
+    return found.select(
+        "lang", "source", "name", upper.alias("upper"), F.when(_by_measure(3) > 0, lower).alias("lower")
     )
 
 
@@ -168,24 +186,27 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     Takes ``doc_id``, ``text``, ``lang`` and ``source``; other columns are ignored. Returns
     ``doc_id``, ``COUNTS``, ``base_failed``, ``failed`` (measures beyond a fence of the language
     and source, comma-joined) and ``kept``. A null text has no words and fails the fixed
-    rules; null languages and sources are groups like any other; repeated rows count as
-    often as they come. Texts are read once: the counts are a written table.
+    rules; null languages and sources are groups like any other; repeated rows are all judged,
+    but count once in the sketch of their group. Texts are read once: the counts are a written table.
     """
-    counted = docs.select("doc_id", "text", "lang", "source").mapInArrow(
+    rows = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("text_hash"))
+    counted = rows.mapInArrow(
         _counted,
         f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, source string, "
-        + ", ".join(f"{n} long" for n in COUNTS),
+        "text_hash long, " + ", ".join(f"{n} long" for n in COUNTS),
     )
     counted = stage(counted, "counts")
     valid = {n: F.when(F.col("n_words") > 0, m) for n, m in measures().items()}
     measured = counted.withColumns(valid)
-    wide = fences(sketches(measured)).groupBy("lang", "source").agg(
+    sketch = stage(sketches(measured), "sketches")
+    wide = fences(sketch).groupBy("lang", "source").agg(
         *[F.max(F.when(F.col("name") == n, F.col(v))).alias(f"{n}_{v}") for n in MEASURES for v in ("upper", "lower")]
     )
     wide = wide.withColumnsRenamed({"lang": "own_lang", "source": "own_source"})
     same = F.expr("lang <=> own_lang and source <=> own_source")
+    has = {n: F.col(COUNT_OF[n]) > 0 if n in COUNT_OF else F.lit(True) for n in MEASURES}
     beyond = [
-        F.when((F.col(n) > F.col(f"{n}_upper")) | (F.col(n) < F.col(f"{n}_lower")), F.lit(n))
+        F.when(has[n] & ((F.col(n) > F.col(f"{n}_upper")) | (F.col(n) < F.col(f"{n}_lower"))), F.lit(n))
         for n in MEASURES
     ]
     base_failed = (F.col("n_words") < MIN_WORDS) | (

@@ -191,12 +191,66 @@ def test_quality_fences_follow_their_group(spark):
     marked = " ".join(f"word{i}#" if i < 6 else f"word{i}" for i in range(60))
     rows = [(i, marked if i % 2 or i == 0 else plain, "en", ("code", "prose")[i >= 240 or i == 0]) for i in range(480)]
     rows = [(i, plain if i >= 240 else t, g, s) for i, t, g, s in rows]
+    # copies count once: a last word of equal length makes the texts differ
+    rows = [(i, f"{t} w{i:04}", g, s) for i, t, g, s in rows]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r["doc_id"]: (r["kept"], r["failed"]) for r in quality_rules.quality_rules(docs).collect()}
     assert got[0] == (False, "symbol_ratio") and got[1] == (True, "")
     assert all(got[i] == (True, "") for i in range(1, 480))
 
 
+def test_copies_are_not_the_norm_of_their_source(spark):
+    """Half of a source are copies of one text; the other half is judged by its own spread."""
+    rng = np.random.default_rng(4)
+    words = ["a", "word", "longer", "sentence", "of", "things", "here"]
+    texts = [" ".join(rng.choice(words, 200)) for _ in range(300)] + [" ".join(["copied"] * 3 + words * 20)] * 300
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality_rules.quality_rules(docs).collect()
+    assert all("mean_word" not in r["failed"] for r in got if r["doc_id"] < 300)
+
+
+def test_fences_against_exact_quantiles(spark):
+    """Sketched fences of two groups and their parents, against weighted quantiles of all values."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(400):
+        group = "big" if i < 360 else "small"
+        size = int(rng.integers(60, 400))
+        marks = int(rng.integers(0, 4)) if group == "small" else 0
+        text = " ".join(["#" * marks + f"u{i}"] + ["word" if rng.random() < 0.5 else "longword" for _ in range(size)])
+        rows.append((i, text, "en", group))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    counted = docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        quality_rules._counted,
+        "doc_id long, lang string, source string, text_hash long, "
+        + ", ".join(f"{n} long" for n in quality_rules.COUNTS),
+    )
+    measured = counted.withColumns(quality_rules.measures())
+    got = {(r["source"], r["name"]): r for r in quality_rules.fences(quality_rules.sketches(measured)).collect()}
+    table = measured.toPandas()
+    for name, (growth, outer, up, down, least) in quality_rules.MEASURES.items():
+        def quantile(values, weights, q):
+            order = np.argsort(values)
+            below = np.cumsum(weights[order])
+            return values[order][np.searchsorted(below, q * below[-1] - 1e-9)]
+
+        every = table[name].to_numpy()
+        whole = np.full(len(every), 1 + quality_rules.PARENT_WEIGHT / len(every))
+        spread = [quantile(every, whole, q) / quantile(every, whole, 0.5) for q in (outer, 0.25)]
+        for source in ("big", "small"):
+            own = (table["source"] == source).to_numpy()
+            weights = own + quality_rules.PARENT_WEIGHT / len(every)
+            low, mid, high = (quantile(every, weights, q) for q in (0.25, 0.5, outer))
+            want = mid * max(high / mid, spread[0] ** least) ** up
+            # each of the quantiles is within half a bin, the spread counts so many times
+            assert abs(np.log(got[source, name]["upper"] / want)) < np.log(growth) * (up + 2), (source, name)
+            if down:
+                want = mid * min(low / mid, spread[1] ** least) ** down
+                assert abs(np.log(got[source, name]["lower"] / want)) < np.log(growth) * (down + 2)
+    assert len({round(got[s, "symbol_ratio"]["upper"], 4) for s in ("big", "small")}) == 2
+
+
 def test_sharding(awkward):
     tree = sharding.hash_tree(40)
     rows = sharding.shard_rows(awkward, tree, sharding.with_new_region(tree, 40), rows_per_group=2)
