@@ -20,6 +20,8 @@ SIZES, BITS = (1, 2, 3), 15
 #: FTRL: learning rate, its smoothing, and the elastic net's two penalties.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.1, 2
 UNKNOWN = "und"
+#: Temperatures are sought from this to its inverse, far beyond any that fits.
+LEAST_TEMPERATURE = 1e-4
 
 
 @lru_cache(maxsize=1)
@@ -117,16 +119,42 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], model: Model) -> Mo
 
 
 def calibrated(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
-    """The model at the temperature at which rows that it has not seen are likeliest."""
-    if not rows:
-        return model
-
-    def loss(temperature: float) -> float:
-        at = Model(model.languages, model.weights, model.bias, model.idf, temperature)
-        return -sum(np.log(max(1e-12, at.chances(a, c)[y])) for a, c, y in rows)
+    """The model at the temperature at which rows that it has not seen are likeliest.
 
-    best = min(np.geomspace(0.05, 4.0, 23), key=loss)
-    return Model(model.languages, model.weights, model.bias, model.idf, float(best))
+    Of n rows each counts as right to (n + 1) parts and as any other language to 1 part in all, as
+    if one row more had been wrong: without it rows that are all told right would ask for
+    a temperature of zero. The loss has one minimum in the logarithm of the temperature, which a
+    golden section search closes in on from far outside.
+    """
+    if not rows or len(model.languages) < 2:
+        return model
+    logits = np.stack([model.values(a, c) @ model.weights[a] + model.bias for a, c, _ in rows])
+    right = np.array([y for *_, y in rows])
+    others = 1 / (len(rows) + 2) / (len(model.languages) - 1)
+    target = np.full(logits.shape, others)
+    target[np.arange(len(rows)), right] = 1 - 1 / (len(rows) + 2)
+
+    def loss(log_temperature: float) -> float:
+        scaled = logits / np.exp(log_temperature)
+        top = scaled.max(axis=1, keepdims=True)
+        logs = scaled - top - np.log(np.exp(scaled - top).sum(axis=1, keepdims=True))
+        return -(target * logs).sum()
+
+    low, high = np.log(LEAST_TEMPERATURE), np.log(1 / LEAST_TEMPERATURE)
+    golden = (np.sqrt(5) - 1) / 2
+    left, right_end = high - golden * (high - low), low + golden * (high - low)
+    at_left, at_right = loss(left), loss(right_end)
+    while high - low > 1e-4:
+        if at_left <= at_right:
+            high, right_end, at_right = right_end, left, at_left
+            left = high - golden * (high - low)
+            at_left = loss(left)
+        else:
+            low, left, at_left = left, right_end, at_right
+            right_end = low + golden * (high - low)
+            at_right = loss(right_end)
+    best = float(np.exp((low + high) / 2))
+    return Model(model.languages, model.weights, model.bias, model.idf, best)
 
 
 def _frequencies(batches) -> Iterator[pa.RecordBatch]:

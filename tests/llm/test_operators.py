@@ -27,6 +27,7 @@ from postlens.llm import (
     secret_scan,
     sharding,
 )
+from postlens.llm.common import held_out
 from postlens.llm.queries import QUERIES
 from postlens.llm.queries_sql import SQL
 from postlens.llm.signature_tree import bitmap, candidate_pairs
@@ -438,3 +439,80 @@ def test_pipeline(spark, data_dir):
     texts = {r["doc_id"]: r["text"] for r in mixed.collect()}
     for r in tokens:
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_temperature_lies_inside_and_fits(spark, data_dir):
+    folder = data_dir.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = language_id.train(docs)
+    assert 100 * language_id.LEAST_TEMPERATURE < model.temperature < 0.01 / language_id.LEAST_TEMPERATURE
+    lang = docs.select("doc_id", "lang")
+    found = language_id.identify(docs, model).join(lang, "doc_id").where(held_out(F.col("doc_id")))
+    found = [(r["score"], r["lang_pred"] == r["lang"]) for r in found.collect() if r["lang_pred"] != "und"]
+    right = np.mean([ok for _, ok in found])
+    assert right > 0.97 and abs(np.mean([s for s, _ in found]) - right) < 0.02
+
+
+def test_temperature_follows_the_errors_of_the_fold():
+    """Logits that overstate by a known factor are brought back to their chances."""
+    rng = np.random.default_rng(3)
+    logits = rng.normal(size=(4000, 3))
+    chances = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    labels = [int(rng.choice(3, p=p)) for p in chances]
+    for factor in (0.2, 1.0, 30.0):
+        class Given(language_id.Model):
+            """A model whose values are the logits themselves; ``at`` is the row."""
+
+            def values(self, at, counts):
+                return np.array([1.0])
+
+        weights = logits * factor
+        model = Given(("a", "b", "c"), weights, np.zeros(3), np.ones(3))
+        rows = [(np.array([i]), np.array([1]), y) for i, y in enumerate(labels)]
+        fitted = language_id.calibrated(model, rows).temperature
+        assert abs(fitted / factor - 1) < 0.1, factor
+
+
+def test_ftrl_equals_coordinate_by_coordinate(monkeypatch):
+    monkeypatch.setattr(language_id, "BITS", 3)
+    monkeypatch.setattr(language_id, "L1", 0.3)
+    rng = np.random.default_rng(1)
+    rows = []
+    for _ in range(25):
+        at = np.flatnonzero(rng.random(8) < 0.5)
+        if len(at):
+            rows.append((at, rng.integers(1, 5, len(at)), int(rng.integers(0, 2))))
+    empty = language_id.Model(("a", "b"), np.zeros((8, 2)), np.zeros(2), 1 + rng.random(8))
+    got = language_id.fit_ftrl(rows, empty)
+    z = [[0.0] * 2 for _ in range(8)]
+    n = [[0.0] * 2 for _ in range(8)]
+    bias = [0.0, 0.0]
+
+    def weight(i, c):
+        if abs(z[i][c]) <= language_id.L1:
+            return 0.0
+        sign = 1.0 if z[i][c] > 0 else -1.0
+        rate = (language_id.BETA + n[i][c] ** 0.5) / language_id.ALPHA + language_id.L2
+        return -(z[i][c] - sign * language_id.L1) / rate
+
+    for epoch in range(language_id.EPOCHS):
+        for row in np.random.default_rng(epoch).permutation(len(rows)):
+            at, counts, y = rows[row]
+            raw = [float(np.log1p(k)) * empty.idf[i] for i, k in zip(at, counts, strict=True)]
+            length = sum(v * v for v in raw) ** 0.5
+            x = [v / length for v in raw]
+            w = [[weight(i, c) for c in range(2)] for i in at]
+            scores = [bias[c] + sum(v * u[c] for v, u in zip(x, w, strict=True)) for c in range(2)]
+            total = sum(np.exp(s) for s in scores)
+            miss = [np.exp(s) / total - (c == y) for c, s in enumerate(scores)]
+            for v, u, i in zip(x, w, at, strict=True):
+                for c in range(2):
+                    g = v * miss[c]
+                    step = ((n[i][c] + g * g) ** 0.5 - n[i][c] ** 0.5) / language_id.ALPHA
+                    z[i][c] += g - step * u[c]
+                    n[i][c] += g * g
+            bias = [b - 0.05 * m for b, m in zip(bias, miss, strict=True)]
+    want = [[weight(i, c) for c in range(2)] for i in range(8)]
+    assert np.abs(got.weights - np.array(want)).max() < 1e-9
+    assert np.abs(got.bias - np.array(bias)).max() < 1e-9
+    assert (got.weights == 0).any()
