@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
-from postlens.llm.secret_scan import ACCESS, ASSIGN, HEX, MIN_ASSIGNED, OPAQUE
+from postlens.llm.secret_scan import (
+    CHARS_PER_JOINT,
+    KINDS,
+    MIN_ASSIGNED,
+    MIN_ENTROPY,
+    MIN_OPAQUE,
+    PATTERNS,
+)
 
-_QUOTED = {n: p.replace("'", "''") for n, p in (("a", ASSIGN), ("b", ACCESS), ("c", HEX), ("d", OPAQUE))}
+# mixed and opaque strings are runs of one pattern
+_QUOTED = [p.replace("'", "''") for p in (*PATTERNS, PATTERNS[-1])]
+_TIMES = "(length(value) - length(replace(value, c, '')))"
+_ENTROPY = f"""log2(length(value)) - list_sum(list_transform(list_distinct(string_split(value, '')),
+      lambda c: {_TIMES} * log2({_TIMES}))) / length(value)"""
+_HAS = lambda c: f"regexp_matches(value, '{c}')"
+_JOINTS = "(length(value) - length(translate(value, '+/_-', '')))"
+_TESTS = {
+    0: f"length(regexp_extract(value, '{_QUOTED[0]}', 2)) >= {MIN_ASSIGNED}",
+    7: f"""length(value) < {MIN_OPAQUE} AND {_JOINTS} = 0 AND {_HAS('[0-9]')} AND {_HAS('[a-z]')} AND {_HAS('[A-Z]')}
+      AND {_ENTROPY} >= {MIN_ENTROPY}""",
+    8: f"""length(value) >= {MIN_OPAQUE} AND {_HAS('[0-9]')} AND {_HAS('[A-Za-z]')}
+      AND {_JOINTS} * {CHARS_PER_JOINT} <= length(value)""",
+}
 
 
-def _spans(kind: int, name: str, test: str) -> str:
+def _spans(kind: int) -> str:
     """Spans of one kind: a match starts after the pieces and the matches before it."""
-    pattern = _QUOTED[name]
+    pattern = _QUOTED[kind]
     return f"""
-    SELECT n, {kind} AS kind, gap + before AS start, gap + before + size AS stop, value FROM (
+    SELECT n, {kind} AS kind, {0 if kind < 3 else 1 if kind < 7 else 2} AS rank,
+           gap + before AS start, gap + before + size AS stop, value FROM (
       SELECT n, value, length(value) AS size,
              sum(length(piece)) OVER (PARTITION BY n ORDER BY nth) AS gap,
              coalesce(sum(length(value)) OVER (
@@ -19,23 +40,20 @@ def _spans(kind: int, name: str, test: str) -> str:
       FROM (SELECT n, unnest(regexp_extract_all(text, '{pattern}')) AS value,
                    unnest(regexp_split_to_array(text, '{pattern}')) AS piece,
                    generate_subscripts(regexp_split_to_array(text, '{pattern}'), 1) AS nth FROM docs))
-    WHERE value IS NOT NULL AND {test}"""
+    WHERE value IS NOT NULL AND {_TESTS.get(kind, "true")}"""
 
 
-_NAMES = "list_value('assign', 'access', 'hex', 'opaque')[kind + 1]"
+_NAMES = f"list_value({', '.join(repr(k) for k in KINDS)})[kind + 1]"
 
 SECRETS = f"""
 WITH docs AS (SELECT row_number() OVER () AS n, doc_id, source, lang, coalesce(text, '') AS text FROM documents),
-base AS (
-  {_spans(0, "a", f"length(regexp_extract(value, '{_QUOTED['a']}', 2)) >= {MIN_ASSIGNED}")}
-  UNION ALL {_spans(1, "b", "true")}
-  UNION ALL {_spans(2, "c", "true")}),
-opaque AS ({_spans(3, "d", "regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')")}),
+found AS ({' UNION ALL '.join(_spans(k) for k in range(len(KINDS)))}),
 every_span AS (
-  SELECT * FROM base UNION ALL SELECT * FROM opaque o WHERE NOT EXISTS (
-    SELECT 1 FROM base b WHERE b.n = o.n AND b.start < o.stop AND o.start < b.stop)),
+  SELECT * FROM found o WHERE rank = 0 OR NOT EXISTS (
+    SELECT 1 FROM found b WHERE b.n = o.n AND b.start < o.stop AND o.start < b.stop
+      AND (b.rank = 0 OR b.rank = 1 AND o.rank = 2))),
 spans AS (
-  SELECT s.*, source, lang, CASE WHEN kind = 0 THEN regexp_extract(value, '{_QUOTED['a']}', 2) ELSE value END AS secret
+  SELECT s.*, source, lang, CASE WHEN kind = 0 THEN regexp_extract(value, '{_QUOTED[0]}', 2) ELSE value END AS secret
   FROM every_span s JOIN docs USING (n)),
 owned AS (
   SELECT secret, count(DISTINCT coalesce(source, chr(0))) AS owners,
