@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import hashlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -12,7 +11,9 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from postlens.llm.common import slices
 
@@ -38,6 +39,7 @@ class Bpe:
             .replace(r"\S", f"[^{WHITE_SPACE}]")
             .replace(r"\s", f"[{WHITE_SPACE}]")
         ).findall
+        self.blank_begins = pattern == PATTERN
         blank = f"[{WHITE_SPACE}]"
         self.edge_blank = regex.compile(f" {blank}|{blank} |{blank}$|^{blank}").search
         self.pieces: dict[str, bytes] = {}
@@ -181,10 +183,11 @@ class Bpe:
 
         No piece reaches over a blank that stands alone: it begins the piece of what follows. So
         stretches between such blanks are looked up whole, and pieces are only found
-        in new ones. A text with a blank beside other white space is taken whole.
+        in new ones. A text with a blank beside other white space is taken whole, and so is
+        every text if the pattern is not the one that this holds for.
         """
         words = text.split(" ")
-        if not all(words) or self.edge_blank(text):
+        if not self.blank_begins or not all(words) or self.edge_blank(text):
             return self._pieces(text)
         known, new = self.words.get, self._word
         out = [self._pieces(words[0])]
@@ -248,25 +251,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
 
 
-def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of ``encode_documents``, digested on
-    the spot so that ids and bytes do not leave the task."""
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        bpe = load(path, pattern)
-        digest = lambda b: hashlib.sha256(b).hexdigest()
-        for rows in slices(batches):
-            ids = [bpe.encode(t or "") for t in rows.column(1).to_pylist()]
-            columns = [
-                rows.column(0),
-                pa.array([len(i) // 4 for i in ids], pa.int64()),
-                pa.array([digest(i) for i in ids]),
-                pa.array([digest(bpe.decode(i)) for i in ids]),
-            ]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+def with_digests(encoded: DataFrame) -> DataFrame:
+    """``doc_id, ids, n_tokens, ids_sha256, decoded_sha256`` of ``encode_documents``."""
+    return encoded.select(
+        "doc_id",
+        "ids",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )

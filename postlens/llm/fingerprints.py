@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,59 +40,59 @@ def fingerprint(df: DataFrame, text: str, name: str, parts: int = PARTS) -> Data
     """
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.transform(F.array_remove(F.split(t, SPACES, -1), ""), lambda w: F.xxhash64(w))
-    df = df.withColumn("_w", words)
-    n = F.size("_w")
+    df = df.withColumn("__print_w", words)
+    n = F.size("__print_w")
     kmers = F.transform(
-        F.slice("_w", 1, F.greatest(n - (K - 1), F.least(n, F.lit(1)))),
+        F.slice("__print_w", 1, F.greatest(n - (K - 1), F.least(n, F.lit(1)))),
         lambda w, i: _packed(
-            F.xxhash64(w, *[F.get("_w", i + d) for d in range(1, K)]), i.cast("long")
+            F.xxhash64(w, *[F.get("__print_w", i + d) for d in range(1, K)]), i.cast("long")
         ),
     )
     whole = F.array(_packed(F.xxhash64(t), F.lit(0).cast("long")))
     # sorted, equal k-mers stand together in text order
-    df = df.withColumn("_s", F.sort_array(F.when(n > 0, kmers).otherwise(whole))).drop("_w")
-    n = F.size("_s")
+    df = df.withColumn("__print_s", F.sort_array(F.when(n > 0, kmers).otherwise(whole))).drop("__print_w")
+    n = F.size("__print_s")
     heads = F.filter(
         F.sequence(F.lit(0), n - 1),
-        lambda i: (i == 0) | (_code(F.get("_s", i)) != _code(F.get("_s", i - 1))),
+        lambda i: (i == 0) | (_code(F.get("__print_s", i)) != _code(F.get("__print_s", i - 1))),
     )
-    df = df.withColumn("_h", heads)
+    df = df.withColumn("__print_h", heads)
 
     def numbered(x: Column, occurrence: Column) -> Column:
         return _packed(F.xxhash64(_code(x), occurrence), x)
 
-    once = F.transform("_s", lambda x: numbered(x, F.lit(0)))
+    once = F.transform("__print_s", lambda x: numbered(x, F.lit(0)))
     runs = F.transform(
-        "_h",
+        "__print_h",
         lambda h, r: F.transform(
-            F.sequence(h, F.coalesce(F.get("_h", r + 1), n) - 1),
-            lambda at: numbered(F.get("_s", at), at - h),
+            F.sequence(h, F.coalesce(F.get("__print_h", r + 1), n) - 1),
+            lambda at: numbered(F.get("__print_s", at), at - h),
         ),
     )
     kept = F.lit(float(1 << 63)) * (parts * CHOICE) / n
     below = F.when(n > parts * CHOICE, kept.cast("long")).otherwise(F.lit((1 << 63) - 1))
     df = df.withColumns(
-        {"_a": F.when(F.size("_h") == n, once).otherwise(F.flatten(runs)), "_b": below}
-    ).drop("_s", "_h")
-    df = df.withColumn("_c", F.sort_array(F.filter("_a", lambda c: c <= F.col("_b")))).drop("_b")
+        {"__print_a": F.when(F.size("__print_h") == n, once).otherwise(F.flatten(runs)), "__print_b": below}
+    ).drop("__print_s", "__print_h")
+    df = df.withColumn("__print_c", F.sort_array(F.filter("__print_a", lambda c: c <= F.col("__print_b")))).drop("__print_b")
 
     def of_part(candidates: str, part: Column) -> Column:
         return F.filter(candidates, lambda c: F.shiftright(c, PLACE_BITS) % parts == part)
 
     low = F.transform(
-        F.sequence(F.lit(0), F.lit(parts - 1)), lambda part: F.slice(of_part("_c", part), 1, TUPLE)
+        F.sequence(F.lit(0), F.lit(parts - 1)), lambda part: F.slice(of_part("__print_c", part), 1, TUPLE)
     )
     # what is above the bound comes after all below it, so only a part that found too few looks again
-    bounded = F.size("_c") < F.size("_a")
-    df = df.withColumns({"_l": low, "_n": bounded}).drop("_c")
+    bounded = F.size("__print_c") < F.size("__print_a")
+    df = df.withColumns({"__print_l": low, "__print_n": bounded}).drop("__print_c")
     chosen = F.transform(
-        "_l",
+        "__print_l",
         lambda own, part: F.when(
-            F.col("_n") & (F.size(own) < TUPLE),
-            F.slice(F.sort_array(of_part("_a", part)), 1, TUPLE),
+            F.col("__print_n") & (F.size(own) < TUPLE),
+            F.slice(F.sort_array(of_part("__print_a", part)), 1, TUPLE),
         ).otherwise(own),
     )
-    df = df.withColumn("_l", chosen).drop("_a", "_n")
+    df = df.withColumn("__print_l", chosen).drop("__print_a", "__print_n")
 
     def tuple_hash(own: Column) -> Column:
         lowest = F.transform(
@@ -101,7 +102,7 @@ def fingerprint(df: DataFrame, text: str, name: str, parts: int = PARTS) -> Data
         in_order = F.transform(F.array_sort(lowest), lambda s: s["code"])
         return F.when(F.size(in_order) > 0, F.xxhash64(in_order)).otherwise(F.lit(0).cast("long"))
 
-    return df.withColumn(name, F.transform("_l", tuple_hash)).drop("_l")
+    return df.withColumn(name, F.transform("__print_l", tuple_hash)).drop("__print_l")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -127,38 +128,44 @@ def _block(order: Column, bounds: list[int]) -> Column:
     return coarse * step + F.size(F.filter(fine, lambda b: b <= order))
 
 
-def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:
+def with_next(
+    docs: DataFrame, carry: list[str], prepare: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Each row of ``doc_id, text`` with the ``carry`` columns of the next row as ``next_*``.
 
     Rows follow each other by ``doc_id``, a null one first, and by text where ids repeat; the first
     follows the last. Ids are cut into blocks of neighbours, a few for each shuffle
     partition, whose bounds alone pass the driver. A block is read in order, with the
-    first row of the next block behind its last, so texts are shuffled once.
+    first row of the next block behind its last, so texts are shuffled once. ``prepare`` adds
+    columns to rows before they are dealt, to those that stand behind a block once more. Rows
+    that share an id are in one block. Other columns stay; names that begin with
+    ``__next_`` are the operator's own. An empty table stays empty.
     """
     spark = docs.sparkSession
+    prepare = prepare or (lambda df: df)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     n_blocks = BLOCKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(order.alias("o")).repartitionByRange(n_blocks, "o")
     firsts = ids.select("o", F.spark_partition_id().alias("p")).groupBy("p").agg(F.min("o").alias("o"))
     bounds = sorted({r["o"] for r in firsts.collect()})
     if not bounds:
-        empty = docs.limit(0)
+        empty = prepare(docs.limit(0))
         return empty.withColumns({f"next_{c}": F.col(c) for c in carry})
-    rows = docs.withColumns({"o": order, "ghost": F.lit(False)})
-    rows = rows.withColumn("block", _block(F.col("o"), bounds[1:]))
+    rows = docs.withColumns({"__next_o": order, "__next_ghost": F.lit(False)})
+    rows = rows.withColumn("__next_block", _block(F.col("__next_o"), bounds[1:]))
     # bounds[i] is the first id of block i
     before = {b: (i - 1) % len(bounds) for i, b in enumerate(bounds)}
-    pairs = spark.createDataFrame(list(before.items()), "first long, goes_to int")
-    ghosts = rows.join(F.broadcast(pairs), F.col("o") == F.col("first"))
-    lowest = Window.partitionBy("first").orderBy("text")
-    ghosts = ghosts.withColumn("nth", F.row_number().over(lowest)).where("nth = 1")
-    ghosts = ghosts.withColumns({"block": F.col("goes_to"), "ghost": F.lit(True)})
-    both = rows.unionByName(ghosts.select(*rows.columns))
-    along = Window.partitionBy("block").orderBy("ghost", "o", "text")
+    pairs = spark.createDataFrame(list(before.items()), "__next_first long, __next_to int")
+    ghosts = rows.join(F.broadcast(pairs), F.col("__next_o") == F.col("__next_first"))
+    lowest = Window.partitionBy("__next_first").orderBy("text")
+    ghosts = ghosts.withColumn("__next_nth", F.row_number().over(lowest)).where("__next_nth = 1")
+    ghosts = ghosts.withColumns({"__next_block": F.col("__next_to"), "__next_ghost": F.lit(True)})
+    both = prepare(rows.unionByName(ghosts.select(*[f"`{c}`" for c in rows.columns])))
+    along = Window.partitionBy("__next_block").orderBy("__next_ghost", "__next_o", "text")
     return (
         both.withColumns({f"next_{c}": F.lead(c).over(along) for c in carry})
-        .where(~F.col("ghost"))
-        .drop("o", "ghost", "block")
+        .where(~F.col("__next_ghost"))
+        .drop("__next_o", "__next_ghost", "__next_block")
     )
 
 

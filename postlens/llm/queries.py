@@ -86,7 +86,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     docs = table(spark, sf_dir, "documents")
-    return bpe.token_digests(docs, path, public_tokenizers.PATTERN)
+    return bpe.with_digests(bpe.encode_documents(docs, path, public_tokenizers.PATTERN)).drop("ids")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,8 +148,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit("")).alias("text")
-    docs = fingerprints.fingerprint(docs.select("doc_id", text), "text", "own")
-    docs = fingerprints.with_next(docs, ["text", "own"])
+    docs = fingerprints.with_next(
+        docs.select("doc_id", text), ["text", "own"], lambda df: fingerprints.fingerprint(df, "text", "own")
+    )
     edited = fingerprints.edited_text(F.col("text"), F.col("next_text"))
     docs = docs.withColumn("edited", edited).drop("next_text")
     docs = fingerprints.fingerprint(docs, "edited", "changed")

@@ -581,3 +581,66 @@ def test_ftrl_equals_coordinate_by_coordinate(monkeypatch):
     assert np.abs(got.weights - np.array(want)).max() < 1e-9
     assert np.abs(got.bias - np.array(bias)).max() < 1e-9
     assert (got.weights == 0).any()
+
+
+def test_pipeline_gives_each_row_its_own_verdict(spark, tmp_path):
+    """Repeated and missing ids, copies among them, and a secret in one of two rows of an id."""
+    rng = np.random.default_rng(5)
+    prose = lambda seed: " ".join(np.random.default_rng(seed).choice([f"{'word' * (i % 4)}{i}" for i in range(400)], 120))
+    key = "".join(rng.choice(list("0123456789abcdef"), 40))
+    texts = [
+        (1, prose(1)), (1, prose(2)), (1, "too short"), (None, prose(3)), (None, prose(3) + " more"),
+        (None, prose(4)), (2, prose(1) + " tail"), (3, f"{prose(5)} {key}"), (3, prose(6)), (None, None),
+    ]
+    others = [(100 + i, prose(100 + i)) for i in range(60)]
+    rows = [(i, t, "en", "s", len(t or ""), 7) for i, t in texts + others]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra int"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    good = corpus_pipeline.keep_good(spark, docs, "")
+    own = "doc_id is null or doc_id < 100"
+    assert good.columns == docs.columns and good.where(own).count() == 8
+    one = corpus_pipeline.drop_near_copies(spark, good, "")
+    got = Counter((r["doc_id"], (r["text"] or "")[:30]) for r in one.where(own).collect())
+    assert got == Counter((i, t[:30]) for i, t in [texts[0], texts[1], texts[3], texts[5], texts[7], texts[8]])
+    clean = {(r["doc_id"], r["text"]) for r in corpus_pipeline.redact_secrets(spark, one, "").collect()}
+    assert (3, f"{prose(5)} [secret]") in clean and (3, prose(6)) in clean
+    empty = docs.limit(0)
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        assert function(spark, empty, "").columns == docs.columns
+    tokens = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    public = tiktoken.Encoding(
+        "t", pat_str=public_tokenizers.PATTERN, special_tokens={}, mergeable_ranks=bpe.load(
+            public_tokenizers.path(corpus_pipeline.VOCABULARY), public_tokenizers.PATTERN).ranks,
+    )
+    assert tokens
+    for r in tokens:
+        ids = np.frombuffer(r["ids"], np.uint32).tolist()
+        text = public.decode(ids)
+        assert public.encode_ordinary(text) == ids and r["n_tokens"] == len(ids)
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_tokens_of_another_pattern(spark):
+    """A pattern whose pieces do not begin with the blank before them."""
+    path, pattern = public_tokenizers.path(corpus_pipeline.VOCABULARY), r"\S+|\s+"
+    ranks = bpe.load(path, public_tokenizers.PATTERN).ranks
+    public = tiktoken.Encoding("t", pat_str=pattern, special_tokens={}, mergeable_ranks=ranks)
+    texts = ["hello world again", "", " a  b", "é ß\n\nx", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = bpe.with_digests(bpe.encode_documents(docs, path, pattern)).collect()
+    for r in got:
+        want = public.encode_ordinary(texts[r["doc_id"]] or "")
+        assert np.frombuffer(r["ids"], np.uint32).tolist() == want and r["n_tokens"] == len(want)
+        assert r["ids_sha256"] == hashlib.sha256(np.array(want, np.uint32).tobytes()).hexdigest()
+
+
+def test_fingerprints_keep_the_columns_of_the_caller(spark):
+    names = ["_w", "_a", "_s", "block", "o", "nth", "goes_to", "ghost", "first"]
+    rows = [(i, f"a b c d {i}", *range(len(names))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = fingerprints.with_next(docs, ["text", "own"], lambda df: fingerprints.fingerprint(df, "text", "own"))
+    assert got.columns == [*docs.columns, "own", "next_text", "next_own"]
+    for r in got.collect():
+        assert tuple(r[n] for n in names) == tuple(range(len(names)))
+        assert r["next_own"] == brute_fingerprint(r["next_text"]) and r["next_text"] == f"a b c d {(r['doc_id'] + 1) % 20}"
