@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm.bpe import token_digests
+from postlens.llm.bpe import encode_documents, with_digests
 from postlens.llm.mixing import mix
 from postlens.llm.ngram_join import ngram_jaccard_join
 from postlens.llm.quality_rules import quality_rules
@@ -18,59 +18,72 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 ORACLE_SQL = None
 
 
-def _by_id(docs: DataFrame, decided: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` that have a row in ``decided``; an id that repeats there matches once."""
-    return docs.join(decided, docs["doc_id"].eqNullSafe(decided[key])).drop(decided[key])
+ROW = "__row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, so that every row has its own verdict.
+
+    Each stage reads a written table: the numbers are the same each time it is read.
+    """
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _by_number(docs: DataFrame) -> DataFrame:
+    """The rows with their numbers as ``doc_id``, for an operator that tells rows apart by it."""
+    return docs.withColumn("doc_id", F.col(ROW)).drop(ROW)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; of rows that share an id, all or none."""
-    kept = quality_rules(docs).groupBy(F.col("doc_id").alias("id")).agg(F.every("kept").alias("kept"))
-    return _by_id(docs, kept.where("kept").select("id"), "id").select(*docs.columns)
+    """Documents that the quality rules keep; ids may repeat or be null."""
+    rows = _numbered(docs)
+    kept = quality_rules(_by_number(rows)).where("kept").select(F.col("doc_id").alias(ROW))
+    return rows.join(kept, ROW).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that near copies link: the one with the smallest id.
 
-    Rows without an id stay, of rows that share an id the first by text stays.
+    Of rows with equal ids the first stays, a row without an id only if all are.
     """
-    joined = ngram_jaccard_join(docs.where("doc_id is not null"))
-    kept = joined.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
-    named = _by_id(docs.where("doc_id is not null"), kept, "id").select(*docs.columns)
-    first = Window.partitionBy("doc_id").orderBy("text")
-    named = named.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
-    return named.unionByName(docs.where("doc_id is null"))
+    rows = _numbered(docs)
+    joined = ngram_jaccard_join(_by_number(rows)).select(F.col("doc_id").alias(ROW), "component_id")
+    ids = rows.select(ROW, "doc_id").join(joined, ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW))
+    kept = ids.groupBy("component_id").agg(first.alias("first")).select(F.col("first")[ROW].alias(ROW))
+    return rows.join(kept, ROW).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span that the scan finds, replaced by a mark; documents all stay."""
-    found = secret_scan(docs).withColumn("spans", F.concat("base", "added"))
-    found = found.where(F.size("spans") > 0).groupBy(F.col("id").alias("_id"))
-    # rows that share an id are told apart by which of their spans the text really has
-    found = found.agg(F.flatten(F.collect_set("spans")).alias("_spans"))
-    both = docs.join(found, F.expr("doc_id <=> _id"), "left")
-    none = F.array().cast(both.schema["_spans"].dataType)
-    own = F.filter(
-        F.coalesce("_spans", none),
-        lambda s: F.substr("text", s["start"] + 1, s["end"] - s["start"]) == s["value"],
+    rows = _numbered(docs)
+    found = secret_scan(_by_number(rows)).select(
+        F.col("id").alias(ROW), F.concat("base", "added").alias("__spans")
     )
-    text = redact(F.col("text"), own)
-    n_chars = F.when(F.size(own) > 0, F.length(text)).otherwise(F.col("n_chars")).cast("long")
+    both = rows.join(found.where(F.size("__spans") > 0), ROW, "left")
+    spans = F.coalesce("__spans", F.array().cast(both.schema["__spans"].dataType))
+    text = redact(F.col("text"), spans)
+    n_chars = F.when(F.size(spans) > 0, F.length(text)).otherwise(F.col("n_chars")).cast("long")
     return both.withColumns({"n_chars": n_chars, "text": text}).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mix(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies"))
-    taken = _by_id(docs, copies.where("copies > 0"), "id")
-    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")
-    return taken.select(*docs.columns, each).drop("_copy")
+    """Each document as often as the mix takes it.
+
+    Rows are dealt by a hash of id and text, so that reruns agree however the rows are laid
+    out; rows that agree in both are taken equally often.
+    """
+    rows = docs.withColumn(ROW, F.xxhash64("doc_id", "text"))
+    copies = mix(_by_number(rows)).groupBy(F.col("doc_id").alias(ROW)).agg(F.max("copies").alias("__copies"))
+    taken = rows.join(copies.where(F.col("__copies") > 0), ROW)
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")
+    return taken.select(*docs.columns, each).drop("__copy")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each document."""
+    """Token ids of each document, with their number and digests."""
     path = public_tokenizers.path(VOCABULARY)
-    return token_digests(docs, path, public_tokenizers.PATTERN)
+    return with_digests(encode_documents(docs, path, public_tokenizers.PATTERN))
 
 
 STAGES = [
