@@ -220,6 +220,27 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# What SQL can say of operators whose whole result it cannot.
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_quality_rules(spark, sf_dir).select("doc_id", *quality_rules.COUNTS, "base_failed")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = op8_mixing(spark, sf_dir)
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def whitening_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op11_embedding_whitening(spark, sf_dir).where("component = 1")
+    return rows.select("vec_id", "n", "deviation")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -240,6 +261,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op11_embedding_whitening,
         op12_html_extraction,
         op13_periodic_runs,
+        quality_counts,
+        mixing_targets,
+        fingerprint_edits,
+        whitening_deviation,
         pipeline,
     )
 }
