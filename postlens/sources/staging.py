@@ -33,7 +33,10 @@ def staging_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet into the staging folder and read it back."""
+    """Write ``df`` as parquet into the staging folder and read it back.
+
+    Such tables are written and read once or a few times: they are packed tightly.
+    """
     path = staging_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
