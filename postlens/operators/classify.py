@@ -50,14 +50,36 @@ def classify(
     return df.withColumn(out, F.get(names, best))
 
 
+class RuleClasses:
+    """Class ``i`` scores a point for each of ``keywords[i]`` that a text holds; the first best wins.
+
+    No keyword at all gives the mild class. A column expression: no Python worker.
+    """
+
+    def __init__(self, keywords: Sequence[Sequence[str]]) -> None:
+        self.keywords = keywords
+
+    def best(self, text: Column) -> Column:
+        mild = TEMP_LABELS.index("mild/not relevant")
+        scores = []
+        for i, words in enumerate(self.keywords):
+            score = F.lit(0.5 if i == mild else 0.0)
+            for word in words:
+                score = score + F.contains(text, F.lit(word)).cast("double")
+            scores.append(score)
+        return F.when(text.isNotNull(), argmax(F.array(*scores)))
+
+
 def predict_temperature(
     df: DataFrame,
-    model: PipelineModel | Callable[[], Callable[[np.ndarray], np.ndarray]],
+    model: PipelineModel | RuleClasses | Callable[[], Callable[[np.ndarray], np.ndarray]],
     text_col: str = C.COMBINED_TEXT,
     out: str = C.TEMP_SENTIMENT,
 ) -> DataFrame:
-    """Add the temperature class 0-4, from a trained model or a predictor factory."""
+    """Add the temperature class 0-4, from a trained model, keyword rules or a predictor factory."""
     C.require_columns(df, text_col)
+    if isinstance(model, RuleClasses):
+        return df.withColumn(out, model.best(F.col(text_col)))
     if not isinstance(model, PipelineModel):
         return df.withColumn(out, predicted_class(F.col(text_col), model))
     keep = [F.col(f"`{c}`") for c in df.columns]

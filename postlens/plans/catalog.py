@@ -761,7 +761,7 @@ def analyze_posts_rollup(spark, sf_dir):
     """All steps but the topic fit, with a rule as classifier; the report in long form."""
     result, _ = analyze_posts(
         posts(spark, sf_dir), example_lookups(spark, sf_dir),
-        classify.rule_predictor(TEMP_KEYWORDS), id_col="doc_id", fit=False,
+        classify.RuleClasses(TEMP_KEYWORDS), id_col="doc_id", fit=False,
     )
     return rollup.rollup_long(result)
 
@@ -769,7 +769,7 @@ def analyze_posts_rollup(spark, sf_dir):
 def analyze_posts_result(spark, sf_dir):
     result, _ = analyze_posts(
         posts(spark, sf_dir), example_lookups(spark, sf_dir),
-        classify.rule_predictor(TEMP_KEYWORDS), id_col="doc_id", fit=False,
+        classify.RuleClasses(TEMP_KEYWORDS), id_col="doc_id", fit=False,
     )
     return result.select(
         "doc_id", C.LEMMATIZED_TEXT, C.GLOSSARY_MAP, C.WEATHER_TOPICS, C.FINAL_LOCATION, C.REGION,
@@ -781,7 +781,7 @@ def analyze_posts_full(spark, sf_dir):
     """Everything, topic fit included: the flagship."""
     _, report = analyze_posts(
         posts(spark, sf_dir), example_lookups(spark, sf_dir),
-        classify.rule_predictor(TEMP_KEYWORDS), id_col="doc_id",
+        classify.RuleClasses(TEMP_KEYWORDS), id_col="doc_id",
         result_path=staging_path(spark, "result"),
     )
     return report

@@ -298,6 +298,17 @@ def test_rule_predictor(spark):
     assert got == {1: 0, 2: 2, 3: None}
 
 
+def test_rules_as_a_column_class_like_the_predictor(spark):
+    rng = random.Random(1)
+    words = ["ice", "icy", "sun", "heat", "mild", "hot", "x"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 6)))) for i in range(200)] + [(900, None)]
+    df = spark.createDataFrame(rows, "id int, combined_text string")
+    rules = (("ice", "ic"), ("cold",), ("mild",), ("sun",), ("hot", "heat"))
+    both = [classify.predict_temperature(df, m) for m in (classify.RuleClasses(rules), classify.rule_predictor(rules))]
+    one, two = (column(b, "climate_bert_temp_sentiment") for b in both)
+    assert one == two and len(set(one.values())) == 5
+
+
 def test_split_is_disjoint_whole_and_stable(spark):
     df = spark.range(2000)
     a = column(classify.split_train_val(df, "id"), "is_val")
