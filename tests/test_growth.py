@@ -1,9 +1,17 @@
 """Steps that must hold on tables of any size and layout."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from postlens.functions import token_table
+from postlens.functions.token_table import TokenTable
+from postlens.operators import text_prep
 from postlens.plans import catalog
 
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
 TEXTS = ["The tionheed word is here", "deux mots dans une phrase", "", None, "ein Satz mit Worten"]
 
 
@@ -24,3 +32,28 @@ def test_a_stream_reads_a_table_of_one_file_or_of_several(spark, tmp_path, files
     rows = catalog.stream_enrichment(spark, write_tables(spark, tmp_path, files)).collect()
     assert sorted(r["doc_id"] for r in rows) == list(range(len(TEXTS)))
     assert {r["doc_id"]: r["weather_topics"] for r in rows}[0] == "heed, tion"
+
+
+def test_a_large_lexicon_that_changes_few_words_joins_no_tokens(spark):
+    df = spark.createDataFrame([(1, ["dogs", "ran", "boxes"]), (2, None)], "id int, tokens array<string>")
+    lexicon = [f"word{i}" for i in range(20)] + ["dog", "box"]
+    done = text_prep.lemmatize(df, "tokens", {}, lexicon, max_rows=10)
+    assert "Join" not in plan_of(done) and "CoGroup" not in plan_of(done)
+    assert {r["id"]: r["lemmas"] for r in done.collect()} == {1: ["dog", "ran", "box"], 2: None}
+
+
+def test_a_joined_table_meets_the_distinct_tokens_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(token_table, "BLOCK_TOKENS", 8)
+    rows = [(1, ["a", "b", "a"]), (1, ["b", "z"] * 30), (None, None), (2, []), (3, ["a", None])]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>")
+    table = TokenTable.of(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), max_rows=0)
+    for misses in (False, True):
+        done = token_table.annotate_tokens(df, F.col("tokens"), table, "hits", misses)
+        assert "posexplode" not in plan_of(done).lower()
+        found = sorted((str(r["id"]), [tuple(h) for h in r["hits"]]) for r in done.collect())
+        pairs = {"a": 1, "b": 2}
+        want = [
+            (str(i), [(p, t, pairs.get(t)) for p, t in enumerate(ts or []) if misses or t in pairs])
+            for i, ts in rows
+        ]
+        assert sorted(found, key=str) == sorted(want, key=str)
