@@ -1,11 +1,12 @@
 """Steps that must hold on tables of any size and layout."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from postlens.functions import token_table
 from postlens.functions.token_table import TokenTable
-from postlens.operators import text_prep
+from postlens.operators import classify, keywords, text_prep, topic_inference
 from postlens.plans import catalog
 
 
@@ -57,3 +58,44 @@ def test_a_joined_table_meets_the_distinct_tokens_of_blocks(spark, monkeypatch):
             for i, ts in rows
         ]
         assert sorted(found, key=str) == sorted(want, key=str)
+
+
+def test_keys_of_a_large_table_are_looked_up_by_blocks_of_posts(spark):
+    df = spark.createDataFrame([(1, "rewarm the cold cold"), (1, "nothing"), (None, None)], "id int, t string")
+    keys = spark.createDataFrame([("arm", "hot"), ("cold", "cold"), ("co", None)], "word string, mapping string")
+    done = keywords.map_conditions(df, "t", keys, max_keys=0, conditions_col="c")
+    got = sorted((str(r["t"]), r["weather_topics"], r["weather_temp"], r["c"]) for r in done.collect())
+    assert got == [
+        ("None", None, None, None),
+        ("nothing", None, None, None),
+        ("rewarm the cold cold", "arm, co, cold", "cold, hot", ["cold", "hot"]),
+    ]
+
+
+def test_a_classifier_is_trained_on_no_more_parts_than_cores(spark, monkeypatch):
+    parts = []
+    fit = classify.LogisticRegression.fit
+    monkeypatch.setattr(
+        classify.LogisticRegression, "fit", lambda self, rows: (parts.append(rows.rdd.getNumPartitions()), fit(self, rows))[1]
+    )
+    rows = [(f"{'hot' if i % 2 else 'cold'} day {i}", i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "text string, label int").repartition(23)
+    classify.train_temperature_model(df, df.limit(0), max_iter=2, reg_params=(0.1,))
+    assert parts and max(parts) <= spark.sparkContext.defaultParallelism
+
+
+def test_posts_of_a_block_are_inferred_in_few_large_steps(monkeypatch):
+    calls = []
+    steps = topic_inference._steps
+    monkeypatch.setattr(topic_inference, "_steps", lambda *a: (calls.append(a[1].shape), steps(*a))[1])
+    rng = np.random.default_rng(0)
+    sizes = np.array([0, 3, 9, 8, 500, 7])
+    words, counts = rng.integers(0, 50, sizes.sum()), 1.0 + rng.integers(0, 3, sizes.sum())
+    beta, alpha = rng.random((50, 4)), np.full(4, 0.5)
+    out = topic_inference.infer(sizes, words, counts, beta, alpha, 100, 1e-6)
+    assert sorted(calls) == [(1, 16), (1, 512), (3, 8)]
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    for i, n in enumerate(sizes):
+        own = slice(begins[i], begins[i] + n)
+        want = alpha + (out.shares[own] * counts[own, None]).sum(axis=0)
+        assert np.allclose(out.gamma[i], want)
