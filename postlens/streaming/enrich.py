@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 from postlens.functions.token_table import ROW_ID, with_row_id
 from postlens.operators.topics import TopicModel
 from postlens.plans.analyze import Lookups, enrich_posts, score_posts
+from postlens.sources.readers import spread
 
 
 def read_post_stream(
@@ -75,11 +76,12 @@ def start_batch_enrichment(
 
     A micro-batch writes the folder ``batch_id=<n>`` of ``out_path`` over whatever is there, so one
     that is run again after a failure leaves no row twice. Read ``out_path`` as one table;
-    ``batch_id`` is a column of it. Rows are numbered once for all the joins of a batch.
+    ``batch_id`` is a column of it. Rows are numbered once for all the joins of a batch; one
+    of fewer files than there are cores is dealt to all of them first.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        out = enrich_posts(with_row_id(batch), lookups, max_rows)
+        out = enrich_posts(with_row_id(spread(batch)), lookups, max_rows)
         if classifier is not None:
             out = score_posts(out, topic_model, classifier, ROW_ID)
         out.drop(ROW_ID).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
