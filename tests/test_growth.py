@@ -60,6 +60,12 @@ def test_a_joined_table_meets_the_distinct_tokens_of_blocks(spark, monkeypatch):
         assert sorted(found, key=str) == sorted(want, key=str)
 
 
+def test_prepared_texts_meet_a_joined_table_beside_their_own_tokens(spark):
+    df = spark.createDataFrame([(1, "Two dogs, gonna"), (2, None)], "id int, text string")
+    done = text_prep.prepare_text(df, "text", ["two"], {}, ["dog"], max_rows=0)
+    assert {r["id"]: r["lemmatized_text"] for r in done.collect()} == {1: "dog gon na", 2: None}
+
+
 def test_keys_of_a_large_table_are_looked_up_by_blocks_of_posts(spark):
     df = spark.createDataFrame([(1, "rewarm the cold cold"), (1, "nothing"), (None, None)], "id int, t string")
     keys = spark.createDataFrame([("arm", "hot"), ("cold", "cold"), ("co", None)], "word string, mapping string")
