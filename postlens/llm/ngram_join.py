@@ -310,7 +310,7 @@ def _candidate_edges(docs: DataFrame, one: DataFrame, level, similarity) -> Data
     roots = roots.withColumn("large", F.col("sets") > most)
     roots = stage(roots.select("token", "tree", "n", "key", "before", "fits", "large"), "roots")
     chain = roots.where("large and fits")
-    chain = chain.select(F.col("before").alias("a"), F.col("key").alias("b")).distinct()
+    chain = chain.select(F.col("before").alias("a"), F.col("key").alias("b"))
     trees = (
         roots.where(~F.col("large"))
         .groupBy("token", "tree")
@@ -354,11 +354,11 @@ def ngram_jaccard_join(
     signed = lambda wanted: wanted.join(
         _near(one, "key", wanted).select("key", "n", "signature"), "key"
     )
-    ties = _edges_within(groups, one, signed, _tie_candidates(similarity), block_sets)
+    ties = _components_within(groups, one, signed, _tie_candidates(similarity), block_sets)
     read = lambda wanted: _with_texts(named, wanted)
-    links = _edges_within(components(ties), one, read, _link(similarity), block_sets)
+    links = _components_within(ties, one, read, _link(similarity), block_sets)
     root = F.coalesce("root", "key").alias("root")
-    member = one.select("key", "rep").join(components(links).withColumnRenamed("node", "key"), "key", "left")
+    member = one.select("key", "rep").join(links.withColumnRenamed("node", "key"), "key", "left")
     member = member.select("key", "rep", root)
     smallest = member.groupBy("root").agg(F.min("rep").alias("component_id"))
     component = member.join(smallest, "root").select("key", "component_id")
@@ -384,8 +384,8 @@ def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return near.join(wanted, F.col("doc_id") == F.col("rep"))
 
 
-def _edges_within(groups: DataFrame, one: DataFrame, attach, run, block_sets: int) -> DataFrame:
-    """Edges between the members of each group, found in blocks of bounded size.
+def _components_within(groups: DataFrame, one: DataFrame, attach, run, block_sets: int) -> DataFrame:
+    """Components of the members of each group, by edges found in blocks of bounded size.
 
     ``attach`` adds what ``run`` compares to rows of ``block, key, rep, component``. A group of more
     than ``block_sets`` is dealt into blocks twice at random, which leaves most of what belongs
@@ -402,12 +402,12 @@ def _edges_within(groups: DataFrame, one: DataFrame, attach, run, block_sets: in
     blocks = F.when(F.col("parts") == 1, F.array(F.xxhash64("group"))).otherwise(F.array(*deal))
     none = F.lit(None).cast("long").alias("component")
     wanted = group.select(F.explode(blocks).alias("block"), "key", "rep", none)
-    edges = stage(_by_block(attach(wanted), run), "links")
+    found = components(_by_block(attach(wanted), run))
     large = group.where("parts > 1")
     if large.isEmpty():
-        return edges
+        return found
     component = F.coalesce("root", "key").alias("component")
-    large = large.join(components(edges).withColumnRenamed("node", "key"), "key", "left")
+    large = large.join(found.withColumnRenamed("node", "key"), "key", "left")
     large = stage(large.select("key", "rep", "group", "parts", component), "large")
     counted = large.groupBy("group", "component").agg(F.count("*").alias("n"))
     rest = counted.groupBy("group").agg(
@@ -416,7 +416,7 @@ def _edges_within(groups: DataFrame, one: DataFrame, attach, run, block_sets: in
     )
     rest = stage(rest.where("rests > 0"), "rest")
     if rest.isEmpty():
-        return edges
+        return found
     part = F.pmod(F.xxhash64("key", F.lit(3)), F.col("parts"))
     own = F.pmod(F.xxhash64("key", F.lit(4)), F.col("rests"))
     meets = F.transform(
@@ -428,4 +428,4 @@ def _edges_within(groups: DataFrame, one: DataFrame, attach, run, block_sets: in
     )
     both = F.when(F.col("component") == F.col("main"), meets).otherwise(F.array_union(meets, asks))
     wanted = large.join(rest, "group").select(F.explode(both).alias("block"), "key", "rep", "component")
-    return edges.union(stage(_by_block(attach(wanted), run), "links"))
+    return components(found.toDF("a", "b").union(_by_block(attach(wanted), run)))

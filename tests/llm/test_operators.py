@@ -19,6 +19,7 @@ import corpus_pipeline
 from postlens.llm import (
     bpe,
     chat_format,
+    components,
     fingerprints,
     language_id,
     mixing,
@@ -97,6 +98,34 @@ def test_ngram_join(spark, block_sets):
     assert Counter(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize("at_once", [7, 1 << 16])
+def test_components_equal_brute_force_in_few_rounds(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components, "EDGES_AT_ONCE", at_once)
+    written = []
+    monkeypatch.setattr(components, "stage", lambda df, name, f=components.stage: (written.append(name), f(df, name))[1])
+    r = np.random.default_rng(3)
+    chain = [(i, i + 1) for i in range(2000)]
+    hubs = [(5000, 5001 + i) for i in range(300)] + [(7000, 6000 + i) for i in range(300)]
+    pairs = [tuple(p) for p in (8000 + r.integers(0, 400, (350, 2))).tolist()]
+    edges = [*chain, *hubs, *hubs, *pairs, (1, 1), (9000, None), (None, None)]
+    got = components.components(spark.createDataFrame(edges, "a long, b long").coalesce(1)).collect()
+    root = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in root:
+        before = dict(root)
+        for x, y in edges:
+            if x in root and y in root:
+                root[x] = root[y] = min(root[x], root[y])
+        if root == before:
+            break
+    assert sorted(map(tuple, got)) == sorted(root.items())
+    if at_once > len(edges):
+        assert len(written) <= 3  # a chain in one task is a star before the first shuffle
+
+
+def test_no_edges_have_no_components(spark):
+    assert components.components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).collect() == []
+
+
 def test_word_codes():
     """One hash for each word, equal for equal words, over pieces and words longer than a piece."""
     long = b"x" * (ngram_join.PIECE + 1)
