@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from postlens import columns as C
 from postlens.functions.labels import TEMP_LABELS
 from postlens.operators.classify import _features
-from postlens.sources.staging import stage
+from postlens.sources.staging import stage, staging_path
 
 #: Gradients are summed in units of this fraction.
 UNIT = 1 << 30
-#: Row of a gradient that holds the intercepts; of a loss, its sum and the rows.
-INTERCEPT = -1
+#: Row of a gradient that holds the intercepts; of a loss, its sum and the rows. The row that counts rows.
+INTERCEPT, COUNT = -1, -2
 
 
 @dataclass(frozen=True)
@@ -114,52 +114,72 @@ def _scores(batch: pa.RecordBatch, weights: np.ndarray):
     index = index.flatten().to_numpy(zero_copy_only=False)
     value = batch.column("values").flatten().to_numpy(zero_copy_only=False)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    scores = np.tile(weights[-1], (len(sizes), 1))
-    np.add.at(scores, owner, weights[index] * value[:, None])
+    # a row's terms are added in their order, its intercept first
+    places = np.concatenate([np.arange(len(sizes)), owner])
+    terms = np.concatenate([np.tile(weights[-1], (len(sizes), 1)), weights[index] * value[:, None]])
+    scores = _summed(places, terms, len(sizes))
     scores -= scores.max(axis=1, keepdims=True)
     chances = np.exp(scores)
     chances /= chances.sum(axis=1, keepdims=True)
     return index, value, owner, batch.column("label").to_numpy(zero_copy_only=False), chances
 
 
+def _summed(places: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
+    """Column by column, the sum of the terms of each of ``n`` places."""
+    return np.stack([np.bincount(places, c, n) for c in terms.T], axis=1)
+
+
 _SUMS = "feature long, sums array<long>"
 
 
 def _as_rows(features: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-    units = np.rint(sums * UNIT).astype(np.int64)
+    return _unit_rows(features, np.rint(sums * UNIT).astype(np.int64))
+
+
+def _unit_rows(features: np.ndarray, units: np.ndarray) -> pa.RecordBatch:
     offsets = np.arange(0, units.size + 1, units.shape[1], dtype=np.int32)
     lists = pa.ListArray.from_arrays(offsets, pa.array(units.ravel()))
     return pa.RecordBatch.from_arrays([pa.array(features.astype(np.int64)), lists], ["feature", "sums"])
 
 
 def _gradient(rows: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, int]:
-    """Sum of the gradients of ``rows``, and how many they are: a row per feature from Spark."""
+    """Mean of the gradients of ``rows``, and how many they are: a row per feature from Spark.
+
+    A task sums all its rows before it sends a row per feature.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(weights)
-    classes = weights.shape[1]
+    weights_shape = weights.shape
+    classes = weights_shape[1]
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = np.zeros(weights_shape, np.int64), 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             index, value, owner, label, miss = _scores(batch, shared.value)
             miss[np.arange(len(label)), label] -= 1
-            features, place = np.unique(index, return_inverse=True)
             # each row is rounded by itself: the sum is then the same however rows are batched
             units = np.rint(miss[owner] * value[:, None] * UNIT)
-            sums = np.zeros((len(features) + 1, classes))
-            np.add.at(sums, place, units / UNIT)
-            sums[-1] = (np.rint(miss * UNIT) / UNIT).sum(axis=0)
-            yield _as_rows(np.append(features, INTERCEPT), sums)
+            features, place = np.unique(index, return_inverse=True)
+            sums[features] += _summed(place, units, len(features)).astype(np.int64)
+            sums[-1] += np.rint(miss * UNIT).sum(axis=0).astype(np.int64)
+            n += len(label)
+        if n:
+            features = np.flatnonzero(sums[:-1].any(axis=1))
+            counted = np.full((1, classes), n)
+            yield _unit_rows(np.append(features, [INTERCEPT, COUNT]), np.concatenate([sums[features], sums[-1:], counted]))
 
     sums = rows.select("label", "indices", "values").mapInArrow(of_task, _SUMS)
     each = [F.sum(F.get("sums", F.lit(i))).alias(str(i)) for i in range(classes)]
     total = sums.groupBy("feature").agg(*each).toArrow()
     shared.unpersist()
-    gradient = np.zeros_like(weights)
+    gradient, n = np.zeros_like(weights), 0
     if total.num_rows:
-        table = np.stack([total.column(str(i)).to_numpy() for i in range(classes)], axis=1) / UNIT
-        gradient[total.column("feature").to_numpy()] = table
-    n = rows.count()
+        features = total.column("feature").to_numpy()
+        table = np.stack([total.column(str(i)).to_numpy() for i in range(classes)], axis=1)
+        n = int(table[features == COUNT][0, 0])
+        own = features != COUNT
+        gradient[features[own]] = table[own] / UNIT
     return gradient / max(1, n), n
 
 
@@ -249,7 +269,11 @@ def train_by_epochs(
     while state.epoch < until and not _no_better(progress, schedule.patience):
         epoch = state.epoch + 1
         deal = F.pmod(F.xxhash64("id", F.lit(schedule.seed), F.lit(epoch)), F.lit(schedule.batches))
-        dealt = stage(rows.withColumn("batch", deal), "epoch")
+        # a folder for each batch, so that a step reads its own rows only
+        folder = staging_path(spark, "epoch")
+        dealt = rows.withColumn("batch", deal)
+        dealt.write.partitionBy("batch").parquet(folder)
+        dealt = spark.read.schema(dealt.schema).parquet(folder)
         for b in range(schedule.batches):
             gradient, n = _gradient(dealt.where(F.col("batch") == b), state.weights)
             if n:
