@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions import token_table
 from postlens.functions.token_table import TokenTable
-from postlens.operators import classify, keywords, text_prep, topic_inference
+from postlens.operators import classify, epochs, keywords, text_prep, topic_inference
 from postlens.plans import catalog
 
 
@@ -105,3 +105,38 @@ def test_posts_of_a_block_are_inferred_in_few_large_steps(monkeypatch):
         own = slice(begins[i], begins[i] + n)
         want = alpha + (out.shares[own] * counts[own, None]).sum(axis=0)
         assert np.allclose(out.gamma[i], want)
+
+
+def test_phrases_are_sought_around_their_anchor_piece(spark, monkeypatch):
+    calls = []
+    look_up = keywords.annotate_tokens
+    monkeypatch.setattr(keywords, "annotate_tokens", lambda *a, **o: (calls.append(a[3]), look_up(*a, **o))[1])
+    texts = ["old town hall", "a  b old town", "town old", "hall of the old towns and old town hall", "xold town h", "", None, "b old"]
+    words = ["ld town ha", "old town", "  b", "he old to", " old town hall", "town ", "own old", "hall", "of the old towns and o"]
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "id int, t string")
+    keys = spark.createDataFrame([(w, f"c{i % 3}") for i, w in enumerate(words)], "word string, mapping string")
+    got = keywords.map_conditions(df, "t", keys, phrases=True, max_keys=0).collect()
+    want = {t: ", ".join(sorted(w for w in words if t and w in t)) or None for t in texts}
+    assert len(got) == len(texts) and {r["t"]: r["weather_topics"] for r in got} == want
+    assert len(calls) == 2  # the words' keys, and the phrases by blocks of posts
+
+
+def test_a_step_of_an_epoch_reads_its_own_batch_and_counts_it_on_the_way(spark, tmp_path, monkeypatch):
+    folders = []
+    path = epochs.staging_path
+    monkeypatch.setattr(epochs, "staging_path", lambda s, name: (folders.append(path(s, name)), folders[-1])[1])
+    monkeypatch.setattr(epochs, "_loss", lambda rows, weights: 0.0)
+    df = spark.createDataFrame([(i, f"hot day {i}", i % 2) for i in range(30)], "id int, text string, label int")
+    schedule = epochs.Schedule(epochs=1, batches=3)
+    epochs.train_by_epochs(df, df.limit(0), str(tmp_path / "run"), "id", classes=2, num_features=64, schedule=schedule)
+    batches = [spark.read.parquet(f"{folders[0]}/batch={b}") for b in range(3)]
+    weights = np.zeros((65, 2))
+    counted = [epochs._gradient(rows, weights) for rows in batches]
+    assert sum(n for _, n in counted) == 30
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        again = [epochs._gradient(rows, weights) for rows in batches]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for (g, n), (h, m) in zip(counted, again, strict=True):
+        assert n == m and (g == h).all()
