@@ -8,16 +8,19 @@ joined, each micro-batch is a batch job of its own whose output is a folder name
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from postlens.functions.token_table import ROW_ID, with_row_id
+from postlens.functions.token_table import ROW_ID, TokenTable, with_row_id
+from postlens.operators.places import gazetteer_tokens
 from postlens.operators.topics import TopicModel
 from postlens.plans.analyze import Lookups, enrich_posts, score_posts
 from postlens.sources.readers import spread
+from postlens.sources.staging import stage
 
 
 def read_post_stream(
@@ -77,8 +80,10 @@ def start_batch_enrichment(
     A micro-batch writes the folder ``batch_id=<n>`` of ``out_path`` over whatever is there, so one
     that is run again after a failure leaves no row twice. Read ``out_path`` as one table;
     ``batch_id`` is a column of it. Rows are numbered once for all the joins of a batch; one
-    of fewer files than there are cores is dealt to all of them first.
+    of fewer files than there are cores is dealt to all of them first. Lookup tables are worked out
+    and written once, before the first batch.
     """
+    lookups = _written(lookups, max_rows)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         out = enrich_posts(with_row_id(spread(batch)), lookups, max_rows)
@@ -88,3 +93,13 @@ def start_batch_enrichment(
 
     writer = posts.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def _written(lookups: Lookups, max_rows: int | None) -> Lookups:
+    """The same tables, read from where they are written; the cities already by word."""
+    bounds = {} if max_rows is None else {"max_rows": max_rows}
+    tables = {n: stage(t, n) for n, t in vars(lookups).items() if isinstance(t, DataFrame) and n != "gazetteer"}
+    if isinstance(lookups.gazetteer, DataFrame):
+        words = stage(gazetteer_tokens(lookups.gazetteer), "gazetteer")
+        tables["gazetteer"] = TokenTable.of(words, **bounds)
+    return replace(lookups, **tables)

@@ -1,4 +1,4 @@
-"""The topic fit on many posts and words: few large steps, few large cells, nothing left behind."""
+"""The topic fit and the joined steps on many posts and words: nothing is worked out again and again."""
 
 import math
 import os
@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from postlens import columns as C
 from postlens.operators import topic_inference, topics
 from postlens.operators.dirichlet import newton_step, newton_step_table
+from postlens.functions import text as T
+from postlens.operators import places
 from postlens.plans import catalog
+from postlens.plans.analyze import Lookups, enrich_posts
 from postlens.sources.staging import stage, staging_folder
 
 
@@ -91,3 +94,23 @@ def test_shares_are_counted_in_one_shuffle(spark, monkeypatch):
     assert sorted(map(tuple, done.collect()), key=str) == [
         (1, "a", 2, 4, 1.0, True), (1, "b", 1, 2, 1.5, True), (None, "a", 3, 1, 1.5, False),
     ]
+
+
+def test_joined_steps_read_written_columns(spark):
+    texts = [(1, "Cold rain in Paris, France"), (1, "warmer NEW york"), (None, None), (2, "old york")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    cities = [(1, "paris", "france", "fr", "fra"), (2, "york", "united kingdom", "uk", "gbr")]
+    cities = spark.createDataFrame(cities, "row_no int, city string, country string, iso2 string, iso3 string")
+    mapping = spark.createDataFrame([("cold", "cold"), ("arm", "warm")], "word string, mapping string")
+    lookups = Lookups(mapping, cities.where("row_no = 1"), places=["new york", "york"], stop_words=["in"])
+    done = enrich_posts(df, lookups, max_rows=0)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert T.BLANKS not in plan  # the texts were cleaned once, and written
+    columns = ("id", C.LEMMATIZED_TEXT, C.WEATHER_TOPICS, C.FINAL_LOCATION, C.REGION)
+    assert sorted(map(tuple, done.select(*columns).collect()), key=str) == sorted(
+        map(tuple, enrich_posts(df, lookups).select(*columns).collect()), key=str
+    )
+    found = places.map_country(df, "text", cities, max_rows=0)
+    assert "CoGroup" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.columns == ["id", "text", "country"]
+    assert sorted(r["country"] for r in found.collect()) == ["Unknown", "france", "united kingdom", "united kingdom"]
